@@ -8,12 +8,24 @@ matching view texts are put in front of it.
 from __future__ import annotations
 
 import importlib
+import importlib.util
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from arborstat.functions.numeric import dbl
 from arborstat.sources.bindings import Tables, view_sql
 
+
+def r6(c) -> Column:
+    """Six decimals for comparison; a nudge settles ties the same way in both engines."""
+    return F.round(dbl(c) + 1e-9, 6)
+
+
+def r2(c) -> Column:
+    return F.round(dbl(c) + 1e-7, 2)
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -38,9 +50,13 @@ def query(name: str, views: str = "", sql: str | None = None, macros: str = ""):
 
 
 def with_views(views: str, body: str) -> str:
-    """Prefix ``body`` with the CTEs of ``views``; body may go on with ', x as (...) select'."""
+    """Prefix ``body`` with the CTEs of ``views``; body may go on with ', x as (...) select'.
+
+    Six-decimal rounding gets the nudge of :func:`r6`, so that both engines fall on
+    the same side of a tie.
+    """
     ctes = view_sql(views.split())
-    body = body.strip()
+    body = body.strip().replace(",6)", "+1e-9,6)").replace(",2)#", "+1e-7,2)")
     if not ctes:
         return "with recursive " + body[1:].strip() if body.startswith(",") else body
     return "with recursive " + ",\n".join(ctes) + ("\n" if not body.startswith(",") else "") + body
@@ -48,6 +64,8 @@ def with_views(views: str, body: str) -> str:
 
 def load() -> None:
     for m in MODULES:
+        if importlib.util.find_spec(f"arborstat.catalog.{m}") is None:
+            continue
         importlib.import_module(f"arborstat.catalog.{m}")
 
 

@@ -36,14 +36,6 @@ def between(c: Column | str, lo: float, hi: float) -> Column:
     return (col(c) >= F.lit(lo)) & (col(c) <= F.lit(hi))
 
 
-def r6(c: Column | str) -> Column:
-    return F.round(dbl(c), 6)
-
-
-def r2(c: Column | str) -> Column:
-    return F.round(dbl(c), 2)
-
-
 def sum_if(cond: Column, value: Column | str) -> Column:
     return F.sum(F.when(cond, dbl(value)))
 
