@@ -95,4 +95,4 @@ def counted_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[s
     domain of its values.
     """
     folded = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    return folded.groupBy(*keys).agg(*[F.percentile(value, p, "__n").alias(k) for k, p in probs.items()])
+    return folded.groupBy(*keys).agg(*[F.percentile(F.col(value), p, F.col("__n")).alias(k) for k, p in probs.items()])
