@@ -216,11 +216,11 @@ def moving_average_spike(series: DataFrame, key: str, order: str, value: str, wi
     })
     s = s.withColumn("step", F.when(F.lead("full").over(w), F.lead("avg").over(w) - F.col("avg")))
     limit = s.groupBy(key).agg(
-        F.count("*").alias("n"), (F.avg(F.abs("step")) + 2 * F.stddev_pop("step")).alias("limit")
+        F.count("*").alias("__rows"), (F.avg(F.abs("step")) + 2 * F.stddev_pop("step")).alias("limit")
     )
     return (
         s.join(limit, key).groupBy(key)
-        .agg(F.max("n").alias("n"), F.min(F.when(F.col("step") > F.col("limit"), F.col("idx"))).alias("spike"))
+        .agg(F.max("__rows").alias("n"), F.min(F.when(F.col("step") > F.col("limit"), F.col("idx"))).alias("spike"))
         .select(
             key, F.col("spike").isNotNull().alias("found"),
             F.coalesce(F.least(F.col("spike") + width, F.col("n") - 1), F.floor(F.col("n") / 2)).cast("long").alias("index"),
