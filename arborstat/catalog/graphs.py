@@ -230,7 +230,7 @@ def _(t):
     return C.reconnect(c, s, 2.2, 2, SP)
 
 
-CAND = """, cd as (select l_suppkey as scan_id, l_orderkey*8+l_linenumber as seq, max(l_returnflag) as method, max(l_quantity)::int as z, (max(l_partkey)%40)::int as y, (max(l_orderkey)%40)::int as x, 1+max(l_discount)*10 as weight from lineitem group by 1,2),
+CAND = """, cd as (select l_suppkey as scan_id, l_orderkey*8+l_linenumber as seq, max(l_returnflag) as method, max(l_quantity)::int as z, (max(l_partkey)%400)::int as y, (max(l_orderkey)%400)::int as x, 1+max(l_discount)*10 as weight from lineitem group by 1,2),
 sc as (select a.scan_id, a.seq, a.method, a.z, a.y, a.x, a.weight+coalesce(sum(b.weight*(1-sqrt((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))/25.0::double)),0) as score from cd a left join cd b on a.scan_id=b.scan_id and a.seq<>b.seq
   and (a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)<625 group by a.scan_id,a.seq,a.method,a.z,a.y,a.x,a.weight),
 k as (select *, row_number() over (partition by scan_id order by round(score,9) desc, seq) as rn, count(*) over (partition by scan_id) as n from sc)"""
@@ -239,7 +239,7 @@ k as (select *, row_number() over (partition by scan_id order by round(score,9)
 @query("j13_consensus_vote", "", CAND + "select scan_id, method, z, y, x, round(least(5,score/n),6) as confidence from k where rn=1")
 def _(t):
     cand = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("scan_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")).agg(
-        F.max("l_returnflag").alias("method"), F.max("l_quantity").cast("int").alias("z"), (F.max("l_partkey") % 40).cast("int").alias("y"),
-        (F.max("l_orderkey") % 40).cast("int").alias("x"), (1 + F.max("l_discount") * 10).alias("weight"),
+        F.max("l_returnflag").alias("method"), F.max("l_quantity").cast("int").alias("z"), (F.max("l_partkey") % 400).cast("int").alias("y"),
+        (F.max("l_orderkey") % 400).cast("int").alias("x"), (1 + F.max("l_discount") * 10).alias("weight"),
     )
     return C.consensus(cand).withColumn("confidence", r6("confidence"))

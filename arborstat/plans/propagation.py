@@ -85,17 +85,20 @@ def propagate(
     out = [c for c in arcs.columns if c not in keys]
     arcs = cut_lineage(arcs).select(*[F.col(k).alias(f"__{k}") for k in keys], *out)
     state = cut_lineage(seeds.select(*keys, "node", "best", F.lit(True).alias("fresh")))
+
+    # The same expressions serve every hop.
+    on = (F.col("node") == F.col("src")) & F.col("fresh")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    own = F.struct(F.col("node").alias("n"), F.col("best").alias("b"), F.lit(False).alias("sent"))
+    message = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("n"), step(F.col("best")).alias("b"), F.lit(True).alias("sent")))
+    rows = [*keys, F.inline(F.array_compact(F.array(own, message)))]
+    group = [*keys, F.col("n").alias("node")]
+    aggs = [F.min("b").alias("best"), F.min(F.when(~F.col("sent"), F.col("b"))).alias("old")]
+    after = [*keys, "node", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")]
     for _ in range(MAX_ROUNDS):
         for _ in range(hops_per_round):
-            on = (F.col("node") == F.col("src")) & F.col("fresh")
-            for k in keys:
-                on = on & (F.col(k) == F.col(f"__{k}"))
-            own = F.struct(F.col("node").alias("n"), F.col("best").alias("b"), F.lit(False).alias("sent"))
-            message = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("n"), step(F.col("best")).alias("b"), F.lit(True).alias("sent")))
-            rows = state.join(arcs, on, "left").select(*keys, F.inline(F.array_compact(F.array(own, message))))
-            state = rows.groupBy(*keys, F.col("n").alias("node")).agg(
-                F.min("b").alias("best"), F.min(F.when(~F.col("sent"), F.col("b"))).alias("old")
-            ).select(*keys, "node", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh"))
+            state = state.join(arcs, on, "left").select(*rows).groupBy(*group).agg(*aggs).select(*after)
         state = cut_lineage(state)
         if state.where("fresh").isEmpty():
             return state.drop("fresh")
