@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.functions.labels import region
 from arborstat.functions.numeric import count_if, dbl, ratio, ratio_or_zero, sum_if
 from arborstat.plans.ordered import block_lag
-from arborstat.plans.selection import medians, percentiles
+from arborstat.session import cut_lineage
+from arborstat.plans.selection import grouped, select_ranks
 
 
 def is_central() -> Column:
@@ -40,17 +40,13 @@ def generation_stats(branches: DataFrame) -> DataFrame:
     """Per scan and generation: count, diameter and length statistics, volume and surface sums."""
     b = with_geometry(branches.where("generation is not null"))
     keys = ["scan_id", "generation"]
-    base = b.groupBy(*keys).agg(
+    return grouped(b, keys, [
         F.count("*").alias("n_branches"),
         F.avg("diameter_mean_mm").alias("diameter_mean_mm"), F.stddev_samp("diameter_mean_mm").alias("diameter_std_mm"),
         F.min("diameter_mean_mm").alias("diameter_min_mm"), F.max("diameter_mean_mm").alias("diameter_max_mm"),
         F.avg("length_mm").alias("length_mean_mm"), F.stddev_samp("length_mm").alias("length_std_mm"),
         F.sum("volume_mm3").alias("total_volume_mm3"), F.sum("surface_area_mm2").alias("total_surface_area_mm2"),
-    )
-    return (
-        base.join(medians(b, keys, "diameter_mean_mm", "diameter_median_mm"), keys, "left")
-        .join(medians(b, keys, "length_mm", "length_median_mm"), keys, "left")
-    )
+    ], {"diameter_median_mm": ("diameter_mean_mm", 0.5), "length_median_mm": ("length_mm", 0.5)})
 
 
 def generation_means(branches: DataFrame) -> DataFrame:
@@ -119,26 +115,19 @@ def peripheral_stats(branches: DataFrame) -> DataFrame:
     b = with_geometry(branches)
     per, cen = is_peripheral(), is_central()
     total = sum_if(F.col("generation").isNotNull(), "volume_mm3")
-    s = b.groupBy("scan_id").agg(
-        count_if(per).alias("__n"), F.coalesce(sum_if(per, "volume_mm3"), F.lit(0.0)).alias("__v"), total.alias("__total"),
-        F.avg(F.when(per, F.col("diameter_mean_mm"))).alias("mean_peripheral_diameter_mm"),
-        F.stddev_samp(F.when(per, F.col("diameter_mean_mm"))).alias("std_peripheral_diameter_mm"),
-        F.avg(F.when(per, F.col("volume_mm3"))).alias("mean_peripheral_branch_volume_mm3"),
-        F.avg(F.when(cen, F.col("diameter_mean_mm"))).alias("__central"),
-    )
-    p = b.where(per)
+    b = b.withColumns({"__pd": F.when(per, F.col("diameter_mean_mm")), "__pv": F.when(per, F.col("volume_mm3"))})
+    s = grouped(b, ["scan_id"], [
+        count_if(per).alias("__n"), F.coalesce(F.sum("__pv"), F.lit(0.0)).alias("__v"), total.alias("__total"),
+        F.avg("__pd").alias("mean_peripheral_diameter_mm"), F.stddev_samp("__pd").alias("std_peripheral_diameter_mm"),
+        F.avg("__pv").alias("mean_peripheral_branch_volume_mm3"), F.avg(F.when(cen, F.col("diameter_mean_mm"))).alias("__central"),
+    ], {"median_peripheral_diameter_mm": ("__pd", 0.5), "median_peripheral_branch_volume_mm3": ("__pv", 0.5)})
     has = F.col("mean_peripheral_diameter_mm").isNotNull()
-    return (
-        s.withColumns({
-            "peripheral_volume_percent": ratio_or_zero("__v", "__total") * 100,
-            "peripheral_branch_density": ratio_or_zero("__n", "__v"),
-            "mean_central_diameter_mm": F.when(has, F.col("__central")),
-            "central_to_peripheral_diameter_ratio": F.when(F.col("mean_peripheral_diameter_mm") > 0, ratio("__central", "mean_peripheral_diameter_mm")),
-        })
-        .join(medians(p, ["scan_id"], "diameter_mean_mm", "median_peripheral_diameter_mm"), "scan_id", "left")
-        .join(medians(p, ["scan_id"], "volume_mm3", "median_peripheral_branch_volume_mm3"), "scan_id", "left")
-        .drop("__n", "__v", "__total", "__central")
-    )
+    return s.withColumns({
+        "peripheral_volume_percent": ratio_or_zero("__v", "__total") * 100,
+        "peripheral_branch_density": ratio_or_zero("__n", "__v"),
+        "mean_central_diameter_mm": F.when(has, F.col("__central")),
+        "central_to_peripheral_diameter_ratio": F.when(F.col("mean_peripheral_diameter_mm") > 0, ratio("__central", "mean_peripheral_diameter_mm")),
+    }).drop("__n", "__v", "__total", "__central")
 
 
 def diameter_variation(branches: DataFrame) -> DataFrame:
@@ -171,10 +160,9 @@ def edge_tortuosity(edges: DataFrame, nodes: DataFrame, keys: list[str], spacing
 
 def tortuosity_summary(edges: DataFrame, nodes: DataFrame, keys: list[str], spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     t = edge_tortuosity(edges, nodes, keys, spacing)
-    base = t.groupBy(*keys).agg(
-        F.avg("tortuosity").alias("mean_tortuosity"), F.stddev_pop("tortuosity").alias("std_tortuosity"), F.count("*").alias("n_tortuosity")
-    )
-    return base.join(medians(t, keys, "tortuosity", "median_tortuosity"), keys, "left")
+    return grouped(t, keys, [
+        F.avg("tortuosity").alias("mean_tortuosity"), F.stddev_pop("tortuosity").alias("std_tortuosity"), F.count("*").alias("n_tortuosity"),
+    ], {"median_tortuosity": ("tortuosity", 0.5)})
 
 
 def metric_vector(branches: DataFrame, tortuosity: DataFrame | None = None, symmetry: DataFrame | None = None) -> DataFrame:
@@ -240,22 +228,20 @@ def trimmed_profile(points: DataFrame, exclude_percent: int = 10) -> DataFrame:
     and 95th percentile stand for mean and maximum; shorter lines use plain
     statistics. The two cut positions come from exact selection on ``seq``.
     """
-    from arborstat.plans.selection import select_ranks
-
     keys = ["scan_id", "branch_id"]
 
     def cut(n):
         return F.when(n > 10, F.greatest(F.lit(1), F.floor(n * exclude_percent / 100))).otherwise(0)
 
     ends = select_ranks(points, keys, "seq", {"first": cut, "last": lambda n: n - 1 - cut(n)})
-    kept = points.join(ends.select(*keys, "n", "first", "last"), keys).where("seq between first and last").withColumn("d", F.col("radius") * 2)
-    base = kept.groupBy(*keys).agg(
+    kept = points.join(ends.select(*keys, "n", "first", "last"), keys).where("seq between first and last")
+    kept = cut_lineage(kept.select(*keys, "n", (F.col("radius") * 2).alias("d")))
+    q = grouped(kept, keys, [
         F.max("n").alias("n"), F.avg("d").alias("avg"), F.stddev_pop("d").alias("diameter_std_mm"),
         F.min("d").alias("diameter_min_mm"), F.max("d").alias("max"),
-    )
-    q = percentiles(kept, keys, "d", {"p75": 0.75, "p95": 0.95}).drop("n")
+    ], {"p75": ("d", 0.75), "p95": ("d", 0.95)})
     long_ = F.col("n") > 10
-    return base.join(q, keys).select(
+    return q.select(
         *keys, F.col("n").alias("num_points"), F.when(long_, F.col("p75")).otherwise(F.col("avg")).alias("diameter_mean_mm"),
         "diameter_std_mm", "diameter_min_mm", F.when(long_, F.col("p95")).otherwise(F.col("max")).alias("diameter_max_mm"),
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import ratio
-from arborstat.operators.voxels import POSITION, offsets
+from arborstat.operators.voxels import POSITION, voxel_runs
 from arborstat.plans.propagation import connected_components
+from arborstat.session import cut_lineage
 from arborstat.plans.proximity import closest_pairs, linked_groups, within_radius
 
 
@@ -16,15 +17,24 @@ def voxel_id(z: Column, y: Column, x: Column) -> Column:
 
 
 def voxel_components(voxels: DataFrame, faces_only: bool = False) -> DataFrame:
-    """Masked voxels with ``component``: 26-neighbour (or face) connected, id of the first voxel."""
-    v = voxels.where("label > 0").select(*POSITION, "hu", voxel_id(F.col("z"), F.col("y"), F.col("x")).alias("node"))
-    step = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(o, ("dz", "dy", "dx"))]) for o in offsets(faces_only=faces_only, half=True)])
-    sent = v.select(*POSITION, "node", F.explode(step).alias("o")).select(
-        "scan_id", F.col("node").alias("src"), voxel_id(F.col("z") + F.col("o.dz"), F.col("y") + F.col("o.dy"), F.col("x") + F.col("o.dx")).alias("dst"),
-        (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"),
-    ).where("ny >= 0 and nx >= 0")
-    edges = sent.join(v.select("scan_id", F.col("node").alias("dst")), ["scan_id", "dst"]).select("scan_id", "src", "dst")
-    return v.join(connected_components(edges, v, ["scan_id"]), ["scan_id", "node"]).drop("node")
+    """Masked voxels with ``component``: 26-neighbour (or face) connected, id of the first voxel.
+
+    Runs along x are the nodes, so a solid region costs a node per scan line and not a
+    node per voxel. Runs of neighbouring lines touch when they overlap, by one voxel
+    more for diagonal neighbours.
+    """
+    v = voxels.where("label > 0").select(*POSITION, "hu")
+    runs = cut_lineage(voxel_runs(v).withColumn("node", voxel_id(F.col("z"), F.col("y"), F.col("x0"))))
+    ahead = [(0, 1), (1, 0)] if faces_only else [(0, 1), (1, -1), (1, 0), (1, 1)]
+    reach = 0 if faces_only else 1
+    lines = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in ahead])
+    sent = runs.select("scan_id", "x0", "x1", F.col("node").alias("src"), "z", "y", F.explode(lines).alias("o")).select(
+        "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "src", F.col("x0").alias("a0"), F.col("x1").alias("a1")
+    )
+    touch = (F.col("a0") <= F.col("x1") + reach) & (F.col("a1") >= F.col("x0") - reach)
+    edges = sent.join(runs, ["scan_id", "z", "y"]).where(touch).select("scan_id", "src", F.col("node").alias("dst"))
+    labelled = runs.join(connected_components(edges, runs, ["scan_id"]), ["scan_id", "node"])
+    return labelled.select("scan_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component").join(v, POSITION)
 
 
 def component_stats(comp: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:

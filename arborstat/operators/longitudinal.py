@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arborstat.functions.labels import drop_absolute, drop_relative, progressed
 from arborstat.functions.numeric import count_if, dbl, intercept, pearson, ratio, slope
 from arborstat.plans.ordered import rank_quartile
-from arborstat.plans.selection import medians
+from arborstat.plans.selection import grouped
 
 
 def _nearest(target: int, *first: Column) -> Column:
@@ -179,12 +179,12 @@ def decline_summary(quartiled: DataFrame) -> DataFrame:
     """Slopes per (quartile, entity) summarised per quartile, with direction counts."""
     s = entity_slopes(quartiled, ["quartile", "entity"]).where("slope is not null")
     base = quartiled.groupBy("quartile").agg(F.avg("baseline").alias("baseline_mean"))
-    agg = s.groupBy("quartile").agg(
+    agg = grouped(s, ["quartile"], [
         F.avg("slope").alias("mean_decline"), F.stddev_pop("slope").alias("std_decline"), F.count("*").alias("n_entities"),
         count_if(F.col("slope") < -0.5).alias("declining"), count_if(F.col("slope").between(-0.5, 0.5)).alias("stable"),
         count_if(F.col("slope") > 0.5).alias("improving"),
-    )
-    return agg.join(medians(s, ["quartile"], "slope", "median_decline"), "quartile").join(base, "quartile")
+    ], {"median_decline": ("slope", 0.5)}, few_groups=True)
+    return agg.join(base, "quartile")
 
 
 def direction_of_progression(summary: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborstat.functions.labels import issue_reason
 from arborstat.functions.numeric import count_if, dbl, ratio
 from arborstat.operators.comparison import unpivot_metrics
-from arborstat.plans.selection import medians
+from arborstat.plans.selection import grouped
 
 
 def visit_ranges(visits: DataFrame) -> DataFrame:
@@ -110,11 +110,12 @@ def tag_profile(tags: DataFrame) -> DataFrame:
     (tag, patient) and (tag, value) pairs are counted apart, so no tag's patients or
     values are gathered in one place.
     """
-    n = tags.agg(F.count_distinct("patient_id").alias("n_total"))
+    total = tags.agg(F.count_distinct("patient_id")).scalar()
     patients = tags.select("tag", "patient_id").distinct().groupBy("tag").agg(F.count("*").alias("n_patients"))
     values = tags.select("tag", "value").distinct().groupBy("tag").agg(F.count("*").alias("n_values"), F.min("value").alias("first_value"))
+    both = patients.join(values, "tag").withColumn("n_total", total)
     share = F.col("n_patients") >= F.col("n_total") * 0.5
-    return patients.join(values, "tag").join(F.broadcast(n), how="cross").select(  # n is one row
+    return both.select(
         "tag", "n_patients", "n_values",
         F.when(F.col("n_patients") == F.col("n_total"), "common").when(share, "partial").otherwise("rare").alias("presence"),
         (F.col("n_values") == 1).alias("is_constant"),
@@ -145,8 +146,8 @@ def distribution_by_flag(df: DataFrame, flag: str, metrics: list[str]) -> DataFr
     parts = unpivot_metrics(df, [flag], metrics).where("value is not null")
     label = F.when(F.col(flag), "Compatible").otherwise("Incompatible")
     rows = parts.select("metric", "value", F.explode(F.array(label, F.lit("All"))).alias("cohort"))
-    base = rows.groupBy("metric", "cohort").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    return base.join(medians(rows, ["metric", "cohort"], "value", "median"), ["metric", "cohort"], "left")
+    aggs = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+    return grouped(rows, ["metric", "cohort"], aggs, {"median": ("value", 0.5)}, few_groups=True)
 
 
 def fixed_width_histogram(df: DataFrame, metric: str, width: float, flag: str) -> DataFrame:

@@ -192,10 +192,10 @@ def leave_one_out(pairs: DataFrame, models: list[str] | None = None, at_least: i
     z = pairs.join(F.broadcast(scale), keys)  # a row per (feature, target)
     z = z.withColumn("z", ratio(F.col("x") - F.col("mean"), "sd"))
     sums = z.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.lit(at_least).alias("min_n"),
+        F.count("*").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.lit(at_least).alias("min_n"),
         *[F.sum(F.pow("z", F.lit(i))).alias(f"z{i}") for i in range(7)], *[F.sum(F.col("y") * F.pow("z", F.lit(i))).alias(f"zy{i}") for i in range(4)],
     )
-    fit = sums.coalesce(1).mapInPandas(_solve, SOLVED)
+    fit = sums.mapInPandas(_solve, SOLVED)
     if models:
         fit = fit.where(F.col("model").isin(models))
     j = pairs.join(F.broadcast(fit), keys).withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))

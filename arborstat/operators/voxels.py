@@ -15,15 +15,6 @@ from arborstat.plans.selection import counted_percentile
 POSITION = ["scan_id", "z", "y", "x"]
 
 
-def offsets(reach: int = 1, faces_only: bool = False, half: bool = False) -> list[tuple[int, int, int]]:
-    """Neighbour steps (z, y, x): 26 around a voxel, or the 6 faces; ``half`` keeps one of each pair."""
-    span = range(-reach, reach + 1)
-    out = [(a, b, c) for a in span for b in span for c in span if (a, b, c) != (0, 0, 0)]
-    if faces_only:
-        out = [o for o in out if sum(map(abs, o)) == 1]
-    return [o for o in out if o > (0, 0, 0)] if half else out
-
-
 def intensity_stats(voxels: DataFrame) -> DataFrame:
     base = voxels.groupBy("scan_id").agg(
         F.min("hu").alias("min_hu"), F.max("hu").alias("max_hu"), F.avg("hu").alias("mean_hu"), F.stddev_pop("hu").alias("std_hu"),
@@ -103,23 +94,33 @@ def corner_noise(voxels: DataFrame, size: int = 10) -> DataFrame:
     return voxels.where(f"z < {size} and y < {size} and x < {size} and z >= 0 and y >= 0 and x >= 0").groupBy("scan_id").agg(F.stddev_pop("hu").alias("noise_std"))
 
 
+def voxel_runs(masked: DataFrame) -> DataFrame:
+    """Maximal runs of the given voxels along x: (scan_id, z, y, x0, x1).
+
+    The window covers one scan line, which the grid width bounds.
+    """
+    w = Window.partitionBy("scan_id", "z", "y").orderBy("x")
+    step = F.when(F.col("x") - F.lag("x").over(w) == 1, 0).otherwise(1)
+    runs = masked.withColumn("__new", step).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("scan_id", "z", "y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__run")
+
+
 def neighbour_counts(voxels: DataFrame) -> DataFrame:
     """Masked neighbours (of 26) of every masked voxel, and whether it is an endpoint.
 
-    Each voxel announces itself at its 13 forward neighbours; a match counts for both
-    sides. Positions are unique, so every join key is a single row and no position is
-    hot.
+    Runs along x are sent to the nine lines around and including their own, so what is
+    shuffled is runs and not voxels; the counts are added up where the lines meet.
     """
-    v = voxels.where("label > 0").select(*POSITION)
-    step = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(o, ("dz", "dy", "dx"))]) for o in offsets(half=True)])
-    sent = v.select(*POSITION, F.explode(step).alias("o")).select(
-        "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"),
-        F.col("z").alias("fz"), F.col("y").alias("fy"), F.col("x").alias("fx"),
+    runs = voxel_runs(voxels.where("label > 0").select(*POSITION))
+    lines = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    sent = runs.select("scan_id", "z", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.explode(lines).alias("o")).select(
+        "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "b0", "b1"
     )
-    hits = sent.join(v, POSITION)
-    both = hits.select("scan_id", F.inline(F.array(F.struct("z", "y", "x"), F.struct(F.col("fz").alias("z"), F.col("fy").alias("y"), F.col("fx").alias("x")))))
-    n = both.groupBy(*POSITION).agg(F.count("*").alias("n_neighbours"))
-    return v.join(n, POSITION, "left").select(*POSITION, F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours")).withColumn("is_endpoint", F.col("n_neighbours") == 1)
+    met = runs.join(sent, ["scan_id", "z", "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1")
+    reached = F.sequence(F.greatest("x0", F.col("b0") - 1), F.least("x1", F.col("b1") + 1))
+    near = met.select("scan_id", "z", "y", "b0", "b1", F.explode(reached).alias("x"))
+    common = F.least(F.col("x") + 1, F.col("b1")) - F.greatest(F.col("x") - 1, F.col("b0")) + 1
+    return near.groupBy(*POSITION).agg((F.sum(common) - 1).alias("n_neighbours")).withColumn("is_endpoint", F.col("n_neighbours") == 1)
 
 
 def smooth_along_x(voxels: DataFrame) -> DataFrame:

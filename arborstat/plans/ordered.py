@@ -54,12 +54,13 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
 def rank_quartile(df: DataFrame, value: str, row_id: str, name: str = "quartile") -> DataFrame:
     """Add the quartile 1-4 of each row's rank by (value, row_id) over the whole table.
 
-    The three cut rows are found by exact selection (one row comes back to the
-    driver) and every row is compared with them: no row is moved and nothing is
-    sorted globally. A table without rows or with one row is all first quartile.
+    The three cut rows are found by exact selection on the two columns (a row of
+    figures comes back to the driver) and every row is compared with them: the table
+    itself is not moved and nothing is sorted globally. A table without rows or with one row is all first quartile.
     """
+    narrow = cut_lineage(df.select(F.col(value).cast("double").alias("v"), F.col(row_id).alias("row")))
     cut = {f"c{q}": (lambda n, q=q: F.floor(F.lit(q) * (n - 1) / F.lit(4.0))) for q in (1, 2, 3)}
-    at = select_ranks(df, [], value, cut).first()
+    at = select_ranks(narrow, [], "v", cut).first()
     if at is None:
         return df.withColumn(name, F.when(F.col(value).isNotNull(), 1))
     v, r = F.col(value).cast("double"), F.col(row_id)
@@ -67,9 +68,10 @@ def rank_quartile(df: DataFrame, value: str, row_id: str, name: str = "quartile"
     left = {q: (q * (at["n"] - 1)) // 4 - at[f"c{q}_below"] for q in (1, 2, 3)}
 
     # Rows tied with a cut value are told apart by row_id.
-    tied = df.select(r.alias("row"), F.explode(F.array_compact(F.array(*[F.when(v == cuts[q], q) for q in (1, 2, 3)]))).alias("cut"))
+    hits = F.array_compact(F.array(*[F.when(F.col("v") == cuts[q], q) for q in (1, 2, 3)]))
+    tied = narrow.select("row", F.explode(hits).alias("cut"))
     kth = F.when(F.col("cut") == 1, left[1]).when(F.col("cut") == 2, left[2]).otherwise(left[3])
-    last = {x["cut"]: x["r"] for x in select_ranks(tied, ["cut"], "row", {"r": lambda n: kth}).collect()}  # three rows
+    last = {x["cut"]: x["r"] for x in select_ranks(tied, ["cut"], "row", {"r": lambda n: kth}, few_groups=True).collect()}  # three rows
 
     quart = F.when(v.isNull(), F.lit(None).cast("int"))
     for q in (1, 2, 3):

@@ -1,6 +1,7 @@
-"""Exact order statistics per group without bringing a group into one task.
+"""Exact order statistics per group without bringing a large group into one task.
 
-The values of a group are counted into equal-width bins (partial aggregation on
+Group sizes are counted first. While the largest group is small, plain windows and
+the built-in percentile do the work in one shuffle. Beyond that the values of a group are counted into equal-width bins (partial aggregation on
 the map side), the running bin counts say which bins hold the wanted ranks, and
 only the rows of those bins are looked at closely, folded to distinct values
 first. A group of any size therefore costs counts plus a few bins of rows; the
@@ -15,30 +16,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import clean, dbl, ratio
 
+GROUP_LIMIT = 100_000  # rows of one group that a task may hold
 ROWS_PER_BIN = 100_000
 MAX_BINS = 65_536
 
 
-def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def select_ranks(
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], few_groups: bool = False,
+    group_limit: int | None = None,
+) -> DataFrame:
     """Values at given 0-based ranks of each group's sorted non-null values.
 
     ``ranks`` maps an output name to a function from the group's row count to a
     rank (it may read the key columns too). Integer values keep their type. Per group: ``keys``, ``n``, and for each name the value and
     ``<name>_below``, the number of rows with a smaller value.
+
+    ``few_groups`` says that the number of groups is fixed by the caller (quartiles, a
+    metric list) and not by the data; the per-group figures are then broadcast and no
+    row is shuffled to meet them. A whole table is one group.
     """
-    one = not keys  # a whole table is a group with a constant key
+    one = not keys
+    small = F.broadcast if one or few_groups else (lambda x: x)
     whole = df.select(value).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
     v = F.col(value) if whole else clean(value)
     src = df.select(*(keys or [F.lit(0).alias("__g")]), v.alias("__v")).where("__v is not null")
     keys = keys or ["__g"]
 
+    if largest_group(src, keys) <= (GROUP_LIMIT if group_limit is None else group_limit):
+        got = _select_small(src, keys, ranks)
+        return got.drop("__g") if one else got
+
     span = src.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     span = span.withColumn("__bins", F.least(F.ceil(F.col("n") / ROWS_PER_BIN), F.lit(MAX_BINS)).cast("int"))
     span = span.withColumns({f"__r_{k}": fn(F.col("n")).cast("long") for k, fn in ranks.items()})
 
     width = ratio(dbl("__v") - dbl("__lo"), dbl("__hi") - dbl("__lo"))
     bin_ = F.least(F.coalesce(F.floor(width * F.col("__bins")), F.lit(0)), F.col("__bins") - 1).cast("int")
-    binned = src.join(span, keys).withColumn("__bin", bin_)
+    binned = src.join(small(span), keys).withColumn("__bin", bin_)
 
     rank_cols = [f"__r_{k}" for k in ranks]
     counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"), *[F.max(c).alias(c) for c in rank_cols])
@@ -48,7 +62,7 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Ca
     wanted = counts.where(_any(inside)).select(*keys, "__bin", "__before")
 
     close = (
-        binned.join(wanted, [*keys, "__bin"])
+        binned.join(small(wanted), [*keys, "__bin"])
         .groupBy(*keys, "__bin", "__before", "__v", "n", *rank_cols)
         .agg(F.count("*").alias("__w"))
     )
@@ -69,23 +83,54 @@ def _any(conds: list[Column]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated percentiles per group: ``keys``, ``n`` and one column per name."""
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; a count per group, one number to the driver."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _select_small(src: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    x = src.select(
+        *keys, "__v", (F.row_number().over(w.orderBy("__v")) - 1).alias("__i"), (F.rank().over(w.orderBy("__v")) - 1).alias("__below"),
+        F.count("*").over(w).alias("n"),
+    )
+    aggs = [F.max("n").alias("n")]
+    for k, fn in ranks.items():
+        hit = F.col("__i") == fn(F.col("n")).cast("long")
+        aggs += [F.max(F.when(hit, F.col("__v"))).alias(k), F.max(F.when(hit, F.col("__below"))).cast("long").alias(f"{k}_below")]
+    return x.groupBy(*keys).agg(*aggs)
+
+
+def grouped(
+    df: DataFrame, keys: list[str], aggs: list[Column], probs: dict[str, tuple[str, float]], few_groups: bool = False, group_limit: int | None = None,
+) -> DataFrame:
+    """Aggregates and exact interpolated percentiles of each group side by side.
+
+    ``probs`` maps an output name to (column, p). Small groups take everything in one
+    aggregation; otherwise each percentile is selected and joined to the rest.
+    """
+    limit = GROUP_LIMIT if group_limit is None else group_limit
+    if largest_group(df, keys) <= limit:
+        return df.groupBy(*keys).agg(*aggs, *[F.percentile(clean(c), p).alias(k) for k, (c, p) in probs.items()])
+    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    for column in dict.fromkeys(c for c, _ in probs.values()):
+        mine = {k: p for k, (c, p) in probs.items() if c == column}
+        out = out.join(_narrowed(df, keys, column, mine, few_groups, limit), keys, "left")
+    return out
+
+
+def _narrowed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], few_groups: bool, limit: int) -> DataFrame:
     ranks: dict[str, Callable[[Column], Column]] = {}
     for k, p in probs.items():
         ranks[f"{k}__a"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
         ranks[f"{k}__b"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
-    got = select_ranks(df, keys, value, ranks)
+    got = select_ranks(df, keys, value, ranks, few_groups, limit)
     out = []
     for k, p in probs.items():
         pos = F.lit(p) * (F.col("n") - 1)
         lo, hi = F.col(f"{k}__a"), F.col(f"{k}__b")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(k))
-    return got.select(*keys, "n", *out)
-
-
-def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    return percentiles(df, keys, value, {name: 0.5}).select(*keys, name)
+    return got.select(*keys, *out)
 
 
 def counted_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
