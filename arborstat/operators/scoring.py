@@ -47,14 +47,23 @@ def score_components(df: DataFrame, key: str, names: list[str], profile: str = "
     return df.select(key, F.inline(F.array(*rows)))
 
 
-def weighted_total(weights: dict[str, float], profile: str = "scorer") -> tuple[Column, Column]:
-    """(score 0-100, available weight) renormalised over the valid components; NULL score if none."""
+def with_scores(df: DataFrame, names: list[str], profile: str = "scorer") -> DataFrame:
+    """Adds raw_<component> and ok_<component>; later expressions read these columns."""
+    cols = {}
+    for n in names:
+        raw, _, valid = component(n, profile)
+        cols[f"raw_{n}"], cols[f"ok_{n}"] = raw, valid
+    return df.withColumns(cols)
+
+
+def weighted_total(weights: dict[str, float]) -> tuple[Column, Column]:
+    """(score 0-100, available weight) over the valid components of :func:`with_scores`; NULL score if none."""
     total, available = F.lit(0.0), F.lit(0.0)
     for name, w in weights.items():
-        raw, _, valid = component(name, profile)
-        total = total + F.when(valid, raw * w).otherwise(0.0)
-        available = available + F.when(valid, w).otherwise(0.0)
-    return ratio(total, F.nullif(available, F.lit(0.0))) * 10, available
+        ok = F.col(f"ok_{name}")
+        total = total + F.when(ok, F.col(f"raw_{name}") * w).otherwise(0.0)
+        available = available + F.when(ok, w).otherwise(0.0)
+    return total, available
 
 
 def assess(df: DataFrame, key: str, profile: str = "scorer") -> DataFrame:
@@ -64,16 +73,25 @@ def assess(df: DataFrame, key: str, profile: str = "scorer") -> DataFrame:
     back to 50 when nothing is valid; the rescorer computes combined from whatever
     is there and leaves an empty case unknown.
     """
-    a_score, a_conf = weighted_total(S.WEIGHTS_AIRWAY, profile)
-    c_score, c_conf = weighted_total(S.WEIGHTS_COMBINED, profile)
+    names = list(dict.fromkeys([*S.WEIGHTS_AIRWAY, *S.WEIGHTS_COMBINED]))
+    a_total, a_conf = weighted_total(S.WEIGHTS_AIRWAY)
+    c_total, c_conf = weighted_total(S.WEIGHTS_COMBINED)
+    sums = with_scores(df, names, profile).select(
+        *df.columns, a_total.alias("__at"), a_conf.alias("airway_confidence"), c_total.alias("__ct"), c_conf.alias("combined_confidence")
+    )
+
+    def score(total: str, weight: str) -> Column:
+        return ratio(total, F.nullif(F.col(weight), F.lit(0.0))) * 10
+
     unknown = None
+    a_score, c_score = score("__at", "airway_confidence"), score("__ct", "combined_confidence")
     if profile == "scorer":
         has = dbl("entropy").isNotNull() | dbl("lung_density").isNotNull()
         a_score = F.coalesce(a_score, F.lit(50.0))
-        c_score, c_conf = F.when(has, F.coalesce(c_score, F.lit(50.0))), F.when(has, c_conf)
+        c_score, c_conf = F.when(has, F.coalesce(c_score, F.lit(50.0))), F.when(has, F.col("combined_confidence"))
     else:
-        unknown = "Unknown"
-    out = df.select("*", a_score.alias("airway_score"), a_conf.alias("airway_confidence"), c_score.alias("combined_score"), c_conf.alias("combined_confidence"))
+        unknown, c_conf = "Unknown", F.col("combined_confidence")
+    out = sums.select(*df.columns, a_score.alias("airway_score"), "airway_confidence", c_score.alias("combined_score"), c_conf.alias("combined_confidence"))
     combined = F.col("combined_score").isNotNull()
     return out.withColumns({
         "airway_stage": stage("airway_score", unknown),
@@ -94,11 +112,8 @@ def rescore_counters(df: DataFrame) -> DataFrame:
 
 def findings(df: DataFrame, names: list[str], profile: str = "scorer") -> DataFrame:
     """Adds ``findings``: prominent components by stage of the overall score, and alerts."""
-    rows = []
-    for n in names:
-        raw, _, _ = component(n, profile)
-        rows.append(F.struct(F.lit(n).alias("n"), raw.alias("s")))
-    comps, score = F.array(*rows), F.col("overall_score")
+    scored = with_scores(df, names, profile)
+    comps, score = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"raw_{n}").alias("s")) for n in names]), F.col("overall_score")
 
     def above(keep) -> Column:
         return F.transform(F.filter(comps, keep), lambda c: c["n"])
@@ -106,12 +121,12 @@ def findings(df: DataFrame, names: list[str], profile: str = "scorer") -> DataFr
     alerts = F.array_compact(F.array(
         F.when(dbl("pc_ratio") < 0.25, "severe peripheral loss"), F.when(dbl("generation_coverage") < 0.70, "generation loss"),
     ))
-    return df.withColumn(
-        "findings",
+    return scored.select(
+        *df.columns,
         F.when((score >= 35) & (score < 50), above(lambda c: c["s"] > 6))
         .when((score >= 50) & (score < 70), alerts)
         .when(score >= 70, above(lambda c: c["s"] >= 8))
-        .otherwise(F.array().cast("array<string>")),
+        .otherwise(F.array().cast("array<string>")).alias("findings"),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.session import cut_lineage
+from arborstat.session import cut_and_count, cut_lineage
 
 MAX_ROUNDS = 200
 
@@ -32,9 +32,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
     of it; the nodes themselves are joined once, at the end.
     """
     big, small = F.greatest("src", "dst"), F.least("src", "dst")
-    arcs = cut_lineage(edges.where("src <> dst").select(*keys, big.alias("src"), small.alias("dst")).distinct())
+    some = F.lit(True)
+    arcs, left = cut_and_count(edges.where("src <> dst").select(*keys, big.alias("src"), small.alias("dst")).distinct(), some)
     rounds: list[DataFrame] = []
-    while not arcs.isEmpty():
+    while left:
         if len(rounds) == MAX_ROUNDS:
             raise RuntimeError("components did not converge")
         hook = _follow(arcs.groupBy(*keys, "src").agg(F.min("dst").alias("to")), keys)
@@ -43,7 +44,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
         moved = arcs.join(hook, [*keys, "src"]).join(down, [*keys, "dst"], "left").select(
             *keys, F.col("to").alias("a"), F.coalesce("to2", "dst").alias("b")
         ).where("a <> b")
-        arcs = cut_lineage(moved.select(*keys, F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct())
+        arcs, left = cut_and_count(moved.select(*keys, F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(), some)
 
     ends: DataFrame | None = None
     for hook in reversed(rounds):  # every node hooks in one round only
@@ -63,12 +64,14 @@ def _follow(hook: DataFrame, keys: list[str]) -> DataFrame:
     """Let every pointer ``src -> to`` lead to the end of its chain; pointers only ever decrease."""
     hook = cut_lineage(hook)
     for _ in range(MAX_ROUNDS):
-        nxt = hook.select(*keys, F.col("src").alias("to"), F.col("to").alias("next"))
-        hook2 = hook.join(nxt, [*keys, "to"], "left").select(*keys, "src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        hook2 = cut_lineage(hook2)
-        if hook2.where("moved").isEmpty():
+        for _ in range(2):  # each time, chains get half as long
+            nxt = hook.select(*keys, F.col("src").alias("to"), F.col("to").alias("next"))
+            hook = hook.join(nxt, [*keys, "to"], "left").select(*keys, "src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+            last, hook = hook, hook.drop("moved")
+        hook, moved = cut_and_count(last, F.col("moved"))
+        hook = hook.drop("moved")
+        if not moved:
             return hook
-        hook = hook2.drop("moved")
     raise RuntimeError("pointers did not settle")
 
 
@@ -99,7 +102,7 @@ def propagate(
     for _ in range(MAX_ROUNDS):
         for _ in range(hops_per_round):
             state = state.join(arcs, on, "left").select(*rows).groupBy(*group).agg(*aggs).select(*after)
-        state = cut_lineage(state)
-        if state.where("fresh").isEmpty():
+        state, fresh = cut_and_count(state, F.col("fresh"))
+        if not fresh:
             return state.drop("fresh")
     raise RuntimeError("propagation did not converge")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -49,3 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/arborstat-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, cond: Column) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage`, with the number of rows where ``cond`` holds, counted while writing."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count(F.when(cond, F.lit(1))).alias("n")))
+    return out, seen.get["n"]
