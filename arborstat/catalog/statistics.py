@@ -101,7 +101,17 @@ def _(t):
     return rounded(S.leave_one_out_linear(pairs(t)), ["case_id", "feature", "target", "model", "n"], ["x", "actual", "predicted"])
 
 
-@query("h09_leave_one_out_polynomial")
+# Gram-Schmidt on the rows themselves, one power at a time.
+POLY = LONG + """, s0 as (select feature, target, avg(x) as mx, stddev_pop(x) as sx, count(*) as n from l group by 1,2), z as (select case_id, feature, target, n, x, y, (x-mx)/sx as z from l join s0 using (feature,target)),
+ g1 as (select feature, target, avg(z*z*z) as c1, avg(z*z) as c0 from z group by 1,2), z2 as (select z.*, z*z-c1*z-c0 as u from z join g1 using (feature,target)),
+ g2 as (select feature, target, sum(z*z*z*u)/sum(u*u) as d2, avg(z*z*z*z) as d1, avg(z*z*z) as d0 from z2 group by 1,2), z3 as (select z2.*, z*z*z-d2*u-d1*z-d0 as v from z2 join g2 using (feature,target)),
+ c as (select feature, target, avg(y) as b0, sum(y*z)/sum(z*z) as b1, sum(y*u)/sum(u*u) as b2, sum(y*v)/sum(v*v) as b3, sum(z*z) as n1, sum(u*u) as n2, sum(v*v) as n3 from z3 group by 1,2),
+ f as (select z3.*, b0+b1*z as f1, 1.0::double/n+z*z/n1 as h1, b2*u as e2, u*u/n2 as k2, b3*v as e3, v*v/n3 as k3 from z3 join c using (feature,target)),
+ pp as (select case_id, feature, target, n, x, y as actual, 'linear' as model, y-(y-f1)/(1-h1) as predicted from f union all select case_id, feature, target, n, x, y, 'poly2', y-(y-f1-e2)/(1-h1-k2) from f
+  union all select case_id, feature, target, n, x, y, 'poly3', y-(y-f1-e2-e3)/(1-h1-k2-k3) from f)"""
+
+
+@query("h09_leave_one_out_polynomial", "cases", POLY + "select case_id, feature, target, model, n, round(x,6) as x, round(actual,6) as actual, round(predicted,6) as predicted from pp where model<>'linear'")
 def _(t):
     return rounded(S.leave_one_out(pairs(t), ["poly2", "poly3"]), ["case_id", "feature", "target", "model", "n"], ["x", "actual", "predicted"])
 
@@ -120,12 +130,16 @@ def grid(t):
     return S.error_metrics(S.leave_one_out(pairs(t)), ["feature", "target", "model"], ["m3"])
 
 
-@query("h11_model_grid")
+GRID = POLY + """, e as (select feature, target, model, count(*) as n, avg(abs(predicted-actual)) as mae, sqrt(avg((predicted-actual)*(predicted-actual))) as rmse, 1-sum((predicted-actual)*(predicted-actual))/nullif(regr_syy(actual,predicted),0) as r2, """ + r_sql("predicted", "actual") + " as r from pp group by 1,2,3)"
+GRID_COLS = "feature, target, model, n, round(mae,6) as mae, round(rmse,6) as rmse, round(r2,6) as r2, round(r,6) as pearson_r"
+
+
+@query("h11_model_grid", "cases", GRID + f"select {GRID_COLS} from e")
 def _(t):
     return rounded(grid(t), ["feature", "target", "model", "n"], ["mae", "rmse", "r2", "pearson_r"])
 
 
-@query("h12_summary_table")
+@query("h12_summary_table", "cases", GRID + f", k as (select *, row_number() over (partition by feature,target order by r2 desc, model) as rn from e) select 'all' as kind, {GRID_COLS} from e union all select 'best', {GRID_COLS} from k where rn=1")
 def _(t):
     return rounded(S.summary_table(grid(t)), ["kind", "feature", "target", "model", "n"], ["mae", "rmse", "r2", "pearson_r"])
 

@@ -31,26 +31,23 @@ class Band(NamedTuple):
     folded: bool = False  # use |x - anchor|
 
 
-def band_score(value: Column | str, bands: list[Band]) -> tuple[Column, Column]:
-    """(raw score, wording) of ``value`` under ``bands``."""
-    x = dbl(value)
-    score = F.when(x.isNull(), F.lit(NEUTRAL))
-    text = F.when(x.isNull(), F.lit("Unknown"))
+def band_score(value: str, bands: list[Band]) -> tuple[Column, Column]:
+    """(raw score, wording) of the SQL expression ``value`` under ``bands``."""
+    x = f"cast({value} as double)"
+    score, text = f"case when {x} is null then {NEUTRAL}D", f"case when {x} is null then 'Unknown'"
     for b in bands:
-        delta = x - F.lit(b.anchor)
+        delta = f"({x} - ({b.anchor}D))"
         if b.folded:
-            delta = F.abs(delta)
-        s = F.lit(b.base) + F.lit(b.gain) * delta / F.lit(b.span) if b.gain else F.lit(b.base)
+            delta = f"abs{delta}"
+        s = f"{b.base}D + ({b.gain}D) * {delta} / {b.span}D" if b.gain else f"{b.base}D"
         if b.floor is not None:
-            s = F.greatest(s, F.lit(b.floor))
+            s = f"greatest({s}, {b.floor}D)"
         if b.cap is not None:
-            s = F.least(s, F.lit(b.cap))
-        if b.upto is None:
-            score, text = score.otherwise(s), text.otherwise(b.text)
-        else:
-            hit = (x <= b.upto) if b.closed else (x < b.upto)
-            score, text = score.when(hit, s), text.when(hit, b.text)
-    return score, text
+            s = f"least({s}, {b.cap}D)"
+        when = "else" if b.upto is None else f"when {x} {'<=' if b.closed else '<'} {b.upto}D then"
+        score += f" {when} {s}"
+        text += f" {when} '{b.text}'"
+    return F.expr(f"{score} end"), F.expr(f"{text} end")
 
 
 # --- fixed values: score bands -------------------------------------------------
@@ -172,17 +169,17 @@ WEIGHTS_COMBINED = {
 IDEAL_TAPERING = 2.0 ** (-1.0 / 3.0)
 
 
-def tortuosity_score(v, profile: str = "scorer"):
+def tortuosity_score(v: str, profile: str = "scorer"):
     return band_score(v, TORTUOSITY if profile == "scorer" else TORTUOSITY_RESCORED)
 
 
-def symmetry_score(v, profile: str = "scorer"):
+def symmetry_score(v: str, profile: str = "scorer"):
     if profile == "scorer":
         return band_score(v, SYMMETRY)
-    return band_score(F.abs(F.lit(1.0) - dbl(v)), ASYMMETRY_RESCORED)
+    return band_score(f"abs(1D - {v})", ASYMMETRY_RESCORED)
 
 
-def peripheral_volume_score(diameter, branch_volume, percent) -> tuple[Column, Column, Column]:
+def peripheral_volume_score(diameter: str, branch_volume: str, percent: str) -> tuple[Column, Column, Column]:
     """(raw, wording, valid): mean of the sub-scores whose input is present."""
     d, d_text = band_score(diameter, PERIPHERAL_DIAMETER)
     v, v_text = band_score(branch_volume, PERIPHERAL_BRANCH_VOLUME)
@@ -197,10 +194,10 @@ def peripheral_volume_score(diameter, branch_volume, percent) -> tuple[Column, C
     return raw, F.when(text == "", "Unknown").otherwise(text), n > 0
 
 
-def tapering_score(mean_ratio, std_ratio) -> tuple[Column, Column]:
+def tapering_score(mean_ratio: str, std_ratio: str) -> tuple[Column, Column]:
     """Deviation of the mean adjacent ratio from its ideal, one point more when it varies a lot."""
     m = dbl(mean_ratio)
-    raw, text = band_score(F.abs(m - F.lit(IDEAL_TAPERING)), TAPERING_DEVIATION)
+    raw, text = band_score(f"abs({mean_ratio} - {IDEAL_TAPERING}D)", TAPERING_DEVIATION)
     loose = dbl(std_ratio) > 0.15
     raw = F.when(m.isNull(), NEUTRAL).otherwise(F.least(F.lit(10.0), raw + F.when(loose, 1.0).otherwise(0.0)))
     return raw, F.when(m.isNotNull() & loose, F.concat(text, F.lit(" with high variability"))).otherwise(text)

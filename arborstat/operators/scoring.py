@@ -57,13 +57,10 @@ def with_scores(df: DataFrame, names: list[str], profile: str = "scorer") -> Dat
 
 
 def weighted_total(weights: dict[str, float]) -> tuple[Column, Column]:
-    """(score 0-100, available weight) over the valid components of :func:`with_scores`; NULL score if none."""
-    total, available = F.lit(0.0), F.lit(0.0)
-    for name, w in weights.items():
-        ok = F.col(f"ok_{name}")
-        total = total + F.when(ok, F.col(f"raw_{name}") * w).otherwise(0.0)
-        available = available + F.when(ok, w).otherwise(0.0)
-    return total, available
+    """(sum of weighted scores, available weight) over the valid components of :func:`with_scores`."""
+    total = " + ".join(f"if(ok_{n}, raw_{n} * {w}D, 0D)" for n, w in weights.items())
+    available = " + ".join(f"if(ok_{n}, {w}D, 0D)" for n, w in weights.items())
+    return F.expr(f"0D + {total}"), F.expr(f"0D + {available}")
 
 
 def assess(df: DataFrame, key: str, profile: str = "scorer") -> DataFrame:

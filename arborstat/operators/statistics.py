@@ -7,8 +7,6 @@ per-row step; no group of rows is ever refitted or collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -157,56 +155,50 @@ def quartile_correlation(summary: DataFrame) -> DataFrame:
 # --- leave-one-out ----------------------------------------------------------------
 
 MODELS = {"linear": 1, "poly2": 2, "poly3": 3}
-
-
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Coefficients and inverse normal matrix per moment row (a 2x2 to 4x4 system each)."""
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            for model, degree in MODELS.items():
-                k = degree + 1
-                gram = np.array([[getattr(row, f"z{i + j}") for j in range(k)] for i in range(k)])
-                if row.n < row.min_n or row.sd is None or not row.sd > 0 or np.linalg.matrix_rank(gram) < k:
-                    continue
-                inv = np.linalg.inv(gram)
-                beta = inv @ np.array([getattr(row, f"zy{i}") for i in range(k)])
-                pad = np.zeros((4, 4))
-                pad[:k, :k] = inv
-                out.append((row.feature, row.target, model, int(row.n), row.mean, row.sd, [*beta, *([0.0] * (4 - k))], pad.ravel().tolist()))
-        yield pd.DataFrame(out, columns=["feature", "target", "model", "n", "mean", "sd", "beta", "inv"])
-
-
-SOLVED = "feature string, target string, model string, n bigint, mean double, sd double, beta array<double>, inv array<double>"
+FLAT = 1e-10  # relative norm below which a power of x adds nothing to the lower ones
 
 
 def leave_one_out(pairs: DataFrame, models: list[str] | None = None, at_least: int = 10) -> DataFrame:
     """Leave-one-out prediction of every row by linear and polynomial regression.
 
     With the hat value h of a row and its residual e under the full fit, the
-    prediction without that row is y - e/(1-h); so one pass of power sums of the
-    standardised feature and one projection replace a refit per row.
+    prediction without that row is y - e/(1-h), so nothing is refitted. Fits are
+    written in polynomials orthogonal over the standardised feature; their
+    coefficients follow from the power sums of one pass, a row per (feature, target),
+    and the fits of degree 1 to 3 are partial sums of each other.
     """
     keys = ["feature", "target"]
-    scale = pairs.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
-    z = pairs.join(F.broadcast(scale), keys)  # a row per (feature, target)
-    z = z.withColumn("z", ratio(F.col("x") - F.col("mean"), "sd"))
-    sums = z.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.lit(at_least).alias("min_n"),
-        *[F.sum(F.pow("z", F.lit(i))).alias(f"z{i}") for i in range(7)], *[F.sum(F.col("y") * F.pow("z", F.lit(i))).alias(f"zy{i}") for i in range(4)],
+    scale = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    scale = scale.where((F.col("n") >= at_least) & (F.col("sd") > 0))
+    z = pairs.join(F.broadcast(scale), keys).withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))  # a row per pair
+    powers = {0: "1D", 1: "z", 2: "z*z", 3: "z*z*z", 4: "z*z*z*z", 5: "z*z*z*z*z", 6: "z*z*z*z*z*z"}
+    m = z.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"),
+        *[F.expr(f"sum({powers[i]})").alias(f"m{i}") for i in (3, 4, 5, 6)], *[F.expr(f"sum(y*{powers[i]})").alias(f"t{i}") for i in range(4)],
     )
-    fit = sums.mapInPandas(_solve, SOLVED)
-    if models:
-        fit = fit.where(F.col("model").isin(models))
-    j = pairs.join(F.broadcast(fit), keys).withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
-    powers = [F.lit(1.0), F.col("z"), F.col("z") * F.col("z"), F.col("z") * F.col("z") * F.col("z")]
-    fitted = sum((F.col("beta")[i] * powers[i] for i in range(1, 4)), F.col("beta")[0])
-    hat = sum((F.col("inv")[4 * a + b] * powers[a] * powers[b] for a in range(4) for b in range(4)), F.lit(0.0))
-    j = j.withColumns({"fitted": fitted, "hat": hat})
-    return j.select(
-        *[c for c in pairs.columns if c not in ("feature", "target", "x", "y")], "feature", "target", "model", "n", "x", F.col("y").alias("actual"),
-        (F.col("y") - ratio(F.col("y") - F.col("fitted"), 1 - F.col("hat"))).alias("predicted"),
-    ).where("predicted is not null")
+    # p1 = z, p2 = z^2 - a1 z - 1, p3 = (z - a2) p2 - b2 z; q = squared norms, w = products with y.
+    m = m.withColumn("a1", F.expr("m3 / n")).withColumn("q2", F.expr("m4 - a1*m3 - n"))
+    m = m.withColumns({
+        "a2": F.expr("try_divide(m5 - 2*a1*m4 + (a1*a1 - 2)*m3 + 2*a1*n, q2)"), "b2": F.expr("q2 / n"), "w2": F.expr("t2 - a1*t1 - t0"),
+    })
+    m = m.withColumns({
+        "q3": F.expr("m6 - (a1 + a2)*m5 + (a1*a2 - 1 - b2)*m4 + a2*m3"), "w3": F.expr("t3 - (a1 + a2)*t2 + (a1*a2 - 1 - b2)*t1 + a2*t0"),
+    }).select(*keys, "n", "mean", "sd", "a1", "a2", "b2", "q2", "q3", "t0", "t1", "w2", "w3")
+    j = pairs.join(F.broadcast(m), keys).withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
+    j = j.withColumn("p2", F.expr("z*z - a1*z - 1")).withColumn("p3", F.expr("(z - a2)*p2 - b2*z"))
+    j = j.withColumns({"fit1": F.expr("t0/n + t1/n*z"), "hat1": F.expr("1D/n + z*z/n")})
+    j = j.withColumns({
+        "fit2": F.expr(f"if(q2 > {FLAT}*n, fit1 + w2/q2*p2, null)"), "hat2": F.expr(f"if(q2 > {FLAT}*n, hat1 + p2*p2/q2, null)"),
+    })
+    j = j.withColumns({
+        "fit3": F.expr(f"if(q3 > {FLAT}*n, fit2 + w3/q3*p3, null)"), "hat3": F.expr(f"if(q3 > {FLAT}*n, hat2 + p3*p3/q3, null)"),
+    })
+    rows = [
+        F.struct(F.lit(k).alias("model"), F.expr(f"y - try_divide(y - fit{d}, 1 - hat{d})").alias("predicted"))
+        for k, d in MODELS.items() if not models or k in models
+    ]
+    own = [c for c in pairs.columns if c not in ("feature", "target", "x", "y")]
+    return j.select(*own, *keys, "n", "x", F.col("y").alias("actual"), F.inline(F.array(*rows))).where("predicted is not null")
 
 
 def leave_one_out_linear(pairs: DataFrame, at_least: int = 10) -> DataFrame:
