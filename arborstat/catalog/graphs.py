@@ -8,7 +8,6 @@ from arborstat.catalog import query, r6
 from arborstat.operators import components as C, graphs as G
 from arborstat.plans.propagation import connected_components
 
-ONE = F.lit(1).alias("scan_id")
 
 
 def graph(t):
@@ -114,7 +113,7 @@ def _(t):
 
 @query("j09_nearest_node", "nodes", "select arg_min(node,(sqrt((z-25)*(z-25)+(y-6)*(y-6)+(x-3)*(x-3)),node)) as node, round(min(sqrt((z-25)*(z-25)+(y-6)*(y-6)+(x-3)*(x-3))),6) as distance from nodes")
 def _(t):
-    n = t.nodes.select("*", ONE)
+    n = t.nodes.select("*", F.lit(1).alias("scan_id"))
     target = n.groupBy("scan_id").agg(F.lit(25).alias("tz"), F.lit(6).alias("ty"), F.lit(3).alias("tx"))
     return G.nearest_node(n, target, K).select("node", r6("distance").alias("distance"))
 

@@ -148,7 +148,7 @@ i as (select *, row_number() over w-1 as idx, avg(n) over (partition by event_ty
 d as (select event_type, idx, case when lead(f) over w then lead(a) over w-a end as st from i window w as (partition by event_type order by day)),
 l as (select event_type, count(*) as n, avg(abs(st))+2*stddev_pop(st) as lim from d group by 1),
 m as (select event_type, max(n) as n, min(idx) filter (where st>lim) as sp from d join l using (event_type) group by 1)
-select event_type, sp is not null as found, coalesce(least(sp+5,n-1),n//2)::bigint as index from m""")
+select event_type, sp is not null as found, cast(case when sp is not null then least(sp+5,n-1) else n//2 end as bigint) as index from m""")
 def _(t):
     daily = t.raw("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return L.moving_average_spike(daily, "event_type", "day", "n")

@@ -29,7 +29,8 @@ def ratio_or_zero(num: Column | str, den: Column | str) -> Column:
 
 
 def clip(c: Column | str, lo, hi) -> Column:
-    return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))
+    """c held inside [lo, hi]; NULL stays NULL, which least and greatest alone would lose."""
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi)))
 
 
 def between(c: Column | str, lo: float, hi: float) -> Column:

@@ -223,6 +223,6 @@ def moving_average_spike(series: DataFrame, key: str, order: str, value: str, wi
         .agg(F.max("__rows").alias("n"), F.min(F.when(F.col("step") > F.col("limit"), F.col("idx"))).alias("spike"))
         .select(
             key, F.col("spike").isNotNull().alias("found"),
-            F.coalesce(F.least(F.col("spike") + width, F.col("n") - 1), F.floor(F.col("n") / 2)).cast("long").alias("index"),
+            F.when(F.col("spike").isNotNull(), F.least(F.col("spike") + width, F.col("n") - 1)).otherwise(F.floor(F.col("n") / 2)).cast("long").alias("index"),
         )
     )

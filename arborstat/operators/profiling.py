@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.labels import issue_reason
-from arborstat.functions.numeric import count_if, dbl, ratio
+from arborstat.functions.numeric import clip, count_if, dbl, ratio
 from arborstat.operators.comparison import unpivot_metrics
 from arborstat.plans.selection import grouped
 
@@ -183,9 +183,9 @@ def recalibration(stats: DataFrame, target_mean: float, target_std: float, targe
     m, air = dbl("mean"), dbl("air_peak")
     structured = (air <= -500) & (dbl("lung_percentage") >= 0.1) & dbl("range").between(500, 6000) & (dbl("p01") <= -500)
     needed = (F.abs(m - target_mean) > 2.5 * target_std) | (F.abs(air - target_air) > 200)
-    offset = F.least(F.greatest(F.lit(target_mean) - m, F.lit(-500.0)), F.lit(500.0))
+    offset = clip(F.lit(target_mean) - m, -500.0, 500.0)
     raw = F.when(F.abs(air - target_air) > 100, F.coalesce(ratio(F.lit(target_air), air), F.lit(1.0))).otherwise(1.0)
-    s = stats.withColumns({"offset": offset, "scale": F.least(F.greatest(raw, F.lit(0.8)), F.lit(1.25))})
+    s = stats.withColumns({"offset": offset, "scale": clip(raw, 0.8, 1.25)})
     new_m, new_air = m * F.col("scale") + F.col("offset"), air * F.col("scale") + F.col("offset")
     sane = new_m.between(-900, -200) & new_air.between(-1100, -850)
 
