@@ -18,7 +18,7 @@ SCORE = {
     "parenchymal_density": "case when lung_density is null then 5 when lung_density<-900 then 0 when lung_density<-850 then greatest(0,(-850-lung_density)/50) when lung_density<-750 then 1+(-750-lung_density)/100*2 when lung_density<-700 then 3+(-700-lung_density)/50*2 when lung_density<-650 then 5+(-650-lung_density)/50*2 when lung_density<-600 then 7+(-600-lung_density)/50*2 else 9+least(1,(-600-lung_density)/50) end",
 }
 TEXT = {
-    "pc_ratio": "case when pc_ratio is null then 'Unknown' when pc_ratio<0.15 then 'Severe peripheral airway loss' when pc_ratio<0.25 then 'Moderate to severe peripheral loss' when pc_ratio<0.4 then 'Mild peripheral airway loss' when pc_ratio<=0.65 then 'Within normal range' else 'Unusually high' end",
+    "pc_ratio": "case when pc_ratio is null then 'Unknown' when pc_ratio<0.15 then 'Severe peripheral airway loss' when pc_ratio<0.25 then 'Moderate to severe peripheral loss' when pc_ratio<0.4 then 'Mild peripheral airway loss' when pc_ratio<=0.65 then 'Within normal range' else 'Unusually high (possible compensatory changes)' end",
     "tortuosity": "case when tortuosity is null then 'Unknown' when tortuosity<1 then 'Unusually straight airways' when tortuosity<=1.5 then 'Within normal range' when tortuosity<=2 then 'Mild airway distortion' when tortuosity<=2.5 then 'Moderate airway distortion' else 'Severe airway distortion' end",
     "symmetry": "case when symmetry is null then 'Unknown' when symmetry>0.9 then 'Highly symmetric - bilateral disease pattern' when symmetry>=0.8 then 'Good symmetry with minor differences' when symmetry>=0.7 then 'Fair symmetry' when symmetry>=0.5 then 'Moderate asymmetry - possible focal disease' else 'Severe asymmetry - unilateral predominance' end",
     "peripheral_density": "case when peripheral_density is null then 'Unknown' when peripheral_density<0.03 then 'Severe peripheral airway loss' when peripheral_density<0.05 then 'Moderate to severe peripheral loss' when peripheral_density<0.08 then 'Mild peripheral airway loss' when peripheral_density<=0.15 then 'Within normal range' else 'Excellent peripheral preservation' end",
@@ -150,6 +150,11 @@ def _(t):
     return _totals(t, "rescorer")
 
 
+@query("c12_airway_rescoring", "scored", total_sql("rescorer") + f"select case_id, round(coalesce(air,50),6) as score, round(airc::double,6) as confidence, {stage_sql('coalesce(air,50)')} as stage from o")
+def _(t):
+    return scoring.assess_airway(t.scored).select("case_id", r6("score").alias("score"), r6("confidence").alias("confidence"), "stage")
+
+
 @query("c13_method_selection", "scored", total_sql("scorer") + f"select case_id, round(ov,6) as overall_score, {stage_sql('ov')} as overall_stage, round(ovc::double,6) as overall_confidence from o")
 def _(t):
     a = scoring.assess(t.scored, "case_id")

@@ -150,11 +150,9 @@ def _(t):
     return rounded(S.summary_table(grid(t)), ["kind", "feature", "target", "model", "n"], ["mae", "rmse", "r2", "pearson_r"])
 
 
-@query("f17_best_model", "cases", ERR + ", k as (select *, row_number() over (partition by target order by r2 desc, feature) as rn from e) select target, feature, model, round(r2,6) as r2 from k where rn=1")
+@query("f17_best_model", "cases", GRID + f", k as (select *, row_number() over (partition by feature,target order by r2 desc, model) as rn from e) select {GRID_COLS} from k where rn=1")
 def _(t):
-    m = S.error_metrics(S.leave_one_out(pairs(t), ["linear"]), ["feature", "target", "model"])
-    best = S.best_models(m)
-    return best.groupBy("target").agg(F.min_by(F.struct("feature", "model", "r2"), F.struct(-F.col("r2"), "feature")).alias("b")).select("target", "b.feature", "b.model", r6("b.r2").alias("r2"))
+    return rounded(S.best_models(grid(t)), ["feature", "target", "model", "n"], ["mae", "rmse", "r2", "pearson_r"])
 
 
 @query("h13_bland_altman", "cases", LOO + """, d as (select feature, target, count(*) as n, avg(actual-predicted) as b, stddev_pop(actual-predicted) as s from p group by 1,2)

@@ -31,10 +31,10 @@ class Band(NamedTuple):
     folded: bool = False  # use |x - anchor|
 
 
-def band_score(value: str, bands: list[Band]) -> tuple[Column, Column]:
+def band_score(value: str, bands: list[Band], missing: str = "Unknown") -> tuple[Column, Column]:
     """(raw score, wording) of the SQL expression ``value`` under ``bands``."""
     x = f"cast({value} as double)"
-    score, text = f"case when {x} is null then {NEUTRAL}D", f"case when {x} is null then 'Unknown'"
+    score, text = f"case when {x} is null then {NEUTRAL}D", f"case when {x} is null then '{missing}'"
     for b in bands:
         delta = f"({x} - ({b.anchor}D))"
         if b.folded:
@@ -56,8 +56,9 @@ PC_RATIO = [
     Band(0.25, False, 7.0, "Moderate to severe peripheral loss", -3.0, 0.25, 0.10),
     Band(0.40, False, 4.0, "Mild peripheral airway loss", -3.0, 0.40, 0.15),
     Band(0.65, True, 0.0, "Within normal range", 1.5, 0.45, 0.15, cap=3.0, folded=True),
-    Band(None, False, 2.0, "Unusually high", 1.0, 0.65, 0.20, cap=3.0),
+    Band(None, False, 2.0, "Unusually high (possible compensatory changes)", 1.0, 0.65, 0.20, cap=3.0),
 ]
+PC_RATIO_RESCORED = [*PC_RATIO[:-1], PC_RATIO[-1]._replace(text="Unusually high")]
 TORTUOSITY = [
     Band(1.0, False, 1.0, "Unusually straight airways", -2.0, 1.0),
     Band(1.5, True, 0.0, "Within normal range", 1.5, 1.25, 0.15, cap=3.0, folded=True),
@@ -139,6 +140,7 @@ PARENCHYMAL_ENTROPY = [
     Band(6.5, False, 6.0, "Marked texture heterogeneity", 2.0, 6.0, 0.5),
     Band(None, False, 8.0, "Severe texture heterogeneity", 2.0, 6.5, 0.5, cap=10.0),
 ]
+PARENCHYMAL_ENTROPY_RESCORED = [PARENCHYMAL_ENTROPY[0]._replace(text="Very homogeneous"), *PARENCHYMAL_ENTROPY[1:]]
 # Inside each band the score falls as density rises; that is part of the score.
 PARENCHYMAL_DENSITY = [
     Band(-900.0, False, 0.0, "Very low density (emphysematous)"),

@@ -85,10 +85,10 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
 
 def path_distances(edges: DataFrame, root: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, distance): shortest length from the root; unreachable nodes are absent."""
-    seeds = root.select(*keys, F.col("root").alias("node"), F.struct(F.lit(0.0).alias("distance")).alias("best"))
+    seeds = root.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("best"))
     arcs = both_ways(edges, keys, "length").where("src <> dst")
-    out = propagate(seeds, arcs, keys, lambda best: F.struct((best["distance"] + F.col("length")).alias("distance")))
-    return out.select(*keys, "node", "best.distance")
+    out = propagate(seeds, arcs, keys, lambda best: best + F.col("length"))
+    return out.withColumnRenamed("best", "distance")
 
 
 def branch_distances(edges: DataFrame, distances: DataFrame, keys: list[str]) -> DataFrame:

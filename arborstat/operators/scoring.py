@@ -29,6 +29,12 @@ def component(name: str, profile: str = "scorer") -> tuple[Column, Column, Colum
         raw, text = S.tortuosity_score(value, profile)
     elif name == "symmetry":
         raw, text = S.symmetry_score(value, profile)
+    elif profile != "scorer" and name == "pc_ratio":
+        raw, text = S.band_score(value, S.PC_RATIO_RESCORED)
+    elif profile != "scorer" and name == "parenchymal_entropy":
+        raw, text = S.band_score(value, S.PARENCHYMAL_ENTROPY_RESCORED, "Not available")
+    elif profile != "scorer" and name == "parenchymal_density":
+        raw, text = S.band_score(value, S.PARENCHYMAL_DENSITY, "Not available")
     else:
         bands = {
             "pc_ratio": S.PC_RATIO, "peripheral_density": S.PERIPHERAL_DENSITY, "parenchymal_entropy": S.PARENCHYMAL_ENTROPY,
@@ -98,6 +104,14 @@ def assess(df: DataFrame, key: str, profile: str = "scorer") -> DataFrame:
     }).withColumn("overall_stage", stage("overall_score", unknown))
 
 
+def assess_airway(df: DataFrame) -> DataFrame:
+    """Airway-only rescoring: rescored components, 50 when no component is valid."""
+    total, available = weighted_total(S.WEIGHTS_AIRWAY)
+    out = with_scores(df, list(S.WEIGHTS_AIRWAY), "rescorer").select(*df.columns, total.alias("__total"), available.alias("confidence"))
+    score = ratio("__total", F.nullif(F.col("confidence"), F.lit(0.0))) * 10
+    return out.withColumn("score", F.coalesce(score, F.lit(50.0))).drop("__total").withColumn("stage", stage("score"))
+
+
 def rescore_counters(df: DataFrame) -> DataFrame:
     """One row of batch counters over assessed cases."""
     missing = dbl("entropy").isNull() & dbl("lung_density").isNull()

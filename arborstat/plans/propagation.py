@@ -80,7 +80,8 @@ def propagate(
 ) -> DataFrame:
     """Smallest reachable value per node: (keys, node, best).
 
-    ``seeds`` has keys, node and an orderable struct ``best``; ``arcs`` has keys, src,
+    ``seeds`` has keys, node and an orderable ``best`` (a struct, or a number, which
+    aggregates without a sort); ``arcs`` has keys, src,
     dst and whatever ``step`` reads (besides ``node``, the source) to turn the source's
     ``best`` into the target's. Only nodes whose value changed in the last hop send.
     Several hops run in one round before the state is written and looked at.

@@ -15,13 +15,13 @@ from arborstat.session import cut_lineage
 AXES = ("z", "y", "x")
 
 
-def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), levels: int = 6) -> DataFrame:
+def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Closest point of ``b`` for each (keys, group) of ``a``.
 
     ``a`` has keys, group, z, y, x (integers); ``b`` has keys, z, y, x. ``spacing`` is
     mm per step as (x, y, z). Result: keys, group, distance and both points; ties go
-    to the smallest points. At the coarsest level a box spans 2^levels steps, so the
-    number of boxes is set by the extent of the volume, not by the number of points.
+    to the smallest points. The coarsest boxes are an eighth of the widest volume, so
+    their number does not depend on the number of points.
     """
     mm = dict(zip(AXES, (spacing[2], spacing[1], spacing[0])))
     a = a.select(*keys, group, *[F.col(c).cast("int").alias(f"a{c}") for c in AXES]).distinct()
@@ -40,8 +40,10 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
             hi.append((d + (side - 1)) * mm[c])
         return tuple(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) for v in (lo, hi))
 
+    widest = F.greatest(*[F.max(f"b{c}") - F.min(f"b{c}") for c in AXES]).alias("w")
+    level = max(0, (b.groupBy(*keys).agg(widest).agg(F.max("w")).first()[0] or 0).bit_length() - 3)
     pairs = None
-    for level in range(levels, -1, -2 if levels % 2 == 0 else -1):
+    while True:
         ca, cb = boxes(a, "a", level, [group]), boxes(b, "b", level, [])
         if pairs is None:
             joined = ca.join(cb, keys)  # coarsest boxes of one volume
@@ -60,7 +62,7 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
         joined = cut_lineage(joined)
         limit = joined.groupBy(*keys, group).agg(F.min("hi").alias("limit"))
         pairs = joined.join(limit, [*keys, group]).where(F.col("lo") <= F.col("limit")).drop("lo", "hi", "limit")
-        prev = level
+        prev, level = level, max(0, level - 2)
 
 
 def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: int) -> DataFrame:
