@@ -67,20 +67,23 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
     if root is None:
         root = select_root(nodes, degree, keys)
     roots = component_roots(connected_components(g, nodes, keys), degree, root, keys)
-    seeds = roots.select(*keys, F.col("root").alias("node"), F.struct(
-        F.lit(0).alias("hop"), F.lit(-1).alias("generation"), F.lit(None).cast("long").alias("parent")).alias("best"))
-    splits = degree.select(*keys, F.col("node").alias("src"), (F.col("degree") >= 3).cast("int").alias("split"))
+    # Hop and generation share one number, hop first, so that the smallest is the
+    # smallest generation among the fewest hops and aggregates as a plain long.
+    hop = 1 << 32
+    seeds = roots.select(*keys, F.col("root").alias("node"), F.lit(0).cast("long").alias("best"))
+    splits = degree.select(*keys, F.col("node").alias("src"), (F.col("degree") >= 3).cast("long").alias("split"))
     arcs = both_ways(g, keys).where("src <> dst").join(splits, [*keys, "src"])
+    tree = propagate(seeds, arcs, keys, lambda best: best + F.lit(hop) + F.col("split"))
+    generation = (F.col("best").bitwiseAND(F.lit(hop - 1)) - 1).cast("int").alias("generation")
 
-    def step(best: Column) -> Column:
-        return F.struct((best["hop"] + 1).alias("hop"), (best["generation"] + F.col("split")).alias("generation"), F.col("node").alias("parent"))
+    def at(end: str) -> DataFrame:
+        return tree.select(*keys, F.col("node").alias(end), F.col("best").alias(f"best_{end}"))
 
-    tree = propagate(seeds, arcs, keys, step)
-    node_gen = tree.select(*keys, "node", F.col("best.generation").alias("generation"))
-    link = tree.where("best.parent is not null").select(
-        *keys, F.least("node", "best.parent").alias("src"), F.greatest("node", "best.parent").alias("dst"), F.col("best.generation").alias("generation")
+    down = arcs.join(at("src"), [*keys, "src"]).join(at("dst"), [*keys, "dst"]).where(F.col("best_dst") == F.col("best_src") + F.lit(hop) + F.col("split"))
+    link = down.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.max("best_dst").alias("best")).select(
+        *keys, F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), generation
     )
-    return node_gen, g.join(link, [*keys, "src", "dst"], "left")
+    return tree.select(*keys, "node", generation), g.join(link, [*keys, "src", "dst"], "left")
 
 
 def path_distances(edges: DataFrame, root: DataFrame, keys: list[str]) -> DataFrame:
