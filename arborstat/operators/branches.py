@@ -74,33 +74,50 @@ def volume_by_generation(branches: DataFrame) -> DataFrame:
     return g.withColumn("total_volume_mm3", F.sum("volume_mm3").over(Window.partitionBy("scan_id")))
 
 
+def _coverage_aggs() -> list[Column]:
+    return [
+        F.min("generation").alias("__lo"), F.max("generation").alias("__hi"),
+        F.collect_set("generation").alias("__present"),  # distinct small integers
+    ]
+
+
+def _finish_coverage(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "generation_coverage": ratio(F.size("__present"), F.col("__hi") - F.col("__lo") + 1),
+        "missing_generations": F.array_sort(F.array_except(F.sequence("__lo", "__hi"), "__present")),
+        "n_present": F.size("__present").cast("long"),
+    }).drop("__lo", "__hi", "__present")
+
+
 def generation_coverage(branches: DataFrame) -> DataFrame:
     """Present share of the generations between the smallest and largest, and the missing ones."""
-    present = branches.where("generation is not null").select("scan_id", "generation").distinct()
-    g = present.groupBy("scan_id").agg(
-        F.min("generation").alias("lo"), F.max("generation").alias("hi"), F.count("*").alias("n_present"),
-        F.collect_set("generation").alias("present"),  # distinct small integers
-    )
-    return g.select(
-        "scan_id", "n_present", ratio("n_present", F.col("hi") - F.col("lo") + 1).alias("generation_coverage"),
-        F.array_sort(F.array_except(F.sequence("lo", "hi"), "present")).alias("missing_generations"),
-    )
+    return _finish_coverage(branches.where("generation is not null").groupBy("scan_id").agg(*_coverage_aggs()))
 
 
-def region_rollup(branches: DataFrame) -> DataFrame:
-    """Volume and count per region and their peripheral-to-central ratios."""
-    b = with_geometry(branches)
-    regions = {"central": is_central(), "intermediate": is_intermediate(), "peripheral": is_peripheral()}
+# Each family of per-scan metrics is a list of aggregates and a finishing step, so that
+# one pass over the branches can serve any of them, or all (metric_vector).
+
+
+def _region_aggs() -> list[Column]:
     aggs = []
-    for name, cond in regions.items():
+    for name, cond in {"central": is_central(), "intermediate": is_intermediate(), "peripheral": is_peripheral()}.items():
         aggs.append(F.coalesce(sum_if(cond, "volume_mm3"), F.lit(0.0)).alias(f"{name}_volume_mm3"))
         aggs.append(count_if(cond).alias(f"{name}_branch_count"))
-    return b.groupBy("scan_id").agg(*aggs).withColumns({
+    return aggs
+
+
+def _finish_regions(df: DataFrame) -> DataFrame:
+    return df.withColumns({
         "peripheral_to_central_ratio": ratio_or_zero("peripheral_volume_mm3", "central_volume_mm3"),
         "peripheral_to_central_branch_ratio": ratio_or_zero("peripheral_branch_count", "central_branch_count"),
     })
 
 
+def region_rollup(branches: DataFrame) -> DataFrame:
+    """Volume and count per region and their peripheral-to-central ratios."""
+    return _finish_regions(with_geometry(branches).groupBy("scan_id").agg(*_region_aggs()))
+
+
 def region_breakdown(rollup: DataFrame) -> DataFrame:
     """Three rows per scan from the wide roll-up."""
     rows = [
@@ -110,30 +127,49 @@ def region_breakdown(rollup: DataFrame) -> DataFrame:
     return rollup.select("scan_id", F.inline(F.array(*rows)))
 
 
-def peripheral_stats(branches: DataFrame) -> DataFrame:
-    """Peripheral diameters, volumes, density and the central/peripheral diameter ratio."""
-    b = with_geometry(branches)
-    per, cen = is_peripheral(), is_central()
-    total = sum_if(F.col("generation").isNotNull(), "volume_mm3")
-    b = b.withColumns({"__pd": F.when(per, F.col("diameter_mean_mm")), "__pv": F.when(per, F.col("volume_mm3"))})
-    s = grouped(b, ["scan_id"], [
-        count_if(per).alias("__n"), F.coalesce(F.sum("__pv"), F.lit(0.0)).alias("__v"), total.alias("__total"),
+def _with_peripheral(branches: DataFrame) -> DataFrame:
+    per = is_peripheral()
+    return with_geometry(branches).withColumns({"__pd": F.when(per, F.col("diameter_mean_mm")), "__pv": F.when(per, F.col("volume_mm3"))})
+
+
+def _peripheral_aggs() -> list[Column]:
+    return [
+        count_if(is_peripheral()).alias("__n"), F.coalesce(F.sum("__pv"), F.lit(0.0)).alias("__v"),
+        sum_if(F.col("generation").isNotNull(), "volume_mm3").alias("total_volume_mm3"),
         F.avg("__pd").alias("mean_peripheral_diameter_mm"), F.stddev_samp("__pd").alias("std_peripheral_diameter_mm"),
-        F.avg("__pv").alias("mean_peripheral_branch_volume_mm3"), F.avg(F.when(cen, F.col("diameter_mean_mm"))).alias("__central"),
-    ], {"median_peripheral_diameter_mm": ("__pd", 0.5), "median_peripheral_branch_volume_mm3": ("__pv", 0.5)})
+        F.avg("__pv").alias("mean_peripheral_branch_volume_mm3"), F.avg(F.when(is_central(), F.col("diameter_mean_mm"))).alias("__central"),
+    ]
+
+
+PERIPHERAL_MEDIANS = {"median_peripheral_diameter_mm": ("__pd", 0.5), "median_peripheral_branch_volume_mm3": ("__pv", 0.5)}
+
+
+def _finish_peripheral(df: DataFrame) -> DataFrame:
     has = F.col("mean_peripheral_diameter_mm").isNotNull()
-    return s.withColumns({
-        "peripheral_volume_percent": ratio_or_zero("__v", "__total") * 100,
+    return df.withColumns({
+        "peripheral_volume_percent": ratio_or_zero("__v", "total_volume_mm3") * 100,
         "peripheral_branch_density": ratio_or_zero("__n", "__v"),
         "mean_central_diameter_mm": F.when(has, F.col("__central")),
         "central_to_peripheral_diameter_ratio": F.when(F.col("mean_peripheral_diameter_mm") > 0, ratio("__central", "mean_peripheral_diameter_mm")),
-    }).drop("__n", "__v", "__total", "__central")
+    }).drop("__n", "__v", "__central")
+
+
+def peripheral_stats(branches: DataFrame) -> DataFrame:
+    """Peripheral diameters, volumes, density and the central/peripheral diameter ratio."""
+    s = grouped(_with_peripheral(branches), ["scan_id"], _peripheral_aggs(), PERIPHERAL_MEDIANS)
+    return _finish_peripheral(s).drop("total_volume_mm3")
+
+
+def _variation_aggs() -> list[Column]:
+    return [F.avg("diameter_mean_mm").alias("diameter_mean_all"), F.stddev_samp("diameter_mean_mm").alias("diameter_std_all")]
+
+
+def _finish_variation(df: DataFrame) -> DataFrame:
+    return df.withColumn("diameter_cv", F.when(F.col("diameter_mean_all") > 0, ratio("diameter_std_all", "diameter_mean_all")))
 
 
 def diameter_variation(branches: DataFrame) -> DataFrame:
-    return branches.groupBy("scan_id").agg(
-        F.avg("diameter_mean_mm").alias("diameter_mean_all"), F.stddev_samp("diameter_mean_mm").alias("diameter_std_all")
-    ).withColumn("diameter_cv", F.when(F.col("diameter_mean_all") > 0, ratio("diameter_std_all", "diameter_mean_all")))
+    return _finish_variation(branches.groupBy("scan_id").agg(*_variation_aggs()))
 
 
 def edge_tortuosity(edges: DataFrame, nodes: DataFrame, keys: list[str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -166,15 +202,16 @@ def tortuosity_summary(edges: DataFrame, nodes: DataFrame, keys: list[str], spac
 
 
 def metric_vector(branches: DataFrame, tortuosity: DataFrame | None = None, symmetry: DataFrame | None = None) -> DataFrame:
-    """One row per scan with every branch-level metric; graph metrics are joined when given."""
-    total = with_geometry(branches).groupBy("scan_id").agg(
-        sum_if(F.col("generation").isNotNull(), "volume_mm3").alias("total_volume_mm3"),
+    """One row per scan with every branch-level metric, in one pass; graph metrics are joined when given."""
+    aggs = [
+        *_peripheral_aggs(), *_region_aggs(), *_variation_aggs(), *_coverage_aggs(),
         F.avg("diameter_to_length_ratio").alias("mean_diameter_to_length_ratio"),
-    )
-    out = total
-    parts = [generation_coverage(branches).drop("n_present"), region_rollup(branches), peripheral_stats(branches), diameter_variation(branches)]
-    for p in parts + [x for x in (tortuosity, symmetry) if x is not None]:
-        out = out.join(p, "scan_id", "left")
+    ]
+    out = grouped(_with_peripheral(branches), ["scan_id"], aggs, PERIPHERAL_MEDIANS)
+    out = _finish_coverage(_finish_variation(_finish_regions(_finish_peripheral(out)))).drop("n_present")
+    for p in (tortuosity, symmetry):
+        if p is not None:
+            out = out.join(p, "scan_id", "left")
     return out
 
 
