@@ -26,8 +26,9 @@ from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single space between two other characters always starts a word, whatever stands around it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces whose ids are kept between slices of one task, at most.
+#: Pieces and words whose ids a task keeps between slices, at most.
 KEPT_PIECES = 600_000
+KEPT_WORDS = 500_000
 #: Longest stretch of one text, in characters, whose pieces are held at once.
 STRETCH = 1_000_000
 FOREVER = 1 << 60
@@ -75,6 +76,7 @@ class ByteBpe:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.four = [i.to_bytes(4, "little") for i in range(len(self.born))]
         self.inner: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
 
     def _add(self, token: bytes, i: int) -> None:
         """Put a token into the automaton of vocabulary prefixes; ``step[state << 8 | byte]`` is the next state."""
@@ -162,10 +164,13 @@ class ByteBpe:
         yield text[at:]
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of texts without special tokens: their distinct words in one walk."""
-        cut = {p: [p.encode()] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else [w.encode() for w in self.word.findall(p)] for p in pieces}
-        words = sorted({w for ws in cut.values() for w in ws})
-        of = dict(zip(words, self.encode_words(words)))
+        """Packed ids of texts without special tokens: their new distinct words in one walk."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
+        cut = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.word.findall(p) for p in pieces}
+        of = self.words
+        words = sorted({w.encode(): w for ws in cut.values() for w in ws if w not in of}.items())
+        of.update(zip([w for _, w in words], self.encode_words([b for b, _ in words])))
         return {p: of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws]) for p, ws in cut.items()}
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
