@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, token_counts
+from arborstat.llm import bpe, jaccard_join, token_counts
 from arborstat.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, long ones by overlapping chunks."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
+
+
+@query("op10_jaccard_join")
+def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have Jaccard similarity 0.9 or more."""
+    return jaccard_join.components(table(spark, sf_dir, "documents"), n=3, percent=90)
