@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, token_counts
+from arborstat.llm import bpe, jaccard_join, secrets, token_counts
 from arborstat.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,14 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have Jaccard similarity 0.9 or more."""
     return jaccard_join.components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+#: Spans of the three base kinds and more, over whole texts; the engine of the SQL finds no places, so there is none.
+@query("op3_secrets")
+def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base counts and digest, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+    counts = [F.size(secrets.of_kind("spans", k)).cast("bigint").alias(f"n_{k}") for k in base]
+    digest = F.sha2(secrets.written(secrets.of_kind("spans", *base)).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.written("spans").alias("spans"))
