@@ -27,8 +27,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: A single space between two other characters always starts a word, whatever stands around it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces and words whose ids a task keeps between slices, at most.
-KEPT_PIECES = 600_000
-KEPT_WORDS = 500_000
+KEPT_PIECES = 200_000
+KEPT_WORDS = 200_000
 #: Longest stretch of one text, in characters, whose pieces are held at once.
 STRETCH = 1_000_000
 FOREVER = 1 << 60
@@ -41,6 +41,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes that each id of a vocabulary file stands for."""
+    letters = byte_letters()
+    of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+    return of | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
 class ByteBpe:
     """Vocabulary and merges of a byte-level BPE file, with the walk that encodes words."""
 
@@ -50,11 +57,8 @@ class ByteBpe:
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model["type"] != "BPE":
             raise ValueError(f"{path} is not a plain byte-level BPE")
-        letters = byte_letters()
-        as_bytes = {t: bytes(letters[c] for c in t) for t in model["vocab"] if all(c in letters for c in t)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of: dict[int, bytes] = {i: as_bytes[t] for t, i in model["vocab"].items() if t in as_bytes}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = token_bytes(spec)
         self.rank: dict[tuple[int, int], int] = {}
         self.born, self.left, self.right = ([0] * (max(self.bytes_of) + 1) for _ in range(3))
         vocab = model["vocab"]
@@ -106,7 +110,7 @@ class ByteBpe:
                 until, y = born[y] + 1, self.left[y]
             else:
                 until, x = born[x], self.right[x]
-        if len(self.apart_memo) > 2_000_000:
+        if len(self.apart_memo) > 400_000:
             self.apart_memo.clear()
         self.apart_memo[a, b] = good
         return good
@@ -215,9 +219,9 @@ class ByteBpe:
             return [b"".join([self.encode_group([s])[0] for s in self.stretches(t)]) for t in texts]
         return self.encode_group(texts)
 
-    def decode(self, packed: bytes) -> str:
-        of = self.bytes_of
-        return b"".join([of.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+
+def decode_ids(packed: bytes, of: dict[int, bytes]) -> str:
+    return b"".join([of.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -225,6 +229,12 @@ def loaded(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(2)
+def loaded_bytes(path: str) -> dict[int, bytes]:
+    with open(path, encoding="utf-8") as f:
+        return token_bytes(json.load(f))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text.
 
@@ -250,11 +260,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str] | No
     keep = [c for c in encoded.columns if c != ids] if keep is None else keep
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        of = loaded_bytes(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 b = batch.slice(at, 1000)
-                yield with_columns(b, keep, {"decoded": pa.array([bpe.decode(x or b"") for x in b.column("__ids").to_pylist()], pa.string())})
+                yield with_columns(b, keep, {"decoded": pa.array([decode_ids(x or b"", of) for x in b.column("__ids").to_pylist()], pa.string())})
 
     given = encoded.select(*keep, F.col(ids).alias("__ids"))
     return given.mapInArrow(run, schema_of(encoded, keep, "decoded string"))
