@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, secrets, token_counts
-from arborstat.llm.common import table
+from arborstat.llm import bpe, jaccard_join, language_crf, secrets, token_counts
+from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,12 @@ def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(secrets.of_kind("spans", k)).cast("bigint").alias(f"n_{k}") for k in base]
     digest = F.sha2(secrets.written(secrets.of_kind("spans", *base)).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, secrets.written("spans").alias("spans"))
+
+
+@query("op8_language_crf")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a conditional random field over its words."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.train(docs, ~held_out())
+    found = language_crf.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
