@@ -51,4 +51,4 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array
 
 def schema_of(df: DataFrame, keep: list[str], new: str) -> str:
     """DDL of the columns ``keep`` of ``df`` followed by ``new``."""
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep), new])
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), new])

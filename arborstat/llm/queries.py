@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, language_crf, secrets, token_counts
+from arborstat.llm import bpe, jaccard_join, language_crf, mixing, secrets, token_counts
 from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,35 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.train(docs, ~held_out())
     found = language_crf.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+MIX_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce('=' || source, '') s, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint tokens,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':1'), 1, 15))::bigint place, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':1:in'), 1, 15))::bigint inner_place, source
+  from documents),
+t as (select s, sum(tokens)::bigint tokens from d group by s),
+p as (select s, tokens, tokens::double / (select sum(tokens) from t)::double share from t where tokens > 0),
+b(i, lo, hi) as (
+  select 0, 0.0::double, 1.0::double union all
+  select i + 1, case when r <= 1.25 then lo else mid end, case when r <= 1.25 then mid else hi end
+  from (select i, lo, hi, (lo + hi) / 2 mid, (select max(pow(share, (lo + hi) / 2) / share) / sum(pow(share, (lo + hi) / 2)) from p) r from b where i < 32)),
+x as (select case when (select max(1 / share) / count(*) from p) <= 1.25 then 0.0 else (select hi from b where i = 32) end alpha),
+w as (select s, tokens, pow(share, alpha) / (select sum(pow(share, alpha)) from p, x) * (select sum(tokens) from p)::double / tokens times from p, x
+  union all select s, tokens, 1.0 from t where tokens = 0),
+plan as (select s, times, floor(times + 1e-9)::bigint epochs, greatest(0.0, times - floor(times + 1e-9)) * tokens rest, greatest(1, ceil(tokens / 65536.0))::bigint blocks from w),
+e as (select d.*, times, epochs, rest, blocks, place % blocks block from d join plan using (s)),
+g as (select s, block, sum(tokens) tokens, any_value(epochs) epochs, any_value(rest) rest,
+    ('0x' || substr(md5(s || ':' || block || ':' || any_value(epochs) || ':1'), 1, 15))::bigint turn from e group by s, block),
+u as (select *, sum(tokens) over (partition by s order by turn, block rows unbounded preceding) upto from g),
+k as (select e.*, upto <= u.rest whole, u.rest - upto + u.tokens room, sum(e.tokens) over (partition by e.s, e.block order by inner_place) so_far from e join u on e.s = u.s and e.block = u.block),
+c as (select *, epochs + case when whole or (room > 0 and so_far <= room) then 1 else 0 end copies from k)
+select doc_id, source, tokens n_tokens, unnest(range(copies))::int epoch from c where copies > 0
+"""
+
+
+@query("op1_temperature_mix", MIX_SQL)
+def temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, sources as even as a repetition limit of 1.25 allows; a row per copy taken."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", mixing.words().alias("n_tokens"))
+    return mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch")
