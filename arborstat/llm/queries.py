@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, language_crf, mixing, secrets, token_counts
+from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_rules, secrets, token_counts
 from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,38 @@ def temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as there are, sources as even as a repetition limit of 1.25 allows; a row per copy taken."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", mixing.words().alias("n_tokens"))
     return mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch")
+
+
+RULES_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l
+  from documents),
+g as (select doc_id, i, w[i] a, w[i + 1] b, w[i + 2] c from (select doc_id, w, unnest(range(1, len(w) - 1)) i from d where len(w) > 2)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, a, b, c) n from g) where n > 1),
+c as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from r) group by doc_id),
+m as (
+  select doc_id, t, l, w, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(c.n, 0)::bigint n_repeat_words
+  from d left join c using (doc_id)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed
+    or 100 * n_symbols > 10 * n_words
+    or 100 * len(regexp_extract_all(t, '\p{Lu}')) > 50 * len(regexp_extract_all(t, '\p{L}'))
+    or 100 * len(regexp_extract_all(t, '!')) > 30 * n_words
+    or 100 * n_dup_lines > 30 * len(l)
+    or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or 100 * len(list_filter(w, lambda x: not regexp_matches(x, '\p{L}'))) > 40 * n_words
+    or 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)$'))) > 30 * len(l)
+    or 100 * len(list_filter(l, lambda x: regexp_matches(x, '^[-*•]'))) > 90 * len(l)
+    or contains(lower(t), 'lorem ipsum')) kept
+from f
+"""
+
+
+@query("op5_quality_rules", RULES_SQL)
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the verdict of the rule cascade."""
+    found = quality_rules.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
