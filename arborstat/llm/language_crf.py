@@ -44,7 +44,7 @@ class Words:
     counts: np.ndarray
 
 
-def words_of(texts: list[str]) -> Words:
+def words_of(texts: list[str], grams: bool = True) -> Words:
     """Words are runs of letters (ASCII letters and all other non-ASCII characters), in lower case."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
@@ -61,18 +61,18 @@ def words_of(texts: list[str]) -> Words:
     border = b == 0
     padded = np.concatenate([b, np.zeros(4, np.uint32)])
     edge = np.concatenate([border, np.ones(4, bool)])
-    grams, code, crossed = [], b.copy(), np.zeros(len(b), bool)
-    for n in (2, 3, 4):
+    found, code, crossed = [], b.copy(), np.zeros(len(b), bool)
+    for n in (2, 3, 4) if grams else ():
         code = (code << np.uint32(8)) ^ padded[n - 1 : n - 1 + len(b)]
         if n > 2:
             crossed = crossed | edge[n - 2 : n - 2 + len(b)]  # a border inside, not at an end
-        grams.append(np.where(crossed, 0, 1 + ((code * _MIX[n]) >> np.uint32(32 - BITS)) % np.uint32((1 << BITS) - 1)).astype(np.int32))
+        found.append(np.where(crossed, 0, 1 + ((code * _MIX[n]) >> np.uint32(32 - BITS)) % np.uint32((1 << BITS) - 1)).astype(np.int32))
     # A digest of the whole word: an order-sensitive sum.
     place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
     powers = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
     letters = (b.astype(np.uint64) + np.uint64(0x9E37)) * powers[place % 64] * (place // 64 + 1).astype(np.uint64)
     whole = np.add.reduceat(letters, starts) if len(starts) else np.zeros(0, np.uint64)
-    return Words(grams, starts, whole, counts)
+    return Words(found, starts, whole, counts)
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_rules, secrets, token_counts
+from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_rules, secrets, token_counts, toxicity_kn
 from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,11 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and the verdict of the rule cascade."""
     found = quality_rules.measure(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_toxicity_kn")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by class-conditional word models."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity_kn.score(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
