@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_rules, secrets, token_counts, toxicity_kn
+from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_mil, quality_rules, secrets, token_counts, topk_search, toxicity_kn
 from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,29 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity_kn.score(docs, table(spark, sf_dir, "labels"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+TOPK_SQL = """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint score
+  from e q join e c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op6_topk_search", TOPK_SQL)
+def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op7_quality_mil")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality_mil.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
