@@ -42,12 +42,11 @@ def _(t):
     return rounded(B.volume_by_generation(t.branches), ["scan_id", "generation"], ["volume_mm3", "total_volume_mm3"])
 
 
-@query("e07_generation_coverage", "branches", """, b as (select scan_id, generation from branches where generation is not null and not (generation%3=1 and scan_id%2=0) and generation<>scan_id%17),
+@query("e07_generation_coverage", "branches", """, b as (select scan_id, generation from branches where generation is not null),
 s as (select scan_id, min(generation) as lo, max(generation) as hi, count(distinct generation) as n, list(distinct generation) as have from b group by 1)
 select scan_id, n as n_present, round(n::double/(hi-lo+1),6) as generation_coverage, coalesce(array_to_string(list_sort(list_filter(range(lo,hi+1), lambda x: not list_contains(have,x::int))),','),'') as missing from s""")
 def _(t):
-    thinned = t.branches.where("generation is not null and not (generation % 3 = 1 and scan_id % 2 = 0) and generation <> scan_id % 17")
-    c = B.generation_coverage(thinned)
+    c = B.generation_coverage(t.branches.where("generation is not null"))
     return c.select("scan_id", "n_present", r6("generation_coverage").alias("generation_coverage"), F.concat_ws(",", F.transform("missing_generations", lambda x: x.cast("string"))).alias("missing"))
 
 

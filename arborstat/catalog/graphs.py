@@ -25,7 +25,7 @@ comp as (select node, min(other) as component from reach group by 1)"""
 ROOTS = """, mroot as (select component, arg_max(node,(degree,-node)) as root from comp join deg using (node) group by 1),
 roots as (select m.component, case when m.component=(select component from comp where node=(select root from root)) then (select root from root) else m.root end as root from mroot m)"""
 TREE = """, tree as (select root as node, -1 as gen, null::bigint as parent, 0 as hop from roots union all
- select arcs.b, t.gen+case when deg.degree>=3 then 1 else 0 end, t.node, t.hop+1 from tree t join arcs on arcs.a=t.node join deg on deg.node=t.node where arcs.b is distinct from t.parent)"""
+ select arcs.b, t.gen+case when deg.degree>=3 then 1 else 0 end, t.node, t.hop+1 from tree t join arcs on arcs.a=t.node join deg on deg.node=t.node where arcs.b is distinct from t.parent and arcs.b<>t.node)"""
 
 
 @query("g01_simple_graph", "edges", """, e as (select *, least(src,dst) as a, greatest(src,dst) as b from (select * from edges union all select branch_id+1000000, dst, src, length*2 from edges where branch_id%3=0)),
@@ -59,14 +59,14 @@ def _(t):
     return G.assign_generations(e, n, K)[0].select("node", "generation")
 
 
-@query("g05_edge_generations", "edges nodes", DEG + COMP + ROOTS + TREE + "select branch_id, least(src,dst) as src, greatest(src,dst) as dst, gen as generation from edges join tree on (tree.node=edges.dst and tree.parent=edges.src) or (tree.node=edges.src and tree.parent=edges.dst)")
+@query("g05_edge_generations", "edges nodes", DEG + COMP + ROOTS + TREE + "select branch_id, least(src,dst) as src, greatest(src,dst) as dst, gen as generation from edges left join tree on (tree.node=edges.dst and tree.parent=edges.src) or (tree.node=edges.src and tree.parent=edges.dst)")
 def _(t):
     e, n = graph(t)
     return G.assign_generations(e, n, K)[1].select("branch_id", "src", "dst", "generation")
 
 
 DIST = DEG + """, arcs as (select src as a, dst as b, length as l from edges union all select dst, src, length from edges),
-dist as (select root as node, null::bigint as parent, 0::double as d from root union all select arcs.b, t.node, t.d+arcs.l from dist t join arcs on arcs.a=t.node where arcs.b is distinct from t.parent),
+dist as (select root as node, null::bigint as parent, 0::double as d from root union all select arcs.b, t.node, t.d+arcs.l from dist t join arcs on arcs.a=t.node where arcs.b is distinct from t.parent and arcs.b<>t.node),
 bd as (select branch_id, case when a.d is not null and b.d is not null then case when a.d<b.d then src else dst end when a.d is not null then src when b.d is not null then dst else src end as proximal_node,
  case when a.d is not null and b.d is not null then case when a.d<b.d then dst else src end when a.d is not null then dst when b.d is not null then src else dst end as distal_node,
  coalesce(least(a.d,b.d),a.d,b.d) as pd, case when a.d is not null and b.d is not null then greatest(a.d,b.d) else coalesce(a.d,b.d)+length end as dd
@@ -98,7 +98,7 @@ def _(t):
     return e.join(b, [*K, "branch_id"], "left").select("branch_id", "proximal_node", "distal_node", *[r6(c).alias(c) for c in ("proximal_distance", "distal_distance", "length")])
 
 
-@query("g07_symmetry", "edges nodes", DEG + """, nb as (select dst as node from edges, root where src=root union select src from edges, root where dst=root),
+@query("g07_symmetry", "edges nodes", DEG + """, nb as (select dst as node from edges, root where src=root and dst<>src union select src from edges, root where dst=root and dst<>src),
 nz as (select node, z, row_number() over (order by z,node) as i, count(*) over () as n, min(z) over () as lo, max(z) over () as hi from nb join nodes using (node)),
 sd as (select node, case when i<=n//2 then 'left' else 'right' end as side from nz where n>=2 and lo<hi),
 arcs as (select src as a, dst as b from edges union select dst, src from edges),

@@ -9,20 +9,20 @@ from arborstat.catalog.ordered import DECAY
 from arborstat.operators import branches, joins as J, longitudinal as L
 
 
-@query("j01_branch_tables", "branches_keyed", "select scan_id, branch_id, generation, round(diameter_mean_mm,6) as diameter_mean_mm, round(length_mm,6) as length_mm from branches_keyed where length_mm>1.5")
+@query("j01_branch_tables", "branches_keyed", "select scan_id, branch_id, generation, round(diameter_mean_mm,6) as diameter_mean_mm, round(length_mm,6) as length_mm from branches_keyed")
 def _(t):
     b = t.branches_keyed
     d = b.select("scan_id", "branch_id", "generation", "diameter_mean_mm")
-    m = branches.merge_branch_tables(d, b.where("length_mm > 1.5").select("scan_id", "branch_id", "length_mm"))
+    m = branches.merge_branch_tables(d, b.select("scan_id", "branch_id", "length_mm"))
     return m.select("scan_id", "branch_id", "generation", r6("diameter_mean_mm").alias("diameter_mean_mm"), r6("length_mm").alias("length_mm"))
 
 
-DEMO = ", demo as (select distinct o_custkey as entity, o_orderstatus as smoking from orders where o_orderstatus<>'O')"
+DEMO = ", demo as (select distinct o_custkey as entity, o_orderstatus as smoking from orders)"
 
 
 @query("j03_demographics", "visits", DECAY + DEMO + "select d.entity, round(av-bv,6) as drop_absolute, smoking from d left join demo using (entity)")
 def _(t):
-    demo = t.raw("orders").where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("smoking"))
+    demo = t.raw("orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderstatus").alias("smoking"))
     j = J.join_demographics(L.decay_table(t.visits), demo, "entity")
     return j.select("entity", r6("drop_absolute").alias("drop_absolute"), "smoking")
 

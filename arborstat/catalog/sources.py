@@ -14,7 +14,7 @@ from arborstat.sources import readers as R, writers as W
 
 
 def folder(t, name: str) -> str:
-    return f"{checkpoint_root(t.spark).rstrip('/')}/arborstat-{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(t.spark)}/arborstat-{name}-{uuid.uuid4().hex}"
 
 
 @query("a01_typed_csv", "visits", "select entity, row_id, week, round(value,6) as value from visits where value is not null")
@@ -65,9 +65,17 @@ def _(t):
     return R.sample_positions(t.raw("events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-@query("a07_file_inventory")
+@query("a07_file_inventory", "", """, d as (select doc_id%7 as part, case when doc_id%2=0 then 'mhd' else 'raw' end as ext, text from documents)
+select part||'_scan' as stem, count(distinct ext) as n_files, sum(strlen(text)+1)::bigint as n_bytes from d group by part""")
 def _(t):
-    return R.file_inventory(R.list_files(t.spark, t.sf_dir, "*.parquet"))
+    """A header and a data file per stem, each holding half of the texts of a seventh of the documents."""
+    p = folder(t, "inventory")
+    d = t.raw("documents").select((F.col("doc_id") % 7).alias("part"), F.when(F.col("doc_id") % 2 == 0, "mhd").otherwise("raw").alias("ext"), "text")
+    W.write_table(d.repartition("part", "ext"), p, "text", ["part", "ext"])
+    # Files get their names from the writer; folder and extension name the member.
+    files = R.list_files(t.spark, p, "*.txt").withColumn("path", F.regexp_replace("path", r"part=(\d+)/ext=(\w+)/.*$", "$1_scan.$2"))
+    members = files.groupBy("path").agg(F.sum("length").alias("length"))
+    return R.file_inventory(members)
 
 
 @query("a08_copy_integrity", "", "select doc_id, md5(text) as original_digest, doc_id%97<>0 as digest_equal, doc_id%97<>0 as size_equal, doc_id%97<>0 as all_checks_passed from documents")
@@ -79,11 +87,11 @@ def _(t):
     return R.copy_integrity(d, copy, "doc_id", "text").select("doc_id", "original_digest", "digest_equal", "size_equal", "all_checks_passed")
 
 
-@query("a09_partitioned_write", "cases", "select case_id, grp, m2 from cases where grp='BUILDING'")
+@query("a09_partitioned_write", "cases", "select case_id, grp, m2 from cases")
 def _(t):
     p = folder(t, "out")
     W.write_table(t.cases.select("case_id", "grp", "m2"), p, "parquet", ["grp"])
-    return t.spark.read.parquet(p).where("grp = 'BUILDING'").select("case_id", "grp", "m2")
+    return t.spark.read.parquet(p).select("case_id", "grp", "m2")
 
 
 @query("a09_assessment_documents", "scored", "select case_id, 7::int as n_components, round(0.35*10*case when peripheral_density is null then 5 when peripheral_density<0.03 then 10 when peripheral_density<0.05 then 7+(0.05-peripheral_density)/0.02*3 when peripheral_density<0.08 then 4+(0.08-peripheral_density)/0.03*3 when peripheral_density<=0.15 then greatest(0,4-(peripheral_density-0.08)/0.07*4) else 0 end,6) as density_weighted from scored")
@@ -104,8 +112,8 @@ def _(t):
 @query("a10_text_reports", "reports", """, l as (select run, unnest(string_split(body,chr(10))) as line from reports) select run as "case", split_part(line,':',1) as label, count(*) as n from l where line<>'' group by 1,2""")
 def _(t):
     p = folder(t, "text")
-    t.reports.select("run", "body").write.partitionBy("run").text(p)
-    lines = R.read_reports(t.spark, p, r"run=([^/]+)/").select("case", F.explode(F.split("body", "\n")).alias("line")).where("line <> ''")
+    t.reports.select("run", F.concat("body", F.lit("\f")).alias("body")).write.partitionBy("run").text(p)
+    lines = R.read_reports(t.spark, p, r"run=([^/]+)/", separator="\f\n").select("case", F.explode(F.split("body", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy("case", F.split_part("line", F.lit(":"), F.lit(1)).alias("label")).agg(F.count("*").alias("n"))
 
 

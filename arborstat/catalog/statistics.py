@@ -80,11 +80,11 @@ def _(t):
     return rounded(S.sensitivity_class(sensitivity(t)), ["impact"], ["max_delta", "mean_delta"])
 
 
-@query("h06_metric_type_comparison", "cases", LONG + f""", c as (select feature, target, {r_sql('y', 'x')} as r from l where target='m3' group by 1,2), d as (select case feature when 'm1' then 'core' when 'm6' then 'core' else 'other' end as type, feature, abs(r) as a from c),
- g as (select type, count(*) as n_metrics, avg(a) as ma, max(a) as xa, arg_max(feature,a) as best_metric from d group by 1)
+@query("h06_metric_type_comparison", "cases", LONG + f""", c as (select feature, target, {r_sql('y', 'x')} as r from l group by 1,2), d as (select case feature when 'm1' then 'core' when 'm6' then 'core' else 'other' end as type, feature, abs(r) as a from c),
+ g as (select type, count(*) as n_metrics, avg(a) as ma, max(a) as xa, arg_max(feature,(a,feature)) as best_metric from d group by 1)
 select type, n_metrics, round(ma,6) as mean_abs_r, round(xa,6) as max_abs_r, best_metric, row_number() over (order by ma desc, type)::int as rank from g""")
 def _(t):
-    c = S.with_p_values(S.pair_correlations(cases(t), FEATURES, ["m3"]), "pearson_r", "n")
+    c = S.with_p_values(S.pair_correlations(cases(t), FEATURES, TARGETS), "pearson_r", "n")
     g = S.compare_metric_types(c, {"m1": "core", "m6": "core", "m2": "other"})
     return rounded(g, ["type", "n_metrics", "best_metric", "rank"], ["mean_abs_r", "max_abs_r"])
 

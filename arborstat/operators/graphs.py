@@ -87,7 +87,9 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
 
 
 def path_distances(edges: DataFrame, root: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, distance): shortest length from the root; unreachable nodes are absent."""
+    """(keys, node, distance): shortest length from the root; unreachable nodes are absent. Negative lengths are refused."""
+    if edges.where("length < 0").limit(1).count():
+        raise ValueError("path_distances needs lengths of 0 or more")
     seeds = root.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("best"))
     arcs = both_ways(edges, keys, "length").where("src <> dst")
     out = propagate(seeds, arcs, keys, lambda best: best + F.col("length"))

@@ -135,14 +135,14 @@ def sensitivity_class(rows: DataFrame) -> DataFrame:
 
 
 def compare_metric_types(corr: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Per metric type: count, mean and max |r|, significant results, best metric, rank by mean |r|."""
+    """Per metric type: count, mean and max |r|, significant results, best metric (the last by name on ties), rank by mean |r|."""
     kind = F.lit(None).cast("string")
     for metric, t in types.items():
         kind = F.when(F.col("feature") == metric, t).otherwise(kind)
     a = F.abs("pearson_r")
     g = corr.withColumn("type", kind).groupBy("type").agg(
         F.count("*").alias("n_metrics"), F.avg(a).alias("mean_abs_r"), F.max(a).alias("max_abs_r"),
-        count_if(F.col("p_value") < 0.05).alias("n_significant"), F.max_by("feature", a).alias("best_metric"),
+        count_if(F.col("p_value") < 0.05).alias("n_significant"), F.max_by("feature", F.struct(a.alias("a"), "feature")).alias("best_metric"),
     )
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_r"), "type")))  # one row per type
 

@@ -1,9 +1,11 @@
 """Iterative graph plans: connected components and propagation from seeds.
 
 State lives in tables between rounds (see :func:`arborstat.session.cut_lineage`), so
-a lost executor costs one round. All graphs of a batch (``keys``, e.g. scan_id)
-advance together. Messages are combined per node by an aggregate with a map-side
-part, so a node with very many edges is not gathered anywhere.
+a lost executor costs one round, and tables that no later round reads are deleted.
+Loops run until nothing changes; each round makes some value smaller, so they end. All
+graphs of a batch (``keys``, e.g. scan_id) advance together. Messages are combined per
+node by an aggregate with a map-side part, and only inner joins meet a node with its
+edges, so that adaptive execution can split a node with very many of them.
 """
 
 from __future__ import annotations
@@ -12,9 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.session import cut_and_count, cut_lineage
-
-MAX_ROUNDS = 200
+from arborstat.session import cut_and_count, cut_lineage, release
 
 
 def both_ways(edges: DataFrame, keys: list[str], *extra: str) -> DataFrame:
@@ -36,15 +36,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
     arcs, left = cut_and_count(edges.where("src <> dst").select(*keys, big.alias("src"), small.alias("dst")).distinct(), some)
     rounds: list[DataFrame] = []
     while left:
-        if len(rounds) == MAX_ROUNDS:
-            raise RuntimeError("components did not converge")
         hook = _follow(arcs.groupBy(*keys, "src").agg(F.min("dst").alias("to")), keys)
         rounds.append(hook)
         down = hook.select(*keys, F.col("src").alias("dst"), F.col("to").alias("to2"))
         moved = arcs.join(hook, [*keys, "src"]).join(down, [*keys, "dst"], "left").select(
             *keys, F.col("to").alias("a"), F.coalesce("to2", "dst").alias("b")
         ).where("a <> b")
+        before = arcs
         arcs, left = cut_and_count(moved.select(*keys, F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct(), some)
+        release(before)
 
     ends: DataFrame | None = None
     for hook in reversed(rounds):  # every node hooks in one round only
@@ -57,53 +57,74 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
     if ends is None:
         return every.withColumn("component", F.col("node"))
     root = ends.select(*keys, F.col("src").alias("node"), "to")
-    return cut_lineage(every.join(root, [*keys, "node"], "left").select(*keys, "node", F.coalesce("to", "node").alias("component")))
+    out = cut_lineage(every.join(root, [*keys, "node"], "left").select(*keys, "node", F.coalesce("to", "node").alias("component")))
+    release(arcs, *rounds)
+    return out
 
 
 def _follow(hook: DataFrame, keys: list[str]) -> DataFrame:
     """Let every pointer ``src -> to`` lead to the end of its chain; pointers only ever decrease."""
-    hook = cut_lineage(hook)
-    for _ in range(MAX_ROUNDS):
+    last, moved = cut_lineage(hook), 1
+    while moved:
+        out = last
         for _ in range(2):  # each time, chains get half as long
-            nxt = hook.select(*keys, F.col("src").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(nxt, [*keys, "to"], "left").select(*keys, "src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-            last, hook = hook, hook.drop("moved")
-        hook, moved = cut_and_count(last, F.col("moved"))
-        hook = hook.drop("moved")
-        if not moved:
-            return hook
-    raise RuntimeError("pointers did not settle")
+            nxt = out.select(*keys, F.col("src").alias("to"), F.col("to").alias("next"))
+            out = out.select(*keys, "src", "to").join(nxt, [*keys, "to"], "left").select(*keys, "src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        out, moved = cut_and_count(out, F.col("moved"))
+        release(last)
+        last = out
+    ends = last.drop("moved")
+    ends._cut_path = last._cut_path
+    return ends
 
 
 def propagate(
-    seeds: DataFrame, arcs: DataFrame, keys: list[str], step: Callable[[Column], Column], hops_per_round: int = 6,
+    seeds: DataFrame, arcs: DataFrame, keys: list[str], step: Callable[[Column], Column], hops_per_round: int = 8,
 ) -> DataFrame:
     """Smallest reachable value per node: (keys, node, best).
 
-    ``seeds`` has keys, node and an orderable ``best`` (a struct, or a number, which
-    aggregates without a sort); ``arcs`` has keys, src,
-    dst and whatever ``step`` reads (besides ``node``, the source) to turn the source's
-    ``best`` into the target's. Only nodes whose value changed in the last hop send.
-    Several hops run in one round before the state is written and looked at.
+    ``seeds`` has keys, node and an orderable ``best`` (a number, which aggregates
+    without a sort, or a struct); ``arcs`` has keys, src, dst and whatever ``step`` reads
+    (besides ``node``, the source) to turn the source's ``best`` into the target's, which
+    must not be smaller. Only the frontier sends: what a round improved in its last hop.
+    Several hops run in one round over what they reach; then the values are compared with
+    those known, and improvements alone are written, beside the earlier ones. An arc from
+    each node to itself carries its own value along, so that inner joins do.
     """
     out = [c for c in arcs.columns if c not in keys]
-    arcs = cut_lineage(arcs).select(*[F.col(k).alias(f"__{k}") for k in keys], *out)
-    state = cut_lineage(seeds.select(*keys, "node", "best", F.lit(True).alias("fresh")))
-
-    # The same expressions serve every hop.
-    on = (F.col("node") == F.col("src")) & F.col("fresh")
+    own = arcs.select(*keys, "src").distinct().withColumns({"dst": F.col("src"), "stays": F.lit(True)})
+    table = cut_lineage(arcs.withColumn("stays", F.lit(False)).unionByName(own, allowMissingColumns=True))
+    arcs = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *out, "stays")
+    on = F.col("node") == F.col("src")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    own = F.struct(F.col("node").alias("n"), F.col("best").alias("b"), F.lit(False).alias("sent"))
-    message = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("n"), step(F.col("best")).alias("b"), F.lit(True).alias("sent")))
-    rows = [*keys, F.inline(F.array_compact(F.array(own, message)))]
-    group = [*keys, F.col("n").alias("node")]
-    aggs = [F.min("b").alias("best"), F.min(F.when(~F.col("sent"), F.col("b"))).alias("old")]
-    after = [*keys, "node", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")]
-    for _ in range(MAX_ROUNDS):
+    value = F.when(F.col("stays"), F.col("best")).otherwise(step(F.col("best")))
+    rows = [*keys, F.col("dst").alias("node"), value.alias("best"), "stays"]
+    lowest = F.min("best").alias("best")
+    aggs = [lowest, F.min(F.when(F.col("stays"), F.col("best"))).alias("old")]
+    fresh_now = (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")
+
+    def together(tables: list[DataFrame]) -> DataFrame:
+        every = tables[0].select(*keys, "node", "best")
+        for more in tables[1:]:
+            every = every.unionByName(more.select(*keys, "node", "best"))
+        return every.groupBy(*keys, "node").agg(lowest)
+
+    known = [cut_lineage(seeds.groupBy(*keys, "node").agg(lowest).withColumn("fresh", F.lit(True)))]
+    fresh = 1
+    while fresh:
+        reached = known[-1].where("fresh")
         for _ in range(hops_per_round):
-            state = state.join(arcs, on, "left").select(*rows).groupBy(*group).agg(*aggs).select(*after)
-        state, fresh = cut_and_count(state, F.col("fresh"))
-        if not fresh:
-            return state.drop("fresh")
-    raise RuntimeError("propagation did not converge")
+            sent = reached.join(arcs, on).where("stays or fresh").select(*rows)
+            reached = sent.groupBy(*keys, "node").agg(*aggs).select(*keys, "node", "best", fresh_now)
+        before = together(known).withColumnRenamed("best", "before")
+        better = reached.join(before, [*keys, "node"], "left").where("before is null or best < before").drop("before")
+        delta, fresh = cut_and_count(better, F.col("fresh"))
+        known.append(delta)
+        if len(known) > 8 and fresh:  # few tables to read: fold the earlier improvements
+            folded = cut_lineage(together(known[:-1]))
+            release(*known[:-1])
+            known = [folded, delta]
+    state = cut_lineage(together(known))
+    release(table, *known)
+    return state

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -27,15 +28,19 @@ def local_session(cores: int | str = 8, app: str = "arborstat") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only in local mode."""
+    """The shared folder the session names in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and every executor can reach")
+    return _local_folder(context.applicationId)
+
+
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,12 +48,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used between rounds of iterative queries. Unlike an executor-side copy the
     table outlives lost executors, and its file sizes give the planner real
-    statistics for the next round's joins.
+    statistics for the next round's joins. :func:`release` removes it again.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/arborstat-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/arborstat-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`cut_lineage` that no later plan reads."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_and_count(df: DataFrame, cond: Column) -> tuple[DataFrame, int]:

@@ -94,10 +94,11 @@ class Tables:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """A forest over part keys: branch_id, src, dst, length."""
-        return self.raw("part").where("p_partkey > 0 and p_size <> 50").select(
+        """A forest over part keys: branch_id, src, dst, length. Parts of one size are roots: their edge is a self-loop."""
+        return self.raw("part").select(
             F.col("p_partkey").alias("branch_id"),
-            F.when(F.col("p_size") % 2 == 0, F.floor(F.col("p_partkey") / F.lit(2.0)).cast("long")).otherwise(F.col("p_partkey") - 1).alias("src"),
+            F.when((F.col("p_partkey") <= 0) | (F.col("p_size") == 50), F.col("p_partkey"))
+            .when(F.col("p_size") % 2 == 0, F.floor(F.col("p_partkey") / F.lit(2.0)).cast("long")).otherwise(F.col("p_partkey") - 1).alias("src"),
             F.col("p_partkey").alias("dst"), (F.col("p_retailprice") / 100.0).alias("length"),
         )
 
@@ -185,7 +186,7 @@ VIEWS: dict[str, str] = {
     "branches_keyed": "select l_suppkey as scan_id, l_orderkey*8+l_linenumber as branch_id, min(cast(l_partkey % 17 as int)) as generation, max(l_quantity)/10.0 as diameter_mean_mm, 1+max(l_discount)*100 as length_mm from lineitem group by 1,2",
     "points": "select l_suppkey as scan_id, l_orderkey % 40 as branch_id, l_orderkey*8+l_linenumber as seq, max(l_quantity) as x, max(l_discount*100) as y, max(l_tax*100) as z, max(l_quantity)/10.0 as radius from lineitem group by 1,2,3",
     "voxels": "select vec_id as scan_id, cast((i-1)//16 as int) as z, cast(((i-1)//4)%4 as int) as y, cast((i-1)%4 as int) as x, cast(round(cast(v as double)*1000) as int)-700 as hu, case when v>0.05 then 1 else 0 end as label from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding,1) as i from embeddings)",
-    "edges": "select p_partkey as branch_id, case when p_size%2=0 then cast(floor(p_partkey/2) as bigint) else p_partkey-1 end as src, p_partkey as dst, p_retailprice/100.0 as length from part where p_partkey>0 and p_size<>50",
+    "edges": "select p_partkey as branch_id, case when p_partkey<=0 or p_size=50 then p_partkey when p_size%2=0 then cast(floor(p_partkey/2) as bigint) else p_partkey-1 end as src, p_partkey as dst, p_retailprice/100.0 as length from part",
     "nodes": "select p_partkey as node, p_size as z, cast(p_partkey % 13 as int) as y, cast(p_partkey % 7 as int) as x, p_retailprice/100.0 as diameter from part",
     "tags": "select distinct * from (select user_id as patient_id, 'k'||cast(cast(json_extract_string(props,'$.k') as int)%80 as varchar) as tag, event_type as value from events union all select user_id, event_type, cast(cast(json_extract_string(props,'$.k') as int)%3 as varchar) from events union all select user_id, 'modality', 'A' from events)",
     "scans": "select p_partkey as scan_id, p_type as cohort, 200+p_size*20 as num_slices, 0.3::double+(p_partkey%14)/10.0::double as slice_thickness, 0.2::double+p_size/50.0::double as xy_resolution, substr(p_brand,1,1)||cast(p_size+25 as varchar)||'f' as kernel, p_brand as pixel_type from part",

@@ -54,9 +54,10 @@ def read_documents(
     return nan_to_null(raw.select(path_key(pattern).alias(key), *[F.col(f).try_cast(t).alias(f) for f, t in fields.items()], *arrays))
 
 
-def read_reports(spark: SparkSession, path, pattern: str, key: str = "case") -> DataFrame:
-    """Whole text reports, one row per file, keyed by directory."""
-    return spark.read.text(path, wholetext=True).select(path_key(pattern).alias(key), F.col("value").alias("body"))
+def read_reports(spark: SparkSession, path, pattern: str, key: str = "case", separator: str | None = None) -> DataFrame:
+    """Text reports keyed by directory: a row per file, or with a ``separator`` a row per report of files that hold many."""
+    read = spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator)
+    return read.select(path_key(pattern).alias(key), F.col("value").alias("body"))
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

@@ -274,3 +274,36 @@ def test_moving_average_spike(spark):
     hit = np.argmax(d > np.abs(d).mean() + 2 * d.std())
     found = bool((d > np.abs(d).mean() + 2 * d.std()).any())
     assert (got["found"], got["index"]) == (found, min(hit + 5, len(areas) - 1) if found else len(areas) // 2)
+
+
+def test_propagate_has_no_depth_limit_and_takes_a_hub(spark):
+    """A path far deeper than one round, and a star whose hub has most arcs."""
+    n = 60
+    path = [(1, i, i + 1) for i in range(n)] + [(2, 0, i) for i in range(1, 500)]
+    arcs = both_ways(spark.createDataFrame(path, "scan_id long, src long, dst long"), ["scan_id"])
+    seeds = spark.createDataFrame([(1, 0, 0), (2, 7, 0)], "scan_id long, node long, best long")
+    out = propagate(seeds, arcs, ["scan_id"], lambda b: b + 1, hops_per_round=4)
+    got = {(r.scan_id, r.node): r.best for r in out.collect()}
+    assert all(got[1, i] == i for i in range(n + 1))
+    assert got[2, 7] == 0 and got[2, 0] == 1 and all(got[2, i] == 2 for i in range(1, 500) if i != 7)
+
+
+def test_tables_that_are_no_longer_read_are_deleted(spark, tmp_path, monkeypatch):
+    from arborstat import session
+
+    monkeypatch.setattr(session, "checkpoint_root", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(40)], "scan_id long, src long, dst long")
+    nodes = spark.createDataFrame([(1, i) for i in range(41)], "scan_id long, node long")
+    out = connected_components(edges, nodes, ["scan_id"])
+    assert {r.component for r in out.collect()} == {0}
+    assert len(list(tmp_path.iterdir())) == 1  # the result
+    session.release(out)
+    assert not list(tmp_path.iterdir())
+
+
+def test_negative_lengths_are_refused(spark):
+    from arborstat.operators.graphs import path_distances
+
+    edges = spark.createDataFrame([(1, 0, 1, -2.0)], "scan_id long, src long, dst long, length double")
+    with pytest.raises(ValueError):
+        path_distances(edges, spark.createDataFrame([(1, 0)], "scan_id long, root long"), ["scan_id"])
