@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborstat.functions.numeric import count_if, dbl, ratio, ratio_or_zero, sum_if
 from arborstat.plans.ordered import block_lag
 from arborstat.session import cut_lineage
-from arborstat.plans.selection import grouped, select_ranks
+from arborstat.plans.selection import grouped, join_groups, select_ranks
 
 
 def is_central() -> Column:
@@ -271,7 +271,7 @@ def trimmed_profile(points: DataFrame, exclude_percent: int = 10) -> DataFrame:
         return F.when(n > 10, F.greatest(F.lit(1), F.floor(n * exclude_percent / 100))).otherwise(0)
 
     ends = select_ranks(points, keys, "seq", {"first": cut, "last": lambda n: n - 1 - cut(n)})
-    kept = points.join(ends.select(*keys, "n", "first", "last"), keys).where("seq between first and last")
+    kept = join_groups(points, ends.select(*keys, "n", "first", "last"), keys).where("seq between first and last")
     kept = cut_lineage(kept.select(*keys, "n", (F.col("radius") * 2).alias("d")))
     q = grouped(kept, keys, [
         F.max("n").alias("n"), F.avg("d").alias("avg"), F.stddev_pop("d").alias("diameter_std_mm"),

@@ -183,7 +183,7 @@ def decline_summary(quartiled: DataFrame) -> DataFrame:
         F.avg("slope").alias("mean_decline"), F.stddev_pop("slope").alias("std_decline"), F.count("*").alias("n_entities"),
         count_if(F.col("slope") < -0.5).alias("declining"), count_if(F.col("slope").between(-0.5, 0.5)).alias("stable"),
         count_if(F.col("slope") > 0.5).alias("improving"),
-    ], {"median_decline": ("slope", 0.5)}, few_groups=True)
+    ], {"median_decline": ("slope", 0.5)})
     return agg.join(base, "quartile")
 
 

@@ -147,7 +147,7 @@ def distribution_by_flag(df: DataFrame, flag: str, metrics: list[str]) -> DataFr
     label = F.when(F.col(flag), "Compatible").otherwise("Incompatible")
     rows = parts.select("metric", "value", F.explode(F.array(label, F.lit("All"))).alias("cohort"))
     aggs = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
-    return grouped(rows, ["metric", "cohort"], aggs, {"median": ("value", 0.5)}, few_groups=True)
+    return grouped(rows, ["metric", "cohort"], aggs, {"median": ("value", 0.5)})
 
 
 def fixed_width_histogram(df: DataFrame, metric: str, width: float, flag: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import count_if, dbl, intercept, pearson, ratio, slope
 from arborstat.operators.comparison import unpivot_metrics
-from arborstat.plans.ordered import positions
+from arborstat.plans.selection import positions
 
 
 def long_pairs(df: DataFrame, key: str, features: list[str], targets: list[str]) -> DataFrame:

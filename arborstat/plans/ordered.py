@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from arborstat.plans.selection import select_ranks
-from arborstat.session import cut_lineage
+from arborstat.functions.numeric import clean
+from arborstat.plans.selection import positions
 
 BLOCK = 1 << 16
 
@@ -28,52 +28,23 @@ def block_lag(df: DataFrame, keys: list[str], seq: str, cols: list[str], block:
     return out.withColumns({f"prev_{c}": prev[c] for c in cols}).drop("__b", "__p", "__end")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of every row in the global order of ``order``.
-
-    ``order`` has to identify rows. A range partitioning sorts across tasks, the
-    result is written once so that positions cannot shift on a retry, and each
-    row's position is its place in its partition plus the sizes of the partitions
-    before. No task sees more than its range.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    ranged = cut_lineage(ranged)
-    part, local = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return (
-        ranged.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")  # as many rows as shuffle partitions
-        .withColumn(name, F.col("__offset") + local)
-        .drop("__id", "__part", "__offset")
-    )
-
-
 def rank_quartile(df: DataFrame, value: str, row_id: str, name: str = "quartile") -> DataFrame:
     """Add the quartile 1-4 of each row's rank by (value, row_id) over the whole table.
 
-    The three cut rows are found by exact selection on the two columns (a row of
-    figures comes back to the driver) and every row is compared with them: the table
-    itself is not moved and nothing is sorted globally. A table without rows or with one row is all first quartile.
+    The rows are ordered once in narrow form; the three rows at the cuts come back to the
+    driver and every row is compared with them, so the table itself is not moved. A table
+    without rows or with one row is all first quartile; a NULL value has none.
     """
-    narrow = cut_lineage(df.select(F.col(value).cast("double").alias("v"), F.col(row_id).alias("row")))
-    cut = {f"c{q}": (lambda n, q=q: F.floor(F.lit(q) * (n - 1) / F.lit(4.0))) for q in (1, 2, 3)}
-    at = select_ranks(narrow, [], "v", cut).first()
-    if at is None:
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), 1))
-    v, r = F.col(value).cast("double"), F.col(row_id)
-    cuts = {q: at[f"c{q}"] for q in (1, 2, 3)}
-    left = {q: (q * (at["n"] - 1)) // 4 - at[f"c{q}_below"] for q in (1, 2, 3)}
-
-    # Rows tied with a cut value are told apart by row_id.
-    hits = F.array_compact(F.array(*[F.when(F.col("v") == cuts[q], q) for q in (1, 2, 3)]))
-    tied = narrow.select("row", F.explode(hits).alias("cut"))
-    kth = F.when(F.col("cut") == 1, left[1]).when(F.col("cut") == 2, left[2]).otherwise(left[3])
-    last = {x["cut"]: x["r"] for x in select_ranks(tied, ["cut"], "row", {"r": lambda n: kth}, few_groups=True).collect()}  # three rows
-
+    narrow = df.select(clean(value).alias("v"), F.col(row_id).alias("row")).where("v is not null")
+    at = positions(narrow, ["v", "row"], "at")
+    n = at.count()
+    if not n:
+        return df.withColumn(name, F.lit(None).cast("int"))
+    place = {q: q * (n - 1) // 4 for q in (1, 2, 3)}
+    rows = {r["at"]: r for r in at.where(F.col("at").isin(list(place.values()))).collect()}  # three rows
+    v, r = clean(value), F.col(row_id)
     quart = F.when(v.isNull(), F.lit(None).cast("int"))
-    for q in (1, 2, 3):
-        quart = quart.when((v < cuts[q]) | ((v == cuts[q]) & (r <= last[q])), q)
+    for q, p in place.items():
+        cut = rows[p]
+        quart = quart.when((v < cut["v"]) | ((v == cut["v"]) & (r <= cut["row"])), q)
     return df.withColumn(name, quart.otherwise(4))

@@ -1,11 +1,10 @@
-"""Exact order statistics per group without bringing a large group into one task.
-
-Group sizes are counted first. While the largest group is small, plain windows and
-the built-in percentile do the work in one shuffle. Beyond that the values of a group are counted into equal-width bins (partial aggregation on
-the map side), the running bin counts say which bins hold the wanted ranks, and
-only the rows of those bins are looked at closely, folded to distinct values
-first. A group of any size therefore costs counts plus a few bins of rows; the
-number of bins grows with the group.
+"""Exact order statistics per group, by one plan whatever the sizes of the groups.
+
+The rows are put in the global order of (keys, value) by a range partitioning that is
+written once, so each row has a position. A group starts at its smallest position; the
+wanted ranks of all groups are positions too, and an equi-join picks them. No task sees
+more than its range, and equal values are told apart by a row number so that a frequent
+value, too, is spread over tasks. NULL keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -14,123 +13,81 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.functions.numeric import clean, dbl, ratio
-
-GROUP_LIMIT = 100_000  # rows of one group that a task may hold
-ROWS_PER_BIN = 100_000
-MAX_BINS = 65_536
+from arborstat.functions.numeric import clean
+from arborstat.session import cut_lineage
 
 
-def select_ranks(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]], few_groups: bool = False,
-    group_limit: int | None = None,
-) -> DataFrame:
-    """Values at given 0-based ranks of each group's sorted non-null values.
-
-    ``ranks`` maps an output name to a function from the group's row count to a
-    rank (it may read the key columns too). Integer values keep their type. Per group: ``keys``, ``n``, and for each name the value and
-    ``<name>_below``, the number of rows with a smaller value.
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Add the 0-based position of every row in the global order of ``order``.
 
-    ``few_groups`` says that the number of groups is fixed by the caller (quartiles, a
-    metric list) and not by the data; the per-group figures are then broadcast and no
-    row is shuffled to meet them. A whole table is one group.
+    ``order`` has to identify rows. A range partitioning sorts across tasks, the
+    result is written once so that positions cannot shift on a retry, and each
+    row's position is its place in its partition plus the sizes of the partitions
+    before. No task sees more than its range.
     """
-    one = not keys
-    small = F.broadcast if one or few_groups else (lambda x: x)
-    whole = df.select(value).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
-    v = F.col(value) if whole else clean(value)
-    src = df.select(*(keys or [F.lit(0).alias("__g")]), v.alias("__v")).where("__v is not null")
-    keys = keys or ["__g"]
-
-    if largest_group(src, keys) <= (GROUP_LIMIT if group_limit is None else group_limit):
-        got = _select_small(src, keys, ranks)
-        return got.drop("__g") if one else got
-
-    span = src.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    span = span.withColumn("__bins", F.least(F.ceil(F.col("n") / ROWS_PER_BIN), F.lit(MAX_BINS)).cast("int"))
-    span = span.withColumns({f"__r_{k}": fn(F.col("n")).cast("long") for k, fn in ranks.items()})
-
-    width = ratio(dbl("__v") - dbl("__lo"), dbl("__hi") - dbl("__lo"))
-    bin_ = F.least(F.coalesce(F.floor(width * F.col("__bins")), F.lit(0)), F.col("__bins") - 1).cast("int")
-    binned = src.join(small(span), keys).withColumn("__bin", bin_)
-
-    rank_cols = [f"__r_{k}" for k in ranks]
-    counts = binned.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"), *[F.max(c).alias(c) for c in rank_cols])
-    upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_BINS rows
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(upto), F.lit(0)))
-    inside = [(F.col(c) >= F.col("__before")) & (F.col(c) < F.col("__before") + F.col("__c")) for c in rank_cols]
-    wanted = counts.where(_any(inside)).select(*keys, "__bin", "__before")
-
-    close = (
-        binned.join(small(wanted), [*keys, "__bin"])
-        .groupBy(*keys, "__bin", "__before", "__v", "n", *rank_cols)
-        .agg(F.count("*").alias("__w"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged)
+    part, local = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return (
+        ranged.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")  # as many rows as shuffle partitions
+        .withColumn(name, F.col("__offset") + local)
+        .drop("__id", "__part", "__offset")
     )
-    run = Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    close = close.withColumn("__below", F.col("__before") + F.coalesce(F.sum("__w").over(run), F.lit(0)))
-    aggs = [F.max("n").alias("n")]
-    for k in ranks:
-        hit = (F.col(f"__r_{k}") >= F.col("__below")) & (F.col(f"__r_{k}") < F.col("__below") + F.col("__w"))
-        aggs += [F.max(F.when(hit, F.col("__v"))).alias(k), F.max(F.when(hit, F.col("__below"))).alias(f"{k}_below")]
-    out = close.groupBy(*keys).agg(*aggs)
-    return out.drop("__g") if one else out
-
 
-def _any(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return left.join(other, on, how).drop(*[f"__of_{k}" for k in keys])
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group; a count per group, one number to the driver."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
+def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at given 0-based ranks of each group's sorted non-null values.
 
-def _select_small(src: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    x = src.select(
-        *keys, "__v", (F.row_number().over(w.orderBy("__v")) - 1).alias("__i"), (F.rank().over(w.orderBy("__v")) - 1).alias("__below"),
-        F.count("*").over(w).alias("n"),
-    )
-    aggs = [F.max("n").alias("n")]
-    for k, fn in ranks.items():
-        hit = F.col("__i") == fn(F.col("n")).cast("long")
-        aggs += [F.max(F.when(hit, F.col("__v"))).alias(k), F.max(F.when(hit, F.col("__below"))).cast("long").alias(f"{k}_below")]
-    return x.groupBy(*keys).agg(*aggs)
+    ``ranks`` maps an output name to a function from the group's row count to a rank (it
+    may read the key columns too); a rank outside the group gives NULL. Integer values
+    keep their type. Per group with a value: ``keys``, ``n`` and a value for each name.
+    Without keys the whole table is one group.
+    """
+    whole = df.select(value).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    v = F.col(value) if whole else clean(value)
+    src = df.select(*keys, v.alias("__v")).where("__v is not null").withColumn("__row", F.monotonically_increasing_id())
+    at = positions(src, [*keys, "__v", "__row"], "__at")
+    groups = at.groupBy(*keys).agg(F.min("__at").alias("__start"), F.count("*").alias("n")).where("n > 0")
+    wanted = F.array(*[F.struct(F.lit(k).alias("__name"), fn(F.col("n")).cast("long").alias("__rank")) for k, fn in ranks.items()])
+    asked = groups.select(*keys, "n", "__start", F.inline(wanted)).where("__rank between 0 and n - 1").withColumn("__at", F.col("__start") + F.col("__rank"))
+    picked = asked.join(at.select("__at", "__v"), "__at")
+    return picked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(k) for k in ranks])
 
 
-def grouped(
-    df: DataFrame, keys: list[str], aggs: list[Column], probs: dict[str, tuple[str, float]], few_groups: bool = False, group_limit: int | None = None,
-) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], aggs: list[Column], probs: dict[str, tuple[str, float]]) -> DataFrame:
     """Aggregates and exact interpolated percentiles of each group side by side.
 
-    ``probs`` maps an output name to (column, p). Small groups take everything in one
-    aggregation; otherwise each percentile is selected and joined to the rest.
+    ``probs`` maps an output name to (column, p). All columns are ranked together, each
+    as a group of its own.
     """
-    limit = GROUP_LIMIT if group_limit is None else group_limit
-    if largest_group(df, keys) <= limit:
-        return df.groupBy(*keys).agg(*aggs, *[F.percentile(clean(c), p).alias(k) for k, (c, p) in probs.items()])
-    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    for column in dict.fromkeys(c for c, _ in probs.values()):
-        mine = {k: p for k, (c, p) in probs.items() if c == column}
-        out = out.join(_narrowed(df, keys, column, mine, few_groups, limit), keys, "left")
-    return out
-
-
-def _narrowed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], few_groups: bool, limit: int) -> DataFrame:
+    columns = list(dict.fromkeys(c for c, _ in probs.values()))
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), clean(c).alias("__x")) for i, c in enumerate(columns)])))
     ranks: dict[str, Callable[[Column], Column]] = {}
-    for k, p in probs.items():
-        ranks[f"{k}__a"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
-        ranks[f"{k}__b"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
-    got = select_ranks(df, keys, value, ranks, few_groups, limit)
+    for p in dict.fromkeys(p for _, p in probs.values()):
+        ranks[f"{p!r} lo"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
+        ranks[f"{p!r} hi"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
+    got = select_ranks(long, [*keys, "__c"], "__x", ranks)
     out = []
-    for k, p in probs.items():
-        pos = F.lit(p) * (F.col("n") - 1)
-        lo, hi = F.col(f"{k}__a"), F.col(f"{k}__b")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(k))
-    return got.select(*keys, *out)
+    for k, (c, p) in probs.items():
+        lo, hi, place = F.col(f"`{p!r} lo`"), F.col(f"`{p!r} hi`"), F.lit(p) * (F.col("n") - 1)
+        value = lo + (hi - lo) * (place - F.floor(place))
+        out.append(F.max(F.when(F.col("__c") == columns.index(c), value)).alias(k))
+    stats = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    return join_groups(stats, got.groupBy(*keys).agg(*out), keys, "left")
 
 
 def counted_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:

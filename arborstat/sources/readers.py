@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from arborstat.functions.numeric import clean
-from arborstat.plans.selection import select_ranks
+from arborstat.plans.selection import join_groups, select_ranks
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def sample_positions(df: DataFrame, keys: list[str], seq: str, edge: int = 10, w
     }).select(*keys, F.col("n").alias("__n"), "__first", "__last", "__m0", "__m1")
     s = F.col(seq)
     keep = (F.col("__n") <= whole) | (s <= F.col("__first")) | (s >= F.col("__last")) | s.between(F.col("__m0"), F.col("__m1"))
-    return df.join(cuts, keys).where(keep).drop("__n", "__first", "__last", "__m0", "__m1")
+    return join_groups(df, cuts, keys).where(keep).drop("__n", "__first", "__last", "__m0", "__m1")
 
 
 def companion(items: DataFrame, candidates: list[DataFrame], key: str, column: str = "path") -> DataFrame:

@@ -56,11 +56,7 @@ def test_inventory_counts_header_and_data_together(spark, tmp_path):
     assert (r["stem"], r["n_files"], r["n_bytes"]) == ("s1", 2, 7)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_position_sample(spark, monkeypatch, limit):
-    from arborstat.plans import selection
-
-    monkeypatch.setattr(selection, "GROUP_LIMIT", limit)
+def test_position_sample(spark):
     rows = [("big", i * 3) for i in range(101)] + [("small", i) for i in range(30)]
     got = R.sample_positions(spark.createDataFrame(rows, "k string, seq long"), ["k"], "seq").collect()
     big = sorted(r["seq"] // 3 for r in got if r["k"] == "big")
