@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import ratio
-from arborstat.operators.voxels import POSITION, voxel_runs
+from arborstat.operators.voxels import POSITION, overlapping, voxel_runs
 from arborstat.plans.propagation import connected_components
 from arborstat.session import cut_lineage
 from arborstat.plans.proximity import closest_pairs, linked_groups, within_radius
 
 
 def voxel_id(z: Column, y: Column, x: Column) -> Column:
-    """Order-keeping 64-bit id of a position; 21 bits per axis."""
-    return F.shiftleft(z.cast("long"), 42) + F.shiftleft(y.cast("long"), 21) + x.cast("long")
+    """Order-keeping 64-bit id of a position; 21 bits per axis, and an error for positions outside them."""
+    inside = F.lit(True)
+    for c in (z, y, x):
+        inside = inside & c.between(0, (1 << 21) - 1)
+    number = F.shiftleft(z.cast("long"), 42) + F.shiftleft(y.cast("long"), 21) + x.cast("long")
+    return F.when(inside, number).otherwise(F.raise_error(F.lit("voxel positions go from 0 to 2097151")).cast("long"))
 
 
 def voxel_components(voxels: DataFrame, faces_only: bool = False) -> DataFrame:
@@ -31,8 +35,7 @@ def voxel_components(voxels: DataFrame, faces_only: bool = False) -> DataFrame:
     sent = runs.select("scan_id", "x0", "x1", F.col("node").alias("src"), "z", "y", F.explode(lines).alias("o")).select(
         "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "src", F.col("x0").alias("a0"), F.col("x1").alias("a1")
     )
-    touch = (F.col("a0") <= F.col("x1") + reach) & (F.col("a1") >= F.col("x0") - reach)
-    edges = sent.join(runs, ["scan_id", "z", "y"]).where(touch).select("scan_id", "src", F.col("node").alias("dst"))
+    edges = overlapping(runs, sent, reach).select("scan_id", "src", F.col("node").alias("dst"))
     labelled = runs.join(connected_components(edges, runs, ["scan_id"]), ["scan_id", "node"])
     return labelled.select("scan_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "component").join(v, POSITION)
 

@@ -105,6 +105,27 @@ def voxel_runs(masked: DataFrame) -> DataFrame:
     return runs.groupBy("scan_id", "z", "y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__run")
 
 
+CELL = 64  # positions along x that one join key covers
+
+
+def in_cells(runs: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Each run once per cell of CELL positions along x that ``lo`` to ``hi`` touches."""
+    return runs.withColumn("cell", F.explode(F.sequence(F.floor(lo / CELL), F.floor(hi / CELL))))
+
+
+def overlapping(runs: DataFrame, sent: DataFrame, reach: int) -> DataFrame:
+    """Pairs of ``runs`` (x0, x1) and ``sent`` (a0, a1) of one line that overlap or come within ``reach``.
+
+    Lines are joined cell by cell, and a pair counts in the cell where its overlap
+    begins, so what meets is bounded by a cell and not by the runs of a line.
+    """
+    left = in_cells(runs, F.col("x0"), F.col("x1"))
+    right = in_cells(sent, F.col("a0") - reach, F.col("a1") + reach)
+    begins = F.floor(F.greatest(F.col("x0"), F.col("a0") - reach) / CELL)
+    met = left.join(right, ["scan_id", "z", "y", "cell"])
+    return met.where((F.col("a0") - reach <= F.col("x1")) & (F.col("a1") + reach >= F.col("x0")) & (F.col("cell") == begins)).drop("cell")
+
+
 def neighbour_counts(voxels: DataFrame) -> DataFrame:
     """Masked neighbours (of 26) of every masked voxel, and whether it is an endpoint.
 
@@ -113,13 +134,13 @@ def neighbour_counts(voxels: DataFrame) -> DataFrame:
     """
     runs = voxel_runs(voxels.where("label > 0").select(*POSITION))
     lines = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    sent = runs.select("scan_id", "z", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.explode(lines).alias("o")).select(
-        "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "b0", "b1"
+    sent = runs.select("scan_id", "z", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(lines).alias("o")).select(
+        "scan_id", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "a0", "a1"
     )
-    met = runs.join(sent, ["scan_id", "z", "y"]).where("b0 <= x1 + 1 and b1 >= x0 - 1")
-    reached = F.sequence(F.greatest("x0", F.col("b0") - 1), F.least("x1", F.col("b1") + 1))
-    near = met.select("scan_id", "z", "y", "b0", "b1", F.explode(reached).alias("x"))
-    common = F.least(F.col("x") + 1, F.col("b1")) - F.greatest(F.col("x") - 1, F.col("b0")) + 1
+    met = overlapping(runs, sent, 1)
+    reached = F.sequence(F.greatest("x0", F.col("a0") - 1), F.least("x1", F.col("a1") + 1))
+    near = met.select("scan_id", "z", "y", "a0", "a1", F.explode(reached).alias("x"))
+    common = F.least(F.col("x") + 1, F.col("a1")) - F.greatest(F.col("x") - 1, F.col("a0")) + 1
     return near.groupBy(*POSITION).agg((F.sum(common) - 1).alias("n_neighbours")).withColumn("is_endpoint", F.col("n_neighbours") == 1)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 AXES = ("z", "y", "x")
 
@@ -20,8 +20,9 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
 
     ``a`` has keys, group, z, y, x (integers); ``b`` has keys, z, y, x. ``spacing`` is
     mm per step as (x, y, z). Result: keys, group, distance and both points; ties go
-    to the smallest points. The coarsest boxes are an eighth of the widest volume, so
-    their number does not depend on the number of points.
+    to the smallest points. The first boxes are as wide as everything in a volume, so
+    eight at most on either side; from there boxes are halved, and at each level only
+    pairs that can still hold their group's answer are split.
     """
     mm = dict(zip(AXES, (spacing[2], spacing[1], spacing[0])))
     a = a.select(*keys, group, *[F.col(c).cast("int").alias(f"a{c}") for c in AXES]).distinct()
@@ -40,13 +41,14 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
             hi.append((d + (side - 1)) * mm[c])
         return tuple(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) for v in (lo, hi))
 
-    widest = F.greatest(*[F.max(f"b{c}") - F.min(f"b{c}") for c in AXES]).alias("w")
-    level = max(0, (b.groupBy(*keys).agg(widest).agg(F.max("w")).first()[0] or 0).bit_length() - 3)
-    pairs = None
+    both = a.select(*keys, *[F.col(f"a{c}").alias(c) for c in AXES]).unionByName(b.select(*keys, *[F.col(f"b{c}").alias(c) for c in AXES]))
+    widest = F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("w")
+    level = (both.groupBy(*keys).agg(widest).agg(F.max("w")).first()[0] or 0).bit_length()
+    pairs, table = None, []
     while True:
         ca, cb = boxes(a, "a", level, [group]), boxes(b, "b", level, [])
         if pairs is None:
-            joined = ca.join(cb, keys)  # coarsest boxes of one volume
+            joined = ca.join(cb, keys)  # eight boxes at most of a volume and of a group in it
         else:
             up = prev - level
             pa = ca.select("*", *[F.shiftright(f"a{c}", up).alias(f"pa{c}") for c in AXES])
@@ -59,10 +61,11 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
             pt = lambda s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in AXES])
             best = joined.groupBy(*keys, group).agg(F.min(F.struct(F.col("lo").alias("distance"), pt("a").alias("a"), pt("b").alias("b"))).alias("m"))
             return best.select(*keys, group, "m.distance", F.col("m.a").alias("point_a"), F.col("m.b").alias("point_b"))
-        joined = cut_lineage(joined)
-        limit = joined.groupBy(*keys, group).agg(F.min("hi").alias("limit"))
-        pairs = joined.join(limit, [*keys, group]).where(F.col("lo") <= F.col("limit")).drop("lo", "hi", "limit")
-        prev, level = level, max(0, level - 2)
+        before, table = table, cut_lineage(joined)
+        release(*before)
+        limit = table.groupBy(*keys, group).agg(F.min("hi").alias("limit"))
+        pairs = table.join(limit, [*keys, group]).where(F.col("lo") <= F.col("limit")).drop("lo", "hi", "limit")
+        prev, level, table = level, level - 1, [table]
 
 
 def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: int) -> DataFrame:

@@ -309,3 +309,32 @@ def test_negative_lengths_are_refused(spark):
     edges = spark.createDataFrame([(1, 0, 1, -2.0)], "scan_id long, src long, dst long, length double")
     with pytest.raises(ValueError):
         path_distances(edges, spark.createDataFrame([(1, 0)], "scan_id long, root long"), ["scan_id"])
+
+
+def test_closest_pairs_of_a_narrow_and_a_far_spread_set(spark, monkeypatch):
+    """What is written per level stays near the size of the sets, never their product."""
+    made = []
+    cut = proximity.cut_lineage
+    monkeypatch.setattr(proximity, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+    monkeypatch.setattr(proximity, "release", lambda *tables: None)
+    line = [(1, 7, 0, 0, 3 * x) for x in range(600)]
+    a = spark.createDataFrame(line, "scan_id long, component long, z int, y int, x int")
+    b = spark.createDataFrame([(1, 2, 0, 900), (1, 0, 1, 901)], "scan_id long, z int, y int, x int")
+    r = proximity.closest_pairs(a, b, ["scan_id"], "component").first()
+    assert r["distance"] == pytest.approx(2**0.5) and r["point_a"]["x"] == 900
+    assert max(t.count() for t in made) <= 64
+
+
+def test_alternating_lines_make_pairs_linear_in_their_runs(spark):
+    from arborstat.operators.voxels import overlapping
+
+    runs = spark.createDataFrame([(1, 0, 0, 2 * i, 2 * i) for i in range(2000)], "scan_id long, z int, y int, x0 int, x1 int")
+    sent = runs.withColumnsRenamed({"x0": "a0", "x1": "a1"})
+    assert overlapping(runs, sent, 1).count() == 2000
+    wide = spark.createDataFrame([(1, 0, 0, -5, 5000)], "scan_id long, z int, y int, a0 int, a1 int")
+    assert overlapping(runs, wide, 0).count() == 2000
+
+
+def test_voxel_ids_refuse_positions_out_of_range(spark):
+    with pytest.raises(Exception, match="2097151"):
+        spark.range(1).select(C.voxel_id(F.lit(0), F.lit(1 << 21), F.lit(0))).collect()
