@@ -26,9 +26,12 @@ from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single space between two other characters always starts a word, whatever stands around it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces and words whose ids a task keeps between slices, at most.
-KEPT_PIECES = 200_000
-KEPT_WORDS = 200_000
+#: Pieces, words and pairs of tokens that a task remembers between slices, at most.
+KEPT_PIECES = 100_000
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 250_000
+#: Characters of the texts that are encoded together, about.
+GROUP = 2_000_000
 #: Longest stretch of one text, in characters, whose pieces are held at once.
 STRETCH = 1_000_000
 FOREVER = 1 << 60
@@ -75,7 +78,7 @@ class ByteBpe:
         self.step, self.token_at = {}, [None]
         for token, i in self.id_of.items():
             self._add(token, i)
-        self.apart_memo: dict[tuple[int, int], bool] = {}
+        self.apart_memo: dict[int, bool] = {}
         self.word = regex.compile(WORD)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.four = [i.to_bytes(4, "little") for i in range(len(self.born))]
@@ -110,9 +113,9 @@ class ByteBpe:
                 until, y = born[y] + 1, self.left[y]
             else:
                 until, x = born[x], self.right[x]
-        if len(self.apart_memo) > 400_000:
+        if len(self.apart_memo) > KEPT_PAIRS:
             self.apart_memo.clear()
-        self.apart_memo[a, b] = good
+        self.apart_memo[a << 32 | b] = good
         return good
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
@@ -136,7 +139,7 @@ class ByteBpe:
                         grown.append((start, state))
                         if token is None and (t := token_at[state]) is not None:
                             if start:
-                                fits = known.get((last[start], t))
+                                fits = known.get(last[start] << 32 | t)
                                 if not (apart(last[start], t) if fits is None else fits):
                                     continue
                             token, at = t, start
@@ -247,7 +250,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in in_groups(batches, "__text"):
+        for b in in_groups(batches, "__text", GROUP):
             ids = bpe.encode(b.column("__text").to_pylist())
             yield with_columns(b, keep, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
