@@ -44,16 +44,25 @@ def _(t):
     return S.spearman(cases(t), "case_id", FEATURES, TARGETS).withColumn("spearman_rho", r6("spearman_rho"))
 
 
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: Simpson's rule over the null density of r, (1-u^2)^((n-4)/2)."""
+    density = f"case when i in (0,20000) then 1 when i%2=1 then 4 else 2 end*pow(1-pow({{u}},2),({n}-4)/2.0::double)"
+    tail, whole = (f"list_sum(list_transform(range(0,20001), lambda i: {density.format(u=u)}))" for u in (f"least(1,abs({r})+(1-abs({r}))*i/20000.0::double)", "i/20000.0::double"))
+    return f"({tail}*(1-abs({r}))/{whole})"
+
+
 # Simpson's rule over the null density of r, (1-u^2)^((n-4)/2).
 P_SQL = LONG + f""", c as (select feature, target, count(*) as n, abs({r_sql('y', 'x')}) as a, {r_sql('y', 'x')} as r from l group by 1,2),
  g as (select i, case when i in (0,20000) then 1 when i%2=1 then 4 else 2 end as w from range(0,20001) t(i)),
  q as (select feature, target, any_value(n) as n, any_value(r) as r, sum(w*pow(1-pow(least(1,a+(1-a)*i/20000.0::double),2),(n-4)/2.0::double))*any_value(1-a) as tail, sum(w*pow(1-pow(i/20000.0::double,2),(n-4)/2.0::double)) as whole from c, g group by 1,2)"""
 
 
-@query("h03_p_values", "cases", P_SQL + "select feature, target, n, round(r,6) as pearson_r, round(tail/whole,6) as p_value from q")
+@query("h03_p_values", "cases", P_SQL + RANKS.removeprefix(LONG) + f""", rho as (select feature, target, count(*) as nn, {r_sql('ry', 'rx')} as rho from k group by 1,2)
+select feature, target, n, round(r,6) as pearson_r, round(tail/whole,6) as p_value, round(rho,6) as spearman_rho, round({p_sql('rho', 'nn')},6) as spearman_p from q join rho using (feature,target)""")
 def _(t):
-    c = S.pair_correlations(cases(t), FEATURES, TARGETS)
-    return S.with_p_values(c, "pearson_r", "n").select("feature", "target", "n", r6("pearson_r").alias("pearson_r"), r6("p_value").alias("p_value"))
+    c = S.with_p_values(S.pair_correlations(cases(t), FEATURES, TARGETS), "pearson_r", "n")
+    s = S.with_p_values(S.spearman(cases(t), "case_id", FEATURES, TARGETS), "spearman_rho", "n", "spearman_p").drop("n")
+    return rounded(c.join(s, ["feature", "target"]), ["feature", "target", "n"], ["pearson_r", "p_value", "spearman_rho", "spearman_p"])
 
 
 @query("h04_regression_lines", "cases", LONG + "select feature, target, round(regr_sxy(y,x)/nullif(regr_sxx(y,x),0),6) as slope, round(avg(y)-regr_sxy(y,x)/nullif(regr_sxx(y,x),0)*avg(x),6) as intercept from l group by 1,2")
@@ -80,18 +89,18 @@ def _(t):
     return rounded(S.sensitivity_class(sensitivity(t)), ["impact"], ["max_delta", "mean_delta"])
 
 
-@query("h06_metric_type_comparison", "cases", LONG + f""", c as (select feature, target, {r_sql('y', 'x')} as r from l group by 1,2), d as (select case feature when 'm1' then 'core' when 'm6' then 'core' else 'other' end as type, feature, abs(r) as a from c),
- g as (select type, count(*) as n_metrics, avg(a) as ma, max(a) as xa, arg_max(feature,(a,feature)) as best_metric from d group by 1)
-select type, n_metrics, round(ma,6) as mean_abs_r, round(xa,6) as max_abs_r, best_metric, row_number() over (order by ma desc, type)::int as rank from g""")
+@query("h06_metric_type_comparison", "cases", LONG + f""", c as (select feature, target, {r_sql('y', 'x')} as r, count(*) as n from l group by 1,2), d as (select case feature when 'm1' then 'core' when 'm6' then 'core' else 'other' end as type, feature, abs(r) as a, {p_sql('r', 'n')} as p from c),
+ g as (select type, count(*) as n_metrics, count(*) filter (where p<0.05) as n_significant, avg(a) as ma, max(a) as xa, arg_max(feature,(a,feature)) as best_metric from d group by 1)
+select type, n_metrics, n_significant, round(ma,6) as mean_abs_r, round(xa,6) as max_abs_r, best_metric, row_number() over (order by ma desc, type)::int as rank from g""")
 def _(t):
     c = S.with_p_values(S.pair_correlations(cases(t), FEATURES, TARGETS), "pearson_r", "n")
     g = S.compare_metric_types(c, {"m1": "core", "m6": "core", "m2": "other"})
-    return rounded(g, ["type", "n_metrics", "best_metric", "rank"], ["mean_abs_r", "max_abs_r"])
+    return rounded(g, ["type", "n_metrics", "n_significant", "best_metric", "rank"], ["mean_abs_r", "max_abs_r"])
 
 
-@query("h07_quartile_correlation", "visits", DECLINE + f"select count(*) as n, round({r_sql('mean_decline', 'baseline_mean')},6) as r from dd having count(*)>=4")
+@query("h07_quartile_correlation", "visits", DECLINE + f", qr as (select count(*) as n, {r_sql('mean_decline', 'baseline_mean')} as r from dd having count(*)>=4) select n, round(r,6) as r, round({p_sql('r', 'n')},6) as p_value from qr")
 def _(t):
-    return rounded(S.quartile_correlation(L.decline_summary(L.with_quartiles(t.visits))), ["n"], ["r"])
+    return rounded(S.quartile_correlation(L.decline_summary(L.with_quartiles(t.visits))), ["n"], ["r", "p_value"])
 
 
 LOO = LONG + """, m as (select feature, target, count(*) as n, avg(x) as mx, avg(y) as my, regr_sxx(y,x) as sxx, regr_sxy(y,x) as sxy from l group by 1,2 having count(*)>=10),
@@ -126,10 +135,16 @@ ERR = LOO + """, e as (select feature, target, model, count(*) as n, avg((predic
  avg(case when target='m3' then abs(predicted-actual)/nullif(actual,0)*100 else abs(predicted-actual) end) as mape, """ + r_sql("predicted", "actual") + " as r from p group by 1,2,3)"
 
 
-@query("h10_error_metrics", "cases", ERR + "select feature, target, model, n, round(mse,6) as mse, round(mae,6) as mae, round(sqrt(mse),6) as rmse, round(r2,6) as r2, round(mape,6) as mape, round(r,6) as pearson_r from e")
+ERR_RANKS = """, kp as (select feature, target, model, rank() over (partition by feature,target,model order by predicted)+(count(*) over (partition by feature,target,model,predicted)-1)/2.0::double as rx,
+ rank() over (partition by feature,target,model order by actual)+(count(*) over (partition by feature,target,model,actual)-1)/2.0::double as ry from p), er as (select feature, target, model, """ + r_sql("ry", "rx") + " as rho from kp group by 1,2,3)"
+
+
+@query("h10_error_metrics", "cases", ERR + ERR_RANKS + f"""select feature, target, model, n, round(mse,6) as mse, round(mae,6) as mae, round(sqrt(mse),6) as rmse, round(r2,6) as r2, round(mape,6) as mape, round(r,6) as pearson_r,
+ round({p_sql('r', 'n')},6) as pearson_p, round(rho,6) as spearman_rho, round({p_sql('rho', 'n')},6) as spearman_p from e join er using (feature,target,model)""")
 def _(t):
-    m = S.error_metrics(S.leave_one_out_linear(pairs(t)), ["feature", "target", "model"], ["m3"])
-    return rounded(m, ["feature", "target", "model", "n"], ["mse", "mae", "rmse", "r2", "mape", "pearson_r"])
+    predicted, by = S.leave_one_out_linear(pairs(t)), ["feature", "target", "model"]
+    m = S.with_rank_correlation(S.error_metrics(predicted, by, ["m3"]), predicted, by, "case_id")
+    return rounded(m, ["feature", "target", "model", "n"], ["mse", "mae", "rmse", "r2", "mape", "pearson_r", "pearson_p", "spearman_rho", "spearman_p"])
 
 
 def grid(t):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborstat.functions.numeric import count_if, dbl, intercept, pearson, ratio, slope
 from arborstat.operators.comparison import unpivot_metrics
 from arborstat.plans.selection import positions
+from arborstat.session import cut_lineage
 
 
 def long_pairs(df: DataFrame, key: str, features: list[str], targets: list[str]) -> DataFrame:
@@ -148,8 +149,9 @@ def compare_metric_types(corr: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def quartile_correlation(summary: DataFrame) -> DataFrame:
-    """Correlation of baseline mean and mean decline over the quartiles, given all four."""
-    return summary.agg(F.count("*").alias("n"), pearson("mean_decline", "baseline_mean").alias("r")).where("n >= 4")
+    """Correlation of baseline mean and mean decline over the quartiles with its p, given all four."""
+    r = summary.agg(F.count("*").alias("n"), pearson("mean_decline", "baseline_mean").alias("r")).where("n >= 4")
+    return with_p_values(r, "r", "n")
 
 
 # --- leave-one-out ----------------------------------------------------------------
@@ -232,6 +234,16 @@ def error_metrics(pred: DataFrame, keys: list[str], percent_targets: list[str] =
     )
 
 
+def with_rank_correlation(metrics: DataFrame, pred: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """``metrics`` with the p of r, and Spearman's rho of predicted and actual with its p."""
+    narrow = cut_lineage(pred.select(*keys, row_id, "predicted", "actual"))
+    ranked = average_ranks(narrow, keys, "predicted", row_id, "rx")
+    ranked = average_ranks(ranked.drop("predicted"), keys, "actual", row_id, "ry")
+    rho = ranked.groupBy(*keys).agg(pearson("ry", "rx").alias("spearman_rho"))
+    both = with_p_values(metrics.join(rho, keys), "pearson_r", "n", "pearson_p")
+    return with_p_values(both, "spearman_rho", "n", "spearman_p")
+
+
 def best_models(metrics: DataFrame) -> DataFrame:
     """Best R2 per (feature, target); on ties the simpler model."""
     order = F.when(F.col("model") == "linear", 1).when(F.col("model") == "poly2", 2).otherwise(3)
