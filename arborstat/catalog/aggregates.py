@@ -85,13 +85,15 @@ def _(t):
 
 
 @query("e12_metric_vector", "branches", REGION.replace(", r as", ", r0 as") .replace("r0 as", "r as") + PERI.replace(GEO, "") + """, t as (select scan_id, sum(vol) filter (where generation is not null) as tv, avg(diameter_mean_mm/nullif(length_mm,0)) as dl,
- stddev_samp(diameter_mean_mm)/avg(diameter_mean_mm) as cv_all, count(distinct generation)::double/(max(generation)-min(generation)+1) as cov from g group by 1)
-select scan_id, round(tv,6) as total_volume_mm3, round(dl,6) as mean_diameter_to_length_ratio, round(cov,6) as generation_coverage, round(cv_all,6) as diameter_cv, """ + REGION_COLS + ", " + PERI_COLS + " from t join r using (scan_id) join p using (scan_id)")
+ stddev_samp(diameter_mean_mm)/avg(diameter_mean_mm) as cv_all, count(distinct generation)::double/(max(generation)-min(generation)+1) as cov, avg(diameter_mean_mm) as dma, stddev_samp(diameter_mean_mm) as dsa,
+ min(generation) as lo, max(generation) as hi, list(distinct generation) filter (where generation is not null) as have from g group by 1)
+select scan_id, round(dma,6) as diameter_mean_all, round(dsa,6) as diameter_std_all, coalesce(array_to_string(list_sort(list_filter(range(lo,hi+1), lambda x: not list_contains(have,x::int))),','),'') as missing_generations, round(tv,6) as total_volume_mm3, round(dl,6) as mean_diameter_to_length_ratio, round(cov,6) as generation_coverage, round(cv_all,6) as diameter_cv, """ + REGION_COLS + ", " + PERI_COLS + " from t join r using (scan_id) join p using (scan_id)")
 def _(t):
     v = B.metric_vector(t.branches)
     ints = [c for c in v.columns if c.endswith("count")]
-    skip = {"scan_id", "missing_generations", "diameter_mean_all", "diameter_std_all", *ints}
-    return rounded(v, ["scan_id", *ints], [c for c in v.columns if c not in skip])
+    v = v.withColumn("missing_generations", F.concat_ws(",", F.transform("missing_generations", lambda x: x.cast("string"))))
+    keys = ["scan_id", "missing_generations", *ints]
+    return rounded(v, keys, [c for c in v.columns if c not in keys])
 
 
 @query("e13_region_breakdown", "branches", REGION + """select scan_id, 'central' as region, round(cv,6) as volume_mm3, cn as branch_count from r union all select scan_id, 'intermediate', round(iv,6), inn from r union all select scan_id, 'peripheral', round(pv,6), pn from r""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import count_if, dbl, ratio, ratio_or_zero, sum_if
-from arborstat.plans.ordered import block_lag
+from arborstat.plans.ordered import with_previous
 from arborstat.session import cut_lineage
 from arborstat.plans.selection import grouped, join_groups, select_ranks
 
@@ -252,7 +252,7 @@ def polyline_lengths(points: DataFrame, spacing: tuple[float, float, float] = (1
         ((F.col(c) - F.col(f"prev_{c}")) * s * ((F.col(c) - F.col(f"prev_{c}")) * s) for c, s in zip("yz", spacing[1:])),
         (F.col("x") - F.col("prev_x")) * spacing[0] * ((F.col("x") - F.col("prev_x")) * spacing[0]),
     )
-    p = block_lag(points, ["scan_id", "branch_id"], "seq", ["x", "y", "z"])
+    p = with_previous(points, ["scan_id", "branch_id"], "seq", ["x", "y", "z"])
     return p.groupBy("scan_id", "branch_id").agg(
         F.coalesce(F.sum(F.sqrt(step)), F.lit(0.0)).alias("length_mm"), F.count("*").alias("num_points")
     )

@@ -163,9 +163,9 @@ def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
 
 def slice_uniformity(slices: DataFrame) -> DataFrame:
     """Per scan: whether consecutive slice positions are evenly spaced, spacing deviation and largest gap."""
-    from arborstat.plans.ordered import block_lag
+    from arborstat.plans.ordered import with_previous
 
-    g = block_lag(slices, ["scan_id"], "z", ["z"]).withColumn("gap", F.abs(F.col("z") - F.col("prev_z")))
+    g = with_previous(slices, ["scan_id"], "z", ["z"]).withColumn("gap", F.abs(F.col("z") - F.col("prev_z")))
     a = g.groupBy("scan_id").agg(
         F.avg("gap").alias("m"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("spacing_std"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap")
     )

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from arborstat.functions.numeric import clean
 from arborstat.plans.selection import positions
 
-BLOCK = 1 << 16
-
-
-def block_lag(df: DataFrame, keys: list[str], seq: str, cols: list[str], block: int = BLOCK) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], seq: str, cols: list[str]) -> DataFrame:
     """Add ``prev_<col>``: the row before in ``seq`` order within ``keys``.
 
-    ``seq`` is an integer, unique per key. Rows are ordered inside blocks of ``seq``
-    values, so one key spreads over many tasks; the first row of a block takes its
-    predecessor from a small table of block ends.
+    ``seq`` is unique per key; gaps do not matter. Rows get their position in the global
+    order of (keys, seq) once and meet the position before by an equi-join, so one key
+    may hold most of the rows.
     """
-    b = df.withColumn("__b", F.floor(F.col(seq) / block))
-    inner = Window.partitionBy(*keys, "__b").orderBy(seq)
-    row = F.struct(*cols)
-    b = b.withColumn("__p", F.lag(row).over(inner))
-    ends = b.groupBy(*keys, "__b").agg(F.max_by(row, seq).alias("__end"))
-    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__b")))
-    out = b.join(ends, [*keys, "__b"])
-    prev = F.coalesce("__p", "__end")
-    return out.withColumns({f"prev_{c}": prev[c] for c in cols}).drop("__b", "__p", "__end")
+    at = positions(df, [*keys, seq], "__at")
+    before = at.select((F.col("__at") + 1).alias("__at"), *[F.col(k).alias(f"__of_{k}") for k in keys], F.lit(True).alias("__met"), *[F.col(c).alias(f"prev_{c}") for c in cols])
+    same = F.col("__met").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    out = at.join(before, "__at", "left")
+    return out.withColumns({f"prev_{c}": F.when(same, F.col(f"prev_{c}")) for c in cols}).drop("__at", "__met", *[f"__of_{k}" for k in keys])
 
 
 def rank_quartile(df: DataFrame, value: str, row_id: str, name: str = "quartile") -> DataFrame:

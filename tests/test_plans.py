@@ -73,12 +73,10 @@ def test_positions(frame):
     assert got.row.tolist() == want.row.tolist()
 
 
-def test_block_lag(frame):
-    pdf, df = frame
-    sparse = df.withColumn("seq", F.col("row") * 7 - 100)
-    got = ordered.block_lag(sparse, ["k"], "seq", ["row"], block=64).toPandas().sort_values(["k", "row"])
-    want = pdf.sort_values(["k", "row"]).groupby("k").row.shift()
-    assert got.prev_row.fillna(-1).tolist() == want.fillna(-1).tolist()
+def test_previous_row(spark):
+    rows = [(1, s, i) for i, s in enumerate([0, 5, 9000, 9001, 10**9])] + [(2, 7, 99)] + [(None, 3, 1), (None, 8, 2)]
+    got = {(r["k"], r["seq"]): r["prev_v"] for r in ordered.with_previous(spark.createDataFrame(rows, "k int, seq long, v int"), ["k"], "seq", ["v"]).collect()}
+    assert got == {(1, 0): None, (1, 5): 0, (1, 9000): 1, (1, 9001): 2, (1, 10**9): 3, (2, 7): None, (None, 3): None, (None, 8): 1}
 
 
 def random_graph(seed, n=80, m=90):
