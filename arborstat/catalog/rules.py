@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborstat.catalog import query, r2, r6
+from arborstat.catalog.sources import folder
 from arborstat.functions import labels as L
 from arborstat.functions.numeric import dbl, ratio
 from arborstat.operators import branches, longitudinal, rules
 from arborstat.operators.comparison import extract_report_metrics, extract_section
+from arborstat.sources.readers import read_documents
+from arborstat.sources.writers import write_table
 
 METRICS = {m: m for m in ("airway_volume_ml", "max_generation", "pc_ratio", "branch_count", "tapering_ratio", "tortuosity")}
 
@@ -277,8 +280,15 @@ select q.case_id, case when q.case_id%23=0 then 'SKIPPED' when q.case_id%29=0 th
  coalesce(c,0)::int as tech_checks, coalesce(p,0)::int as tech_passed, coalesce(c-p,0)::int as tech_failed, """ + ", ".join(
     f"round({m}_value,6) as {m}_value, {m}_status" for m in METRICS) + " from q left join w using (case_id)")
 def _(t):
+    """Cases meet the documents that were written for them: some have none, and some cannot be read."""
+    p = folder(t, "cases")
+    number = F.when(F.col("case_id") % 29 == 0, "unreadable").otherwise(F.col("branch_count").cast("string"))
+    written = qc_inputs(t).where("case_id % 23 <> 0").select("case_id", F.pmod("case_id", F.lit(8)).alias("part"), number.alias("branch_count"))
+    write_table(written, p, "json", ["part"])
+    loaded = read_documents(t.spark, p, {"case_id": "long", "branch_count": "double"}, r"part=(\d+)/", key="part", multiline=False)
+    found = loaded.select("case_id", F.lit(True).alias("found"), F.col("branch_count").isNull().alias("broken"))
     out = rules.qc_batch(
-        qc_inputs(t), "case_id", METRICS, present=F.col("case_id") % 23 != 0, failed=F.col("case_id") % 29 == 0,
+        qc_inputs(t).join(found, "case_id", "left"), "case_id", METRICS, present=F.col("found").isNotNull(), failed=F.coalesce("broken", F.lit(False)),
         zero_if_missing=("airway_volume_ml",),
     )
     return out.select("case_id", "status", "tech_checks", "tech_passed", "tech_failed", *[c for m in METRICS for c in (r6(f"{m}_value").alias(f"{m}_value"), f"{m}_status")])

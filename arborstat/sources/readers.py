@@ -111,21 +111,23 @@ def copy_integrity(original: DataFrame, copy: DataFrame, key: str, content: str,
     """Digest and size comparison of two copies, row by row on ``key``.
 
     ``content`` is binary or text. The digest is taken before the join, so contents
-    are not moved. Checks: present, digest equal, size equal, size as expected.
+    are not moved. Checks: present in both, digest equal, size equal, size as expected.
+    Keys that only the copy has are rows too.
     """
     def side(df, p, *extra):
         return df.select(key, F.md5(F.col(content).cast("binary")).alias(f"{p}_digest"), F.octet_length(F.col(content)).alias(f"{p}_size"), *extra)
 
     o = side(original, "original", *([F.col(expected_size).alias("expected")] if expected_size else []))
-    j = o.join(side(copy, "copy"), key, "left")
+    j = o.withColumn("__o", F.lit(True)).join(side(copy, "copy").withColumn("__c", F.lit(True)), key, "full_outer")
     checks = {
-        "copy_present": F.col("copy_digest").isNotNull(),
+        "original_present": F.col("__o").isNotNull(),
+        "copy_present": F.col("__c").isNotNull(),
         "digest_equal": F.coalesce(F.col("original_digest") == F.col("copy_digest"), F.lit(False)),
         "size_equal": F.coalesce(F.col("original_size") == F.col("copy_size"), F.lit(False)),
         "size_expected": F.coalesce(F.col("copy_size") == F.col("expected"), F.lit(False)) if expected_size else F.lit(True),
     }
     j = j.withColumns(checks)
-    return j.withColumn("all_checks_passed", F.col("copy_present") & F.col("digest_equal") & F.col("size_equal") & F.col("size_expected")).drop("expected")
+    return j.withColumn("all_checks_passed", F.col("original_present") & F.col("copy_present") & F.col("digest_equal") & F.col("size_equal") & F.col("size_expected")).drop("expected", "__o", "__c")
 
 
 def read_binary(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
