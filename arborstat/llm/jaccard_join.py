@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.llm.common import in_groups, whole_text
 from arborstat.plans.propagation import connected_components
-from arborstat.session import cut_and_count, cut_lineage
+from arborstat.session import cut_and_count, cut_lineage, release
 
 #: Buckets of the frequency table that sets the order; 4 bytes each, whatever the input.
 BUCKETS = 1 << 20
@@ -212,6 +212,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
         if left:
             links = cut_lineage(links.unionByName(_links(docs, more, doc_id, text, n, percent)))
             found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
+    release(lists, groups, member)
     root = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("root"))
     out = sets.join(root, "same", "left")
     own = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
@@ -229,7 +230,9 @@ def _links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, n: int, pe
     pairs = cut_lineage(pairs)
     ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     texts = cut_lineage(texts_of(docs, ids, doc_id, text))
-    return cut_lineage(verify(pairs, texts, n, percent).distinct())
+    links = cut_lineage(verify(pairs, texts, n, percent).distinct())
+    release(pairs, ids, texts)
+    return links
 
 
 def _apart(lists: DataFrame, member: DataFrame, found: DataFrame, fits: Column, every: bool) -> DataFrame:

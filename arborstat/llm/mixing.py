@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.llm.common import whole_text
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 BLOCK_TOKENS = 65_536
 #: Blocks whose running total one task makes, about.
@@ -139,6 +139,7 @@ def mix(
     so_far = F.sum("tokens").over(Window.partitionBy("__source", "block").orderBy("__in"))
     cut = lone.withColumn("so_far", so_far).where("so_far <= room").groupBy("__source", "block").agg(F.max("__in").alias("cut"))
     decided = cut_lineage(ends.join(cut, ["__source", "block"], "left").select("__source", "block", "full", "cut"))
+    release(slim, sums, shares, blocks, ends)
 
     more = F.when(F.col("full") | (F.col("__in") <= F.col("cut")), 1).otherwise(0)
     taken = rows.join(plan.select("__source", "times", "epochs", "blocks"), "__source").withColumn("block", F.col("__at") % F.col("blocks")).join(decided, ["__source", "block"])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
 from arborstat.llm.jaccard_join import texts_of
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 #: Bytes of a passage.
 PASSAGE = 600
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_
             yield out.filter(pa.array(kept))
 
     bags = sorted((r["id"], r["y"], r["x"]) for r in given.select("id", "y", "text").mapInArrow(run, "id bigint, y double, x binary").collect())
+    release(some)
     if not bags:
         return Model()
     x = [np.frombuffer(b[2], np.uint8).reshape(-1, KINDS * KINDS) for b in bags]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.llm.common import bind, whole_text
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 #: Rows on which costs and selectivities are estimated, about.
 SAMPLE_ROWS = 2_000
@@ -124,6 +124,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     for rule in rules:
         took, share = timed(rule.rejects(F.col("t")))
         found.append((rule, max(took - idle, 1e-4), float(share)))
+    release(some)
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.llm.common import bind, whole_text
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 #: Alternatives of one rule that are told apart; beyond that the rule reads every document.
 MAX_BRANCHES = 64
@@ -140,6 +140,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", s
     """
     index = cut_lineage(postings(docs, rules, text))
     found = cut_lineage(candidates(index, rules).select(F.col("doc.a").alias("__a"), F.col("doc.b").alias("__b"), F.col("kinds").alias("__kinds")))
+    release(index)
     keyed = docs.withColumns({"__a": F.xxhash64(whole_text(text), F.lit(1)), "__b": F.xxhash64(whole_text(text), F.lit(2))})
     joined = keyed.join(found, ["__a", "__b"], "left")
     t = whole_text(text)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.session import cut_and_count, cut_lineage
+from arborstat.session import cut_and_count, cut_lineage, release
 
 LISTS = 4
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
@@ -133,7 +133,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     cutoffs = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cut"))
     # Fewer than k found: there are no more candidates, phase one has them all.
     bounded = asked.join(cutoffs, "id").select("id", "cut", "v")
-    second = _best(_scored(_pairs(_packed(bounded, n, QUERY_ROWS), candidates), k, True), k)
+    tightened = _packed(bounded, n, QUERY_ROWS)
+    release(rows, asked, plain[0])
+    second = _best(_scored(_pairs(tightened, candidates), k, True), k)
     few = first.join(cutoffs.select(F.col("id").alias("query_id")), "query_id", "left_anti")
     columns = ["query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"]
     return second.select(*columns).unionByName(few.select(*columns))
