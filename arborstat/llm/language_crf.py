@@ -28,6 +28,8 @@ LEXICON = 500
 #: Words of a stretch that training takes at once.
 STRETCH = 64
 EPOCHS = 6
+#: Characters of the texts that are scored together, about.
+GROUP = 1_000_000
 UNKNOWN = "und"
 
 _LETTER = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
@@ -199,8 +201,12 @@ def sample(docs: DataFrame, learn: Column, per_lang: int, doc_id: str, text: str
     ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))
     cut = ids.withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
-    kept = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(doc_id, F.lit(11)).alias("h")).join(cut, "l").where("h <= top")
-    return sorted((r["t"], r["l"]) for r in kept.select("t", "l").collect())
+    tops = cut.collect()  # a row per language
+    if not tops:
+        return []
+    top = F.create_map(*[F.lit(x) for r in tops for x in (r["l"], r["top"])])
+    kept = rows.where(F.xxhash64(doc_id, F.lit(11)) <= F.element_at(top, F.col(lang))).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    return sorted((r["t"], r["l"]) for r in kept.collect())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -216,7 +222,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in in_groups(batches, "__text"):
+        for b in in_groups(batches, "__text", GROUP):
             w = words_of(b.column("__text").to_pylist())
             has = np.array(b.column("__letter").to_pylist(), bool) & (w.counts > 0) & bool(m.langs)
             best, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
