@@ -128,11 +128,17 @@ def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: in
 def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, text) of the documents in ``ids``; a bit table of fixed size keeps most others out of the join."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = ids.select((bit / 65536).cast("int").alias("at"), (bit % 65536).cast("int").alias("bit")).groupBy("at").agg(F.collect_set("bit").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS, bool)
-    for r in rows:
-        bits[r["at"] * 65536 + np.array(r["bits"])] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def pack(key, rows):
+        bits = np.zeros(1 << 16, bool)
+        bits[rows.column("bit").to_numpy()] = True
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    set_bits = ids.select((bit / 65536).cast("int").alias("at"), (bit % 65536).cast("int").alias("bit")).distinct()
+    table = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
+    for r in set_bits.groupBy("at").applyInArrow(pack, "at int, bits binary").collect():  # FILTER_BITS / 8 bytes
+        table[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value

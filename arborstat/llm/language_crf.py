@@ -23,6 +23,8 @@ from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
 BITS = 17
 #: Labelled documents of each language that the model is fitted on, at most.
 PER_LANG = 300
+#: Longer texts are left out of that sample, so that its size has a bound.
+SAMPLE_CHARS = 200_000
 #: Frequent words of each language in the lexicon, at most.
 LEXICON = 500
 #: Words of a stretch that training takes at once.
@@ -197,7 +199,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def sample(docs: DataFrame, learn: Column, per_lang: int, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
     """(text, lang) of up to ``per_lang`` rows of each language, in an order set by a hash of the id."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
     ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))
     cut = ids.withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
