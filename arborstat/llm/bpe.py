@@ -216,6 +216,10 @@ class ByteBpe:
         of = self.encode_pieces({p for special, p in cut if not special})
         return b"".join([self.four[self.special[p]] if special else of[p] for special, p in cut])
 
+    def forget(self) -> None:
+        """Free what was remembered of a task's texts; workers outlive their tasks."""
+        self.inner, self.words = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit integers) of each text."""
         if any(len(t) > STRETCH for t in texts):
@@ -238,9 +242,12 @@ def loaded_bytes(path: str) -> dict[int, bytes]:
         return token_bytes(json.load(f))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """``keep`` columns with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text.
 
+    With ``decoded`` also a column of that name: the text that the ids stand for, as
+    :func:`decode` gives it, in the same pass.
+
     ``path`` names a tokenizer file that every executor has. Special tokens written in a
     text become their ids; none are added. A null text counts as empty (no ids), repeated
     rows are encoded alike, an empty table gives an empty one. Columns named like the
@@ -252,10 +259,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         bpe = loaded(path)
         for b in in_groups(batches, "__text", GROUP):
             ids = bpe.encode(b.column("__text").to_pylist())
-            yield with_columns(b, keep, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+            new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                new["decoded"] = pa.array([decode_ids(x, bpe.bytes_of) for x in ids], pa.string())
+            yield with_columns(b, keep, new)
+        bpe.forget()
 
     given = docs.select(*keep, whole_text(text).alias("__text"))
-    return given.mapInArrow(run, schema_of(docs, keep, "n_tokens bigint, ids binary"))
+    return given.mapInArrow(run, schema_of(docs, keep, "n_tokens bigint, ids binary" + ", decoded string" * decoded))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -31,10 +31,8 @@ def tokenizer_path() -> str:
 @query("op2_bpe_trie")
 def bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
-    digests = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    decoded = bpe.decode(digests, tokenizer_path(), keep=["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"], decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op4_token_counts")

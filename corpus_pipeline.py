@@ -54,9 +54,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed little-endian 32-bit integers), and whether decoding gives the text back."""
-    encoded = bpe.encode(docs.withColumn("__sum", F.md5(F.col("text").cast("binary"))), tokenizer_path(), keep=["doc_id", "lang", "source", "__sum"])
-    decoded = bpe.decode(encoded.withColumn("__ids", F.col("ids")), tokenizer_path(), ids="__ids", keep=["doc_id", "lang", "source", "n_tokens", "ids", "__sum"])
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.md5(F.col("decoded").cast("binary")) == F.col("__sum")).alias("round_trip"))
+    summed = docs.withColumn("__sum", F.md5(F.col("text").cast("binary")))
+    both = bpe.encode(summed, tokenizer_path(), keep=["doc_id", "lang", "source", "__sum"], decoded=True)
+    return both.select("doc_id", "lang", "source", "n_tokens", "ids", (F.md5(F.col("decoded").cast("binary")) == F.col("__sum")).alias("round_trip"))
 
 
 STAGES = [

@@ -53,6 +53,8 @@ def test_encode_and_decode_tables(spark, library, odd_docs, no_docs):
     rows = bpe.decode(bpe.encode(odd_docs, PATH, keep=["doc_id"]).withColumnRenamed("ids", "packed"), PATH, ids="packed", keep=["doc_id", "n_tokens", "packed"]).collect()
     expected = sorted((str(r.doc_id), hashlib.sha256(np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest(), r.text or "") for r in odd_docs.collect())
     assert sorted((str(r.doc_id), hashlib.sha256(r.packed).hexdigest(), r.decoded) for r in rows) == expected
+    together = bpe.encode(odd_docs, PATH, keep=["doc_id"], decoded=True).collect()
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in together) == sorted((str(r.doc_id), r.packed, r.decoded) for r in rows)
     assert bpe.encode(no_docs, PATH).count() == 0
 
 
