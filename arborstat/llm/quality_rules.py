@@ -81,28 +81,48 @@ def n_repeat_words(t: Column, n: int = 3) -> Column:
     return counted.cast("bigint")
 
 
+@dataclass(frozen=True)
+class Measures:
+    """What rules read: the text, and counts that may already be columns."""
+
+    text: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_dup_lines: Column
+
+    @classmethod
+    def of(cls, t: Column) -> Measures:
+        return cls(t, n_words(t), word_chars(t), n_symbols(t), n_dup_lines(t))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` turns a text column into the condition that rejects it."""
+    """``rejects`` turns measures into the condition that rejects a text."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Measures], Column]
 
 
 def _more(part: Column, percent: int, of: Column) -> Column:
     return 100 * part > percent * of
 
 
+def _left(t: Column, others: str) -> Column:
+    """Characters left without runs of ``others``."""
+    return F.char_length(F.regexp_replace(t, others, ""))
+
+
 RULES = (
-    Rule("symbols", lambda t: _more(n_symbols(t), 10, n_words(t))),
-    Rule("capitals", lambda t: _more(n_of(t, r"\p{Lu}"), 50, n_of(t, r"\p{L}"))),
-    Rule("exclamations", lambda t: _more(n_of(t, "!"), 30, n_words(t))),
-    Rule("repeated_lines", lambda t: bind(lines(t), lambda x: _more(F.size(x) - F.size(F.array_distinct(x)), 30, F.size(x)))),
-    Rule("word_length", lambda t: (word_chars(t) < 2 * n_words(t)) | (word_chars(t) > 20 * n_words(t))),
-    Rule("letterless_words", lambda t: _more(n_words(t) - n_of(t, r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"), 40, n_words(t))),
-    Rule("broken_off_lines", lambda t: bind(lines(t), lambda x: _more(F.size(F.filter(x, lambda y: y.rlike("(?:\\.\\.\\.|…)$"))), 30, F.size(x)))),
-    Rule("bullets", lambda t: bind(lines(t), lambda x: _more(F.size(F.filter(x, lambda y: y.rlike("^[-*•]"))), 90, F.size(x)))),
-    Rule("filler", lambda t: F.contains(F.lower(t), F.lit("lorem ipsum"))),
+    Rule("symbols", lambda m: _more(m.n_symbols, 10, m.n_words)),
+    Rule("capitals", lambda m: _more(_left(m.text, r"\P{Lu}+"), 50, _left(m.text, r"\P{L}+"))),
+    Rule("exclamations", lambda m: _more(_left(m.text, "[^!]+"), 30, m.n_words)),
+    Rule("repeated_lines", lambda m: _more(m.n_dup_lines, 30, F.size(lines(m.text)))),
+    Rule("word_length", lambda m: (m.word_chars < 2 * m.n_words) | (m.word_chars > 20 * m.n_words)),
+    Rule("letterless_words", lambda m: _more(m.n_words - n_of(m.text, r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"), 40, m.n_words)),
+    Rule("broken_off_lines", lambda m: bind(lines(m.text), lambda x: _more(F.size(F.filter(x, lambda y: y.rlike("(?:\\.\\.\\.|…)$"))), 30, F.size(x)))),
+    Rule("bullets", lambda m: bind(lines(m.text), lambda x: _more(F.size(F.filter(x, lambda y: y.rlike("^[-*•]"))), 90, F.size(x)))),
+    Rule("filler", lambda m: F.contains(F.lower(m.text), F.lit("lorem ipsum"))),
 )
 
 
@@ -122,17 +142,17 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     idle, _ = timed(F.octet_length("t") < 0)
     found = []
     for rule in rules:
-        took, share = timed(rule.rejects(F.col("t")))
+        took, share = timed(rule.rejects(Measures.of(F.col("t"))))
         found.append((rule, max(took - idle, 1e-4), float(share)))
     release(some)
     return sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))
 
 
-def cascade(order: list[Rule], text: str = "text") -> Column:
+def cascade(order: list[Rule], m: Measures) -> Column:
     """Whether no rule rejects the text, asking the rules in turn and stopping at the first that does."""
-    t, chain = whole_text(text), None
+    chain = None
     for rule in order:
-        chain = F.when(rule.rejects(t), False) if chain is None else chain.when(rule.rejects(t), False)
+        chain = F.when(rule.rejects(m), False) if chain is None else chain.when(rule.rejects(m), False)
     return F.lit(True) if chain is None else chain.otherwise(True)
 
 
@@ -146,6 +166,7 @@ def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     """
     order = [rule for rule, _, _ in estimate(docs, rules, text)]
     t = whole_text(text)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
     base = docs.withColumns({"n_words": n_words(t), "word_chars": word_chars(t), "n_symbols": n_symbols(t), "n_dup_lines": n_dup_lines(t), "n_repeat_words": n_repeat_words(t)})
     base = base.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
-    return base.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order, text)))
+    return base.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(order, Measures(t, *map(F.col, names)))))

@@ -91,8 +91,8 @@ def test_order_never_changes_the_verdict(spark):
     rows = [("good plain words " * 30,), ("A! " * 60,), ("x # " * 60,), ("line\n" * 60,), ("12 " * 80,), ("- a\n- b\n- c",), ("lorem ipsum " * 20,), ("",)]
     df = spark.createDataFrame(rows, "text string")
     order = list(R.RULES)
-    first = [r.v for r in df.select(R.cascade(order).alias("v")).collect()]
-    assert first == [r.v for r in df.select(R.cascade(order[::-1]).alias("v")).collect()]
+    first = [r.v for r in df.select(R.cascade(order, R.Measures.of(F.col("text"))).alias("v")).collect()]
+    assert first == [r.v for r in df.select(R.cascade(order[::-1], R.Measures.of(F.col("text"))).alias("v")).collect()]
     assert first[0] and not any(first[1:5]) and not first[6]
 
 
