@@ -27,11 +27,11 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: A single space between two other characters always starts a word, whatever stands around it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces, words and pairs of tokens that a task remembers between slices, at most.
-KEPT_PIECES = 100_000
-KEPT_WORDS = 100_000
-KEPT_PAIRS = 250_000
+KEPT_PIECES = 50_000
+KEPT_WORDS = 50_000
+KEPT_PAIRS = 100_000
 #: Characters of the texts that are encoded together, about.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Longest stretch of one text, in characters, whose pieces are held at once.
 STRETCH = 1_000_000
 FOREVER = 1 << 60
@@ -218,7 +218,7 @@ class ByteBpe:
 
     def forget(self) -> None:
         """Free what was remembered of a task's texts; workers outlive their tasks."""
-        self.inner, self.words = {}, {}
+        self.inner, self.words, self.apart_memo = {}, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit integers) of each text."""

@@ -31,7 +31,7 @@ LEXICON = 500
 STRETCH = 64
 EPOCHS = 6
 #: Characters of the texts that are scored together, about.
-GROUP = 1_000_000
+GROUP = 500_000
 UNKNOWN = "und"
 
 _LETTER = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
