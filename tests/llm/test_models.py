@@ -117,6 +117,25 @@ def test_word_counts_against_loops(spark):
     assert by == {number["a"]: (1, 2, 3), number["b"]: (1, 2, 1), number["c"]: (1, 1, 2)}
 
 
+def test_every_word_has_its_own_counts(spark):
+    """More words than 2^20 buckets tell apart, and a word with more left neighbours than 2^12."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(120_000)]
+    rows = [(" ".join(x for w in words[k::4] for x in (w, "hub")), k % 2) for k in range(4)]
+    got = {r.word: r for r in T.count_words(spark.createDataFrame(rows, "text string, toxic long")).collect()}
+    assert len(got) == 120_001 and got[int(T.word_numbers(["hub"])[0][0])].contexts == 120_000
+    numbers = T.word_numbers([" ".join(words)])[0]
+    assert all((got[int(x)].n0, got[int(x)].n1) == (1 - i % 4 % 2, i % 4 % 2) for i, x in enumerate(numbers))
+
+
+def test_repeated_texts_and_ids_keep_their_rows(spark):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "fine ") + "plain words here") for i in range(300)] + [(1, "fine plain words here")] * 3 + [(None, "vile plain words here"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 300)], "doc_id long, toxic int")
+    rows = T.score(docs, labels, ~held_out()).collect()
+    assert len(rows) == 305 and len({r.score for r in rows}) == 3
+    assert sorted(r.predicted for r in rows if r.doc_id is None) == [0, 1]
+    assert sorted(r.predicted for r in rows if r.doc_id == 1) == [0, 0, 0, 1]
+
+
 def brute_topk(rows, k, scale=1024):
     good = [(i, np.floor(scale * np.array(v, np.float64)).astype(int).tolist()) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
