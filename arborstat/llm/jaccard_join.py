@@ -96,8 +96,14 @@ def frequencies(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, same, head, prefix): set size, digests of the set and of prefix with size, and the prefix in order."""
+def row_key(columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit digests of what a row has in ``columns``, nulls told apart from other values."""
+    null = [F.col(c).isNull() for c in columns]
+    return F.xxhash64(F.lit(1), *columns, *null), F.xxhash64(F.lit(2), *null, *columns)
+
+
+def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: int, percent: int, key: list[str]) -> DataFrame:
+    """(doc_id, a, b, n, same, head, prefix): digests of the row's ``key``, set size, digests of the set and of prefix with size, and the prefix in order."""
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +124,17 @@ def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: in
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(head, pa.binary()), lists], names=["doc_id", "n", "same", "head", "prefix"]
+                [b.column("doc_id"), b.column("a"), b.column("b"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(head, pa.binary()), lists], names=["doc_id", "a", "b", "n", "same", "head", "prefix"]
             )
 
-    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(text).alias("__text"))
-    return given.mapInArrow(run, "doc_id bigint, n bigint, same binary, head binary, prefix array<bigint>")
+    a, b = row_key(key)
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), a.alias("a"), b.alias("b"), whole_text(text).alias("__text"))
+    return given.mapInArrow(run, "doc_id bigint, a bigint, b bigint, n bigint, same binary, head binary, prefix array<bigint>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, text) of the documents in ``ids``; a bit table of fixed size keeps most others out of the join."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+def _likely(given: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``given`` whose ``key`` is in ``ids``, and some more; a bit table of fixed size keeps most others out of a join."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
     def pack(key, rows):
         bits = np.zeros(1 << 16, bool)
@@ -138,7 +145,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFra
     table = np.zeros((FILTER_BITS >> 16, 1 << 13), np.uint8)
     for r in set_bits.groupBy("at").applyInArrow(pack, "at int, bits binary").collect():  # FILTER_BITS / 8 bytes
         table[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    sent = given.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
@@ -146,8 +153,14 @@ def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFra
             at = b.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
             yield b.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-    given = docs.select(F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("text")).where("id is not null").withColumn("bit", bit)
-    return given.mapInArrow(run, "id bigint, text string, bit bigint").drop("bit").join(ids, "id", "left_semi")
+    marked = given.withColumn("bit", bit.cast("bigint"))
+    return marked.mapInArrow(run, marked.schema).drop("bit")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text) of the documents in ``ids``."""
+    given = docs.select(F.col(doc_id).cast("bigint").alias("id"), whole_text(text).alias("text")).where("id is not null")
+    return _likely(given, ids, "id").join(ids, "id", "left_semi")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -187,14 +200,30 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     its own text. An empty table gives an empty one; other columns of ``docs`` are not
     looked at. Neither set sizes nor partners are limited.
     """
+    sets, roots = linked(docs, doc_id, text, n, percent, [doc_id, text])
+    out = sets.join(roots.select("same", F.col("root.doc_id").alias("root")), "same", "left")
+    own = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def linked(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, key: list[str], without_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sets of all rows (see :func:`sketch_sets`), and (same, root) of every class of rows with equal sets.
+
+    root is the first row of the class's component, as (none, doc_id, a, b): by doc_id,
+    null last, then by the digests of its ``key`` columns. Rows without doc_id take part
+    if ``without_id``; rows without words are in no class.
+    """
     rank = frequencies(docs, text, n)
-    sets = cut_lineage(sketch_sets(docs, rank, doc_id, text, n, percent))
-    real = sets.where("n > 0 and doc_id is not null")
-    classes = cut_lineage(real.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("head").alias("head")))
-    groups = cut_lineage(classes.groupBy("head").agg(F.min("id").alias("gid")))
+    sets = cut_lineage(sketch_sets(docs, rank, doc_id, text, n, percent, key))
+    real = sets.where("n > 0" if without_id else "n > 0 and doc_id is not null")
+    # Written once, so that the numbers of the classes stay.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    classes = real.groupBy("same").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.min("head").alias("head"))
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
+    groups = cut_lineage(classes.groupBy("head").agg(F.min(F.struct("id", "row.a", "row.b")).alias("first")).select("head", F.col("first.id").alias("gid"), F.col("first.a").alias("ga"), F.col("first.b").alias("gb")))
     member = cut_lineage(classes.join(groups, "head").select("gid", "id", "n"))
 
-    entry = real.join(groups, "head").where("doc_id = gid").select("gid", "n", F.posexplode("prefix").alias("pos", "gram"))
+    entry = real.join(groups, "head").where("a = ga and b = gb").select("gid", "n", F.posexplode("prefix").alias("pos", "gram")).distinct()
     shared = entry.groupBy("gram").agg(F.count("*").alias("size"), F.min("gid").alias("pivot")).where("size > 1")
     lists = cut_lineage(entry.join(shared, "gram"))
 
@@ -209,20 +238,20 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     # Inside a group everybody meets the first member.
     inside = member.where("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))
     pairs = _expand(met[0].unionByName(met[1]).distinct(), member).unionByName(inside).distinct()
-    links = _links(docs, pairs, doc_id, text, n, percent)
+    links = _links(docs, pairs, classes, key, text, n, percent)
     found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
 
     for last in (False, True):
         more = _apart(lists, member, found, fits, last)
         more, left = cut_and_count(more, F.lit(True))
         if left:
-            links = cut_lineage(links.unionByName(_links(docs, more, doc_id, text, n, percent)))
+            links = cut_lineage(links.unionByName(_links(docs, more, classes, key, text, n, percent)))
             found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
     release(lists, groups, member)
-    root = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("root"))
-    out = sets.join(root, "same", "left")
-    own = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    of = found.withColumnRenamed("node", "id").join(classes.select("id", "row"), "id")
+    least = of.groupBy("component").agg(F.min("row").alias("root"))
+    moved = found.withColumnRenamed("node", "id").join(least, "component").select("id", "root")
+    return sets, cut_lineage(classes.join(moved, "id", "left").select("same", F.coalesce("root", "row").alias("root")))
 
 
 def _expand(group_pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -232,10 +261,14 @@ def _expand(group_pairs: DataFrame, member: DataFrame) -> DataFrame:
     return group_pairs.join(one, "g").join(two, "h").select("a", "b")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: list[str], text: str, n: int, percent: int) -> DataFrame:
     pairs = cut_lineage(pairs)
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = cut_lineage(texts_of(docs, ids, doc_id, text))
+    some = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut_lineage(classes.join(some, "id").select("id", "row.a", "row.b"))
+    a, b = row_key(key)
+    # One text per class: that of its first row, which may be there more than once.
+    given = _likely(docs.select(a.alias("a"), b.alias("b"), whole_text(text).alias("text")), ids, "a")
+    texts = cut_lineage(given.dropDuplicates(["a", "b"]).join(ids, ["a", "b"]).select("id", "text"))
     links = cut_lineage(verify(pairs, texts, n, percent).distinct())
     release(pairs, ids, texts)
     return links

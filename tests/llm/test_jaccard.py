@@ -61,3 +61,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert (None, 3, None) in got and (0, 0, 0) in got and (4, 0, 4) in got
     assert got.count((3, 4, 2)) == 2
     assert J.components(no_docs).count() == 0
+
+
+def test_one_id_on_two_texts(spark):
+    x, y = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    rows = [(5, " ".join(x)), (2, " ".join(x + ["end"])), (5, " ".join(y)), (9, " ".join(y + ["end"])), (5, "something else altogether"), (5, " ".join(x))]
+    for some in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.components(spark.createDataFrame(some, "doc_id long, text string")).collect())
+        assert got == [(2, 59, 2), (5, 1, 5), (5, 58, 2), (5, 58, 2), (5, 58, 5), (9, 59, 5)]
