@@ -7,10 +7,10 @@ columns are carried along; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborstat.llm import bpe, jaccard_join, language_crf, mixing, secrets
-from arborstat.llm.common import held_out, table
+from arborstat.llm.common import held_out, table, whole_text
 from arborstat.llm.queries import tokenizer_path
 from arborstat.session import cut_lineage
 
@@ -28,16 +28,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked by 5-word shingles at 0.8 or more.
+    """One row of each group linked by 5-word shingles at 0.8 or more: by smallest doc_id, then by a digest of the row.
 
-    Of rows that repeat a doc_id the one with the smallest text stays; rows without
-    doc_id stay.
+    Rows are judged by their own texts: those that repeat a doc_id or have none take part
+    as all others, and rows without doc_id stay where none of their group has one. Rows
+    without words stay.
     """
-    groups = jaccard_join.components(docs, n=5, percent=80)
-    stay = cut_lineage(groups.where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(stay, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__row", first).where("__row = 1").drop("__row").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    _, roots = jaccard_join.linked(docs, "doc_id", "text", n=5, percent=80, key=docs.columns, without_id=True)
+    stay = cut_lineage(roots.select(F.col("root.a").alias("__a"), F.col("root.b").alias("__b")).distinct())
+    a, b = jaccard_join.row_key(docs.columns)
+    words = whole_text().rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(words).withColumns({"__a": a, "__b": b}).dropDuplicates(["__a", "__b"]).join(stay, ["__a", "__b"], "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(~words))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

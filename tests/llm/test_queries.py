@@ -50,3 +50,13 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert clean[1].text == "the [secret] here" and clean[1].n_chars == 17
     assert clean[2].text == "plain words only" and clean[3].text is None and len(clean) == 4
     assert {r.doc_id for r in P.language_id(spark, docs, "").collect()} <= {1, 2}
+
+
+def test_near_duplicates_judge_rows_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a, "en", "s", 1), (5, a + " end", "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (5, "zz only here", "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "t", 1), (None, b, "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(2, a), (5, b), (5, "zz only here"), (None, c), (None, None)], key=str)
