@@ -147,3 +147,9 @@ def mix(
     order = (F.col("epoch") + digest(F.col("__source"), F.col("block"), F.col("epoch"), seed) / F.lit(2.0**60)) / F.col("times")
     each = taken.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
     return each.select(*docs.columns, "epoch", order.alias("mix_order"))
+
+
+def in_order(mixed: DataFrame, seed: int = 1, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of :func:`mix` in its order: by mix_order, inside a block by the documents' own places; mix_order goes."""
+    columns = [c for c in mixed.columns if c != "mix_order"]
+    return mixed.orderBy("mix_order", digest(F.col(doc_id), seed, "in"), doc_id, F.xxhash64(*columns)).select(*columns)

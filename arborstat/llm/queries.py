@@ -94,9 +94,9 @@ select doc_id, source, tokens n_tokens, unnest(range(copies))::int epoch from c
 
 @query("op1_temperature_mix", MIX_SQL)
 def temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, sources as even as a repetition limit of 1.25 allows; a row per copy taken."""
+    """As many tokens as there are, sources as even as a repetition limit of 1.25 allows; a row per copy taken, in the order of the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", mixing.words().alias("n_tokens"))
-    return mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch")
+    return mixing.in_order(mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch", "mix_order"))
 
 
 RULES_SQL = r"""

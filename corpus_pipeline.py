@@ -50,12 +50,19 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources as even as the repetition limit allows; no document is left out, those of small sources may repeat."""
-    return mixing.mix(docs, max_repeats=MOST_REPEATS, budget="cover").select(*docs.columns)
+    """Sources as even as the repetition limit allows; no document is left out, those of small sources may repeat.
+
+    The table is written in the order of the mix.
+    """
+    return mixing.in_order(mixing.mix(docs, max_repeats=MOST_REPEATS, budget="cover").select(*docs.columns, "mix_order"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document (packed little-endian 32-bit integers), and whether decoding gives the text back."""
+    """Token ids of every document (packed little-endian 32-bit integers), and whether decoding gives the text back.
+
+    Rows stay in the order of the table that the mix wrote: its files by name, as Spark reads them by size.
+    """
+    docs = docs.orderBy(F.input_file_name(), F.monotonically_increasing_id())
     summed = docs.withColumn("__sum", F.md5(F.col("text").cast("binary")))
     both = bpe.encode(summed, tokenizer_path(), keep=["doc_id", "lang", "source", "__sum"], decoded=True)
     return both.select("doc_id", "lang", "source", "n_tokens", "ids", (F.md5(F.col("decoded").cast("binary")) == F.col("__sum")).alias("round_trip"))

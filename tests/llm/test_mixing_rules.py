@@ -102,3 +102,20 @@ def test_estimates_order_by_rejection_per_cost(spark):
     assert [x[2] / x[1] for x in found] == sorted((x[2] / x[1] for x in found), reverse=True)
     assert {r.name: s for r, _, s in found}["symbols"] == 0.5
     assert R.measure(df.where(F.lit(False))).count() == 0
+
+
+def test_query_and_pipeline_keep_the_order_of_the_mix(spark):
+    import hashlib
+
+    import corpus_pipeline as P
+    from arborstat.llm import queries
+    from arborstat.session import cut_lineage
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    place = lambda r: (r.mix_order, int(hashlib.md5(f"{r.doc_id}:1:in".encode()).hexdigest()[:15], 16))
+    mixed = sorted(M.mix(docs, max_repeats=1.25).collect(), key=place)
+    assert [(r.doc_id, r.epoch) for r in queries.QUERIES["op1_temperature_mix"](spark, sf).collect()] == [(r.doc_id, r.epoch) for r in mixed]
+    cover = [r.doc_id for r in sorted(M.mix(docs, max_repeats=P.MOST_REPEATS, budget="cover").collect(), key=place)]
+    table = cut_lineage(P.source_mix(spark, docs, sf))
+    assert [r.doc_id for r in P.encode(spark, table, sf).select("doc_id").collect()] == cover
