@@ -31,6 +31,15 @@ class Rule:
     group: int = 0
 
 
+_PEM_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+#: Line ends, also as written in strings of code.
+_BREAK = r"(?:\s|\\[nrt])++"
+#: What follows the head of a key: all up to its end mark, else its base64 lines and the shorter line after them.
+_PEM_BODY = (
+    rf"(?:[^-]*+(?:-(?!----)[^-]*+)*+{_PEM_END}"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+=*+)++(?:{_BREAK}[A-Za-z0-9+/]++=*+(?=[\x20\t]*+(?:[\r\n\\\"']|$)))?+)?+"
+)
+
 #: Base kinds first, in the order in which spans at one place are listed (fixed values).
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
@@ -38,7 +47,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _PEM_BODY),
     Rule("repo_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),

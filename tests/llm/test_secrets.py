@@ -58,3 +58,20 @@ def test_spans_and_redaction(spark):
 def test_odd_rows(odd_docs, no_docs):
     assert S.scan(odd_docs).select("doc_id", "x_spans", "spans").count() == odd_docs.count()
     assert S.scan(no_docs).count() == 0
+
+
+def test_no_key_material_is_left(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcxyz0189+/") for _ in range(64)) for _ in range(40)] + ["QmFzZTY0IQ=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n"
+    bodies = ["\n" + "\n".join(lines) + "\n", "\r\n" + "\r\n".join(lines) + "\r\n", "\n" + enc + "\n" + "\n".join(lines) + "\n", "\\n" + "\\n".join(lines) + "\\n", " " + " ".join(lines) + " ", "\n> " + "\n> ".join(lines) + "\n> "]
+    texts = [f"before {head}{b}{end} after" for b in bodies] + [f"before {head}{b.rstrip()}\nwords after" for b in bodies[:4]]
+    texts += [f"before {head}\n" + "\n".join(lines * 500) + f"\n{end} after", f"{head}\n" + "\n".join(lines)[:-3], f"{head} is a mark, no more", f"{head}\n{lines[0]}\n{end} and {head}\n{lines[1]}\n{end}"]
+    df = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    out = {r.doc_id: r.clean for r in df.select("doc_id", S.redact("text", "spans").alias("clean")).collect()}
+    assert [out[i] for i in range(6)] == ["before [secret] after"] * 6
+    assert [out[i] for i in range(6, 9)] == ["before [secret]\nwords after"] * 3
+    assert not any(x[:12] in t for t in out.values() for x in lines)
+    assert out[10] == "before [secret] after" and out[11] == "[secret]"
+    assert out[12] == "[secret] is a mark, no more" and out[13] == "[secret] and [secret]"
