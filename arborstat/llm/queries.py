@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from arborstat.llm import bpe, jaccard_join, language_crf, mixing, quality_mil, quality_rules, secrets, token_counts, topk_search, toxicity_kn
+from arborstat.llm import bpe, hard_negatives, jaccard_join, language_crf, merkle, mixing, quality_mil, quality_rules, secrets, token_counts, topk_search, toxicity_kn, url_filter
 from arborstat.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,138 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out())
     return quality_mil.predict(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Distinct texts whose checksum is read bit by bit: the SQL has no function for it.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::bigint], {bytes}), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+ASCII_BYTES = "list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)"
+ANY_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda c: ('0x' || c)::bigint)"
+
+
+def _url_sql(order: int = url_filter.ORDER) -> str:
+    """The models level by level, as in the operator."""
+    names = ["a", "b", "ap", "bp"]
+    fits = []
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        host, path = rule.split("/", 1)
+        fits.append(((f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}')"), rule, verdict))
+    name, ruled = ("case " + " ".join(f"when {c} then '{x[i]}'" for c, *x in fits) + " end" for i in (0, 1))
+    levels = [f"g{order} as (select gram, " + ", ".join(f"count(*) filter (where verdict = '{v}'{'' if n == v[0] else ' and not kept_back'}) {n}" for v in ("allow", "block") for n in (v[0], v[0] + "p")) + " from w group by gram)"]
+    for k in range(order - 1, -1, -1):
+        levels.append(f"g{k} as (select substr(gram, 2) gram, " + ", ".join(f"sum({n})::bigint {n}" for n in names) + f" from g{k + 1} group by 1)")
+    for k in range(order + 1):
+        own = ", ".join(f"sum({n}) over c n_{n}, count(*) filter (where {n} > 0) over c t_{n}" for n in names)
+        short = "1.0::double / letters" if not k else "s.p_{0}"
+        mix = ", ".join(f"case when n_{n} = 0 then {short.format(n)} else ({n} + t_{n} * ({short.format(n)})) / (n_{n} + t_{n})::double end p_{n}" for n in names)
+        seen = f"select *, {own}, count(*) over c letters from g{k} window c as (partition by substr(gram, 1, {k}))"
+        levels.append(f"p{k} as (select x.gram, {mix} from ({seen}) x" + (f" join p{k - 1} s on s.gram = substr(x.gram, 2))" if k else ")"))
+    unit, steps = url_filter.UNIT, url_filter.STEPS
+    crc = CRC_SQL.format(bytes=ANY_BYTES.format("url"))
+    return rf"""
+with r as (select page_id, coalesce(url, '') url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+h as (select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from r),
+j as (select *, {name} rule, {ruled} ruled from h),
+u as (select url, any_value(ruled) verdict, any_value(ruled) is not null and {crc} % {url_filter.KEPT_BACK} = 0 kept_back from j group by url),
+z as (select *, repeat(chr(2), {order}) || url || chr(3) padded from u),
+w as (select url, verdict, kept_back, substr(padded, i, {order + 1}) gram from (select *, unnest(range(1, length(padded) - {order} + 1)) i from z)),
+{", ".join(levels)},
+l as (select gram, round((ln(p_a) - ln(p_b)) * {unit})::bigint ratio, round((ln(p_ap) - ln(p_bp)) * {unit})::bigint part from p{order}),
+s as (select url, any_value(verdict) verdict, floor(sum(case when kept_back then part else ratio end)::double / (count(*) * {unit // steps}))::bigint score
+  from w join l using (gram) where verdict is null or kept_back group by url),
+b as (select score, count(*) filter (where verdict = 'allow') a, count(*) filter (where verdict = 'block') b from s where verdict is not null group by score),
+c as (select score, sum(a) over () ta, sum(b) over () tb, coalesce(sum(a) over (order by score rows between unbounded preceding and 1 preceding), 0) ba,
+    coalesce(sum(b) over (order by score rows between unbounded preceding and 1 preceding), 0) bb from b),
+m as (select coalesce((select score from c where ta > 0 and tb > 0 order by ba * tb + (tb - bb) * ta, abs(score), score limit 1), 0) lim)
+select page_id, host, path, rule, coalesce(ruled, case when score >= lim then 'allow' else 'block' end) verdict from j left join s using (url) cross join m
+"""
+
+
+@query("op11_url_filter", _url_sql())
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("score")
+
+
+HARD_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
+  where label is not null and embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id anchor_id, c.vec_id, a.label = c.label same, list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::bigint score
+  from e a join e c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) place from s where same) where place <= 5),
+n as (
+  select p.anchor_id, p.vec_id positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::int rank, s.vec_id negative_id, p.score positive_score, s.score negative_score
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select * from n where rank <= 5
+"""
+
+
+@query("op12_hard_negatives", HARD_SQL)
+def hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def _merkle_sql(levels: int = 6, fanout: int = 16) -> str:
+    """The tree level by level; ``levels`` of ``fanout`` are more than the tables of the check need."""
+
+    def tree(name: str, leaves: str) -> str:
+        """Levels of (tree, n, pos, digest): ``n`` nodes of the level in the tree, each joined from the one below."""
+        steps = [f"{name}0 as ({leaves})"]
+        for i in range(1, levels + 1):
+            steps.append(f"{name}{i} as (select tree, (any_value(n) + {fanout - 1}) // {fanout} n, pos // {fanout} pos, sha256(string_agg(digest, '' order by pos)) digest from {name}{i - 1} where n > 1 group by tree, pos // {fanout})")
+        return ", ".join(steps)
+
+    def paths(name: str) -> str:
+        """Of every node the joined siblings before and after (b, a) by level: (tree, level, pos, b, a)."""
+        runs = "partition by tree, pos // %d order by pos rows between" % fanout
+        each = [
+            f"select tree, {i} level, pos, coalesce(string_agg(digest, '') over ({runs} unbounded preceding and 1 preceding), '') b, coalesce(string_agg(digest, '') over ({runs} 1 following and unbounded following), '') a from {name}{i} where n > 1"
+            for i in range(levels + 1)
+        ]
+        return " union all ".join(each)
+
+    def ends(name: str) -> str:
+        return " union all ".join(f"select tree, digest from {name}{i} where n = 1" for i in range(levels + 1))
+
+    def fold(name: str, start: str, siblings: str, key: str) -> str:
+        steps = [f"{name}0 as ({start})"]
+        for i in range(levels):
+            steps.append(
+                f"{name}{i + 1} as (select f.* exclude (h, proof), case when s.pos is null then h else sha256(s.b || h || s.a) end h, proof || coalesce(s.b || s.a, '') proof "
+                f"from {name}{i} f left join {siblings} s on s.tree = f.{key}tree and s.level = {i} and s.pos = f.{key}pos // {fanout ** i})"
+            )
+        return ", ".join(steps)
+
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = CRC_SQL.format(bytes=ASCII_BYTES.format("doc_id::varchar"))
+    return f"""
+with d as (
+  select doc_id, source, {leaf("text")} leaf, case when {crc} % 5 = 0 then {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end changed from documents),
+o as (
+  select *, dense_rank() over (order by source nulls first) - 1 tree, count(*) over (partition by source) n,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos from d),
+{tree("l", "select tree, n, pos, leaf digest from o")}, ends as ({ends("l")}), ls as materialized ({paths("l")}),
+{tree("h", "select 0 tree, count(*) over () n, tree pos, digest from ends")}, roots as ({ends("h")}), hs as materialized ({paths("h")}),
+{fold("u", "select doc_id, leaf, tree ltree, pos lpos, 0 htree, tree hpos, coalesce(changed, leaf) h, '' proof from o", "ls", "l")},
+{fold("v", f"select * from u{levels}", "hs", "h")}
+select doc_id, leaf, ends.digest subroot, roots.digest root, sha256(proof) proof_sha256, h folded_root, h = roots.digest verified
+from v{levels} join ends on ends.tree = ltree cross join roots
+"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; rows marked by their id are tampered with and checked against their proofs."""
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": F.when(marked, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))})
+    checked = merkle.verify(found.leaves)
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
