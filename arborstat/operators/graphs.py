@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.functions.numeric import dbl, ratio
-from arborstat.plans.propagation import both_ways, connected_components, propagate
+from arborstat.plans.propagation import both_ways, connected_components, nearest_first, propagate
+from arborstat.plans.trees import climb, parents, walks
+from arborstat.session import cut_and_count, cut_lineage
 
 
 def simple_graph(edges: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
@@ -52,6 +54,14 @@ def component_roots(components: DataFrame, degree: DataFrame, main: DataFrame, k
     return best.join(main_of, [*keys, "component"], "left").select(*keys, "component", F.coalesce("main_root", "root").alias("root"))
 
 
+def _split_trees(g: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The walks around the components that are trees (arcs), (keys, node) of the components with cycles, and (keys, node) of nodes without edges."""
+    arcs = walks(g.where("src <> dst"), keys)
+    ends = arcs.groupBy(*keys, F.col("src").alias("node")).agg(F.min("tree").alias("tree"))
+    alone = nodes.select(*keys, "node").distinct().join(ends, [*keys, "node"], "left_anti")
+    return arcs, ends.where("not tree").select(*keys, "node"), alone
+
+
 def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Generations by breadth-first order from each component's root.
 
@@ -59,20 +69,40 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
     three or more. A node met from several parents in the same hop takes the smallest
     (generation, parent id). Returns (keys, node, generation) and the edges with the
     generation of tree edges, NULL on the others.
-    """
-    from arborstat.session import cut_lineage
 
+    Components that are trees get parents and generations by pointer doubling, in rounds
+    that grow with the logarithm of their size; those with cycles are searched hop by hop.
+    """
     g = cut_lineage(simple_graph(edges, keys, [c for c in edges.columns if c not in (*keys, "src", "dst", "branch_id")]))
     degree = cut_lineage(degrees(g, nodes, keys))
     if root is None:
         root = select_root(nodes, degree, keys)
-    roots = component_roots(connected_components(g, nodes, keys), degree, root, keys)
+    splits = degree.select(*keys, F.col("node").alias("parent"), (F.col("degree") >= 3).cast("long").alias("split"))
+    arcs, cyclic, alone = _split_trees(g, nodes, keys)
+    whole = arcs.where("tree")
+    roots = cut_lineage(component_roots(whole.select(*keys, F.col("src").alias("node"), F.col("walk").alias("component")).distinct(), degree, root, keys))
+    links = cut_lineage(parents(whole, roots, keys).join(splits, [*keys, "parent"]))
+    climbed = climb(links, keys, ["split"])
+    lone = alone.unionByName(roots.select(*keys, F.col("root").alias("node"))).withColumn("generation", F.lit(-1))
+    found = climbed.select(*keys, "node", (F.col("split") - 1).cast("int").alias("generation"))
+    link = links.select(*keys, "node", "parent").join(found, [*keys, "node"])
+    cyclic, many = cut_and_count(cyclic, F.lit(True))
+    if many:
+        more, more_links = _searched_generations(g, cyclic, degree, root, splits, keys)
+        found, link = found.unionByName(more), link.unionByName(more_links)
+    ends = [F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst")]
+    return found.unionByName(lone), g.join(link.select(*keys, *ends, "generation"), [*keys, "src", "dst"], "left")
+
+
+def _searched_generations(g: DataFrame, part: DataFrame, degree: DataFrame, root: DataFrame, splits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, node, generation) and (keys, node, parent, generation) of the components that ``part`` (keys, node) holds, hop by hop."""
+    own = g.join(part.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
+    roots = component_roots(connected_components(own, part, keys), degree, root, keys)
     # Hop and generation share one number, hop first, so that the smallest is the
     # smallest generation among the fewest hops and aggregates as a plain long.
     hop = 1 << 32
     seeds = roots.select(*keys, F.col("root").alias("node"), F.lit(0).cast("long").alias("best"))
-    splits = degree.select(*keys, F.col("node").alias("src"), (F.col("degree") >= 3).cast("long").alias("split"))
-    arcs = both_ways(g, keys).where("src <> dst").join(splits, [*keys, "src"])
+    arcs = both_ways(own, keys).where("src <> dst").join(splits.withColumnRenamed("parent", "src"), [*keys, "src"])
     tree = propagate(seeds, arcs, keys, lambda best: best + F.lit(hop) + F.col("split"))
     generation = (F.col("best").bitwiseAND(F.lit(hop - 1)) - 1).cast("int").alias("generation")
 
@@ -80,20 +110,34 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
         return tree.select(*keys, F.col("node").alias(end), F.col("best").alias(f"best_{end}"))
 
     down = arcs.join(at("src"), [*keys, "src"]).join(at("dst"), [*keys, "dst"]).where(F.col("best_dst") == F.col("best_src") + F.lit(hop) + F.col("split"))
-    link = down.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.max("best_dst").alias("best")).select(
-        *keys, F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), generation
-    )
-    return tree.select(*keys, "node", generation), g.join(link, [*keys, "src", "dst"], "left")
+    link = down.groupBy(*keys, F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.max("best_dst").alias("best")).select(*keys, "node", "parent", generation)
+    return tree.select(*keys, "node", generation), link
 
 
 def path_distances(edges: DataFrame, root: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, distance): shortest length from the root; unreachable nodes are absent. Negative lengths are refused."""
+    """(keys, node, distance): shortest length from the root; unreachable nodes are absent. Negative lengths are refused.
+
+    Of parallel edges the shortest counts. A root whose component is a tree sends its
+    lengths down by pointer doubling; with cycles the paths are found bucket by bucket.
+    """
     if edges.where("length < 0").limit(1).count():
         raise ValueError("path_distances needs lengths of 0 or more")
-    seeds = root.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("best"))
-    arcs = both_ways(edges, keys, "length").where("src <> dst")
-    out = propagate(seeds, arcs, keys, lambda best: best + F.col("length"))
-    return out.withColumnRenamed("best", "distance")
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    g = cut_lineage(edges.where("src <> dst").select(*keys, *ends, dbl("length").alias("length")).groupBy(*keys, "src", "dst").agg(F.min("length").alias("length")))
+    arcs, cyclic, _ = _split_trees(g, root.select(*keys, F.col("root").alias("node")), keys)
+    links = parents(arcs.where("tree"), root, keys)
+    both = [F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst")]
+    sums = climb(links.select("*", *both).join(g, [*keys, "src", "dst"]).select(*keys, "node", "parent", "length"), keys, ["length"])
+    found = sums.select(*keys, "node", F.col("length").alias("distance")).unionByName(root.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("distance")))
+    cyclic, many = cut_and_count(cyclic, F.lit(True))
+    if not many:
+        return found
+    loops = root.join(cyclic.withColumnRenamed("node", "root"), [*keys, "root"], "left_semi")
+    own = g.join(cyclic.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
+    seeds = loops.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("best"))
+    width = own.agg(F.avg("length")).first()[0]
+    more = nearest_first(seeds, both_ways(own, keys, "length"), keys, 4 * width).withColumnRenamed("best", "distance")
+    return found.unionByName(more).groupBy(*keys, "node").agg(F.min("distance").alias("distance"))
 
 
 def branch_distances(edges: DataFrame, distances: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,8 +203,6 @@ def symmetry(edges: DataFrame, nodes: DataFrame, root: DataFrame, keys: list[str
 
 def prune_short_ends(edges: DataFrame, keys: list[str], min_length: float = 3.0, rounds: int = 3) -> DataFrame:
     """Drop branches shorter than ``min_length`` that end in a degree-1 node, up to ``rounds`` times."""
-    from arborstat.session import cut_lineage
-
     for _ in range(rounds):
         nodes = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node"))
         ends = nodes.groupBy(*keys, "node").agg(F.count("*").alias("d")).where("d = 1").select(*keys, "node")

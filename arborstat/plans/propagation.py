@@ -128,3 +128,51 @@ def propagate(
     state = cut_lineage(together(known))
     release(table, *known)
     return state
+
+
+def nearest_first(seeds: DataFrame, arcs: DataFrame, keys: list[str], width: float, hops_per_round: int = 4) -> DataFrame:
+    """Shortest lengths (keys, node, best) from ``seeds`` (keys, node, best) along ``arcs`` (keys, src, dst, length of 0 or more), bucket by bucket.
+
+    A bucket is as wide as ``width`` in distance. While nodes of the nearest open bucket
+    are unsettled only they send, and along arcs no longer than the width; once none
+    is left all the bucket's nodes send along their long arcs, once. Thus a
+    node rarely sends a distance that is to be improved. Every graph of a batch has
+    buckets of its own. Waiting nodes are a table between rounds.
+    """
+    width = max(width, 5e-324)
+    table = cut_lineage(arcs.select(*keys, "src", "dst", "length"))
+    short, long = table.where(F.col("length") <= width), table.where(F.col("length") > width)
+    lowest = F.min("best").alias("best")
+
+    def sent(frontier: DataFrame, along: DataFrame) -> DataFrame:
+        met = frontier.select(*keys, F.col("node").alias("src"), "best").join(along, [*keys, "src"])
+        return met.groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.col("best") + F.col("length")).alias("best"))
+
+    def merged(known: DataFrame, offers: DataFrame, flag: str) -> DataFrame:
+        """Known values with better offers taken in; what was improved waits."""
+        both = known.join(offers.withColumnRenamed("best", "offer"), [*keys, "node"], "full_outer")
+        better = F.col("offer").isNotNull() & (F.col("best").isNull() | (F.col("offer") < F.col("best")))
+        return both.select(*keys, "node", F.when(better, F.col("offer")).otherwise(F.col("best")).alias("best"), (better | F.coalesce(flag, F.lit(False))).alias("waits"), (F.coalesce("open", F.lit(False)) & ~better).alias("open"))
+
+    # waits: short arcs are to be sent along; open: sent, but the long arcs are not.
+    first = seeds.groupBy(*keys, "node").agg(lowest).select("*", F.lit(True).alias("waits"), F.lit(False).alias("open"))
+    state, left = cut_and_count(first, F.lit(True))
+    while left:
+        bucket = F.floor(F.col("best") / width)
+        nearest = state.where("waits or open").groupBy(*keys).agg(F.min(bucket).alias("bucket"))
+        now = state.join(nearest, keys, "left") if keys else state.join(nearest.withColumn("__one", F.lit(1)), F.lit(1) == F.col("__one"), "left").drop("__one")
+        now = cut_lineage(now.select(*keys, "node", "best", "waits", "open", F.coalesce(bucket == F.col("bucket"), F.lit(False)).alias("now")))
+        light = now.where("now and waits").limit(1).count() > 0
+        before = state
+        if light:
+            flags = now.select(*keys, "node", "best", (F.col("waits") & ~F.col("now")).alias("waits"), (F.col("open") | (F.col("waits") & F.col("now"))).alias("open"))
+            offers = sent(now.where("now and waits"), short)
+            step = merged(flags, offers, "waits")
+        else:
+            flags = now.select(*keys, "node", "best", "waits", (F.col("open") & ~F.col("now")).alias("open"))
+            step = merged(flags, sent(now.where("now and open"), long), "waits")
+        state, left = cut_and_count(step, F.col("waits") | F.col("open"))
+        release(before, now)
+    out = cut_lineage(state.select(*keys, "node", "best"))
+    release(table, state)
+    return out

@@ -28,7 +28,15 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_percentiles(frame):
+@pytest.fixture(params=[False, True])
+def counting(request, monkeypatch):
+    """Groups as they are, and with a bound so small that most are counted in passes."""
+    if request.param:
+        monkeypatch.setattr(selection, "WHOLE", 12)
+        monkeypatch.setattr(selection, "BUCKETS", 8)
+
+
+def test_percentiles(frame, counting):
     pdf, df = frame
     probs = {"p10": ("v", 0.1), "p50": ("v", 0.5), "p95": ("v", 0.95), "row50": ("row", 0.5)}
     got = {r["k"]: r for r in selection.grouped(df, ["k"], [F.count("*").alias("n")], probs).collect()}
@@ -38,7 +46,7 @@ def test_percentiles(frame):
             assert got[k][name] == pytest.approx(np.nanpercentile(g[c], p * 100), abs=1e-9)
 
 
-def test_null_keys_an_outlier_and_a_hot_key(spark):
+def test_null_keys_an_outlier_and_a_hot_key(spark, counting):
     """NULL is a group, one huge value changes nothing else, and nine tenths of the rows may have one key."""
     rows = [(None, float(i)) for i in range(5)] + [(1, float(i % 10)) for i in range(900)] + [(1, 1e12)] + [(2, None), (2, 3.0), (3, None)]
     df = spark.createDataFrame(rows, "k int, v double")
@@ -46,13 +54,23 @@ def test_null_keys_an_outlier_and_a_hot_key(spark):
     assert got == {None: (5, 2.0), 1: (901, 5.0), 2: (2, 3.0), 3: (1, None)}
 
 
-def test_select_ranks(frame):
+def test_select_ranks(frame, counting):
     pdf, df = frame
     r = selection.select_ranks(df, [], "v", {"a": lambda n: F.floor(n / 3), "out": lambda n: n}).first()
     v = np.sort(pdf.v.dropna().to_numpy())
     assert (r["n"], r["a"], r["out"]) == (len(v), v[len(v) // 3], None)
 
 
+def test_ranks_of_whole_numbers_and_infinities(spark, counting):
+    """Integers keep their type; infinite ends do not stop the narrowing."""
+    rows = [(k, v) for k in (1, None) for v in [*range(40), *[7] * 30, 2**62, -(2**62)]]
+    got = selection.select_ranks(spark.createDataFrame(rows, "k int, v long"), ["k"], "v", {"a": lambda n: n - 1, "b": lambda n: n - 2, "c": lambda n: F.lit(0), "d": lambda n: F.lit(20)})
+    assert {(r.k, r.n, r.a, r.b, r.c, r.d) for r in got.collect()} == {(k, 72, 2**62, 39, -(2**62), 7) for k in (1, None)}
+    wide = [(float("inf"),)] * 3 + [(float("-inf"),)] * 3 + [(float(i) ** 9,) for i in range(60)]
+    got = selection.select_ranks(spark.createDataFrame(wide, "v double"), [], "v", {"a": lambda n: F.lit(2), "b": lambda n: F.lit(13), "c": lambda n: n - 4, "d": lambda n: n - 3})
+    assert tuple(got.first()) == (66, float("-inf"), 10.0**9, 59.0**9, float("inf"))
+
+
 def test_rank_quartile(spark):
     rng = np.random.default_rng(2)
     for n in (1, 2, 6, 101):
