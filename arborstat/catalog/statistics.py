@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arborstat.catalog import query, r6
 from arborstat.catalog.ordered import DECLINE, cascade
 from arborstat.operators import longitudinal as L, statistics as S
+from arborstat.session import cut_lineage
 
 FEATURES, TARGETS = ["m1", "m2", "m6"], ["m3", "m4"]
 PAIRS = [(f, t) for f in FEATURES for t in TARGETS]
@@ -142,8 +143,9 @@ ERR_RANKS = """, kp as (select feature, target, model, rank() over (partition by
 @query("h10_error_metrics", "cases", ERR + ERR_RANKS + f"""select feature, target, model, n, round(mse,6) as mse, round(mae,6) as mae, round(sqrt(mse),6) as rmse, round(r2,6) as r2, round(mape,6) as mape, round(r,6) as pearson_r,
  round({p_sql('r', 'n')},6) as pearson_p, round(rho,6) as spearman_rho, round({p_sql('rho', 'n')},6) as spearman_p from e join er using (feature,target,model)""")
 def _(t):
-    predicted, by = S.leave_one_out_linear(pairs(t)), ["feature", "target", "model"]
-    m = S.with_rank_correlation(S.error_metrics(predicted, by, ["m3"]), predicted, by, "case_id")
+    by = ["feature", "target", "model"]
+    predicted = cut_lineage(S.leave_one_out_linear(pairs(t)).select(*by, "predicted", "actual"))
+    m = S.with_rank_correlation(S.error_metrics(predicted, by, ["m3"]), predicted, by)
     return rounded(m, ["feature", "target", "model", "n"], ["mse", "mae", "rmse", "r2", "mape", "pearson_r", "pearson_p", "spearman_rho", "spearman_p"])
 
 

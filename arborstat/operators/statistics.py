@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.functions.numeric import count_if, dbl, intercept, pearson, ratio, slope
 from arborstat.operators.comparison import unpivot_metrics
-from arborstat.plans.selection import positions
-from arborstat.session import cut_lineage
+from arborstat.plans.selection import running_totals
 
 
 def long_pairs(df: DataFrame, key: str, features: list[str], targets: list[str]) -> DataFrame:
@@ -43,23 +42,29 @@ def pair_correlations(df: DataFrame, features: list[str], targets: list[str]) ->
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def average_ranks(long: DataFrame, keys: list[str], value: str, row_id: str, name: str) -> DataFrame:
-    """Average rank (ties share their mean) of ``value`` within ``keys``.
+def with_average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Add the average ranks (ties share their mean) of ``columns`` (name to name of the rank) within ``keys``.
 
-    Ranks come from global positions, so a key with most of the rows is spread over
-    all tasks.
+    Rows are folded to distinct values with counts first, all columns together; the ranks
+    are running totals of those, and rows meet them by value. A key with most of the rows
+    is spread over all tasks. Rows with a null key or value are left out.
     """
-    pos = positions(long, [*keys, value, row_id], "__pos")
-    start = pos.groupBy(*keys).agg(F.min("__pos").alias("__start"))
-    ties = pos.groupBy(*keys, value).agg(F.min("__pos").alias("__a"), F.max("__pos").alias("__b"))
-    ties = ties.join(start, keys).select(*keys, value, ((F.col("__a") + F.col("__b")) / 2.0 - F.col("__start") + 1).alias(name))
-    return pos.drop("__pos").join(ties, [*keys, value])
+    names = list(columns)
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), dbl(c).alias("__v")) for i, c in enumerate(names)]))).where("__v is not null")
+    folded = long.groupBy(*keys, "__c", "__v").agg(F.count("*").alias("__n"))
+    before = running_totals(folded, [*keys, "__c", "__v"], "__n", "__before")
+    start = before.groupBy(*keys, "__c").agg(F.min("__before").alias("__start"))
+    ranks = before.join(start, [*keys, "__c"]).withColumn("__rank", F.col("__before") - F.col("__start") + (F.col("__n") + 1) / 2.0)
+    out = df
+    for i, (c, name) in enumerate(columns.items()):
+        of = ranks.where(F.col("__c") == i).select(*keys, F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(name))
+        out = out.withColumn(f"__v{i}", dbl(c)).join(of, [*keys, f"__v{i}"]).drop(f"__v{i}")
+    return out
 
 
 def spearman(df: DataFrame, key: str, features: list[str], targets: list[str]) -> DataFrame:
     pairs = long_pairs(df, key, features, targets)
-    ranked = average_ranks(pairs, ["feature", "target"], "x", key, "rx")
-    ranked = average_ranks(ranked.drop("x"), ["feature", "target"], "y", key, "ry")
+    ranked = with_average_ranks(pairs, ["feature", "target"], {"x": "rx", "y": "ry"})
     return ranked.groupBy("feature", "target").agg(F.count("*").alias("n"), pearson("ry", "rx").alias("spearman_rho"))
 
 
@@ -234,11 +239,9 @@ def error_metrics(pred: DataFrame, keys: list[str], percent_targets: list[str] =
     )
 
 
-def with_rank_correlation(metrics: DataFrame, pred: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """``metrics`` with the p of r, and Spearman's rho of predicted and actual with its p."""
-    narrow = cut_lineage(pred.select(*keys, row_id, "predicted", "actual"))
-    ranked = average_ranks(narrow, keys, "predicted", row_id, "rx")
-    ranked = average_ranks(ranked.drop("predicted"), keys, "actual", row_id, "ry")
+def with_rank_correlation(metrics: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """``metrics`` with the p of r, and Spearman's rho of predicted and actual with its p. ``pred`` is read three times: best a written table."""
+    ranked = with_average_ranks(pred.select(*keys, "predicted", "actual"), keys, {"predicted": "rx", "actual": "ry"})
     rho = ranked.groupBy(*keys).agg(pearson("ry", "rx").alias("spearman_rho"))
     both = with_p_values(metrics.join(rho, keys), "pearson_r", "n", "pearson_p")
     return with_p_values(both, "spearman_rho", "n", "spearman_p")

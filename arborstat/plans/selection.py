@@ -40,6 +40,21 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
     )
 
 
+def running_totals(df: DataFrame, order: list[str], count: str, name: str) -> DataFrame:
+    """Add the sum of ``count`` over all rows before a row in the global order of ``order``, which has to identify rows.
+
+    Rows are dealt by range and written once; each range is summed for itself and starts
+    where those before it end, so no task sees more than its range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = ranged.groupBy("__part").agg(F.sum(count).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(name, F.coalesce(F.sum(count).over(within), F.lit(0)))
+    return summed.join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__offset")).drop("__part", "__offset")  # as many rows as shuffle partitions
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
     other = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
