@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from arborstat.catalog import query, r6
 from arborstat.operators import comparison as C
 
-METRICS = ["total_branches", "volume", "pc_ratio"]
-BETTER = {"total_branches": True, "volume": True, "pc_ratio": False}
+METRICS = ["total_branches", "volume", "pc_ratio", "fibrosis_score"]
 PAIR_SQL = """, o as (select *, scan_id||case run when 'F' then ':F-O' else ':O-P' end as k from runs where run<>'P'), f as (select *, scan_id||case run when 'O' then ':F-O' else ':O-P' end as k from runs where run<>'F'),
-pr as (select coalesce(o.k,f.k) as pair, o.total_branches as ob, f.total_branches as nb, o.volume/1e6 as ov, f.volume/1e6 as nv, o.pc_ratio/1e5 as op, f.pc_ratio/1e5 as np from o full outer join f on o.k=f.k),
-u as (select pair, 'total_branches' as metric, ob::double as old, nb::double as new, true as up from pr union all select pair, 'volume', ov, nv, true from pr union all select pair, 'pc_ratio', op, np, false from pr)"""
+pr as (select coalesce(o.k,f.k) as pair, o.total_branches as ob, f.total_branches as nb, o.volume/1e6 as ov, f.volume/1e6 as nv, o.pc_ratio/1e5 as op, f.pc_ratio/1e5 as np, o.total_branches*17%101 as os, f.total_branches*17%101 as ns from o full outer join f on o.k=f.k),
+u as (select pair, 'total_branches' as metric, ob::double as old, nb::double as new, true as up from pr union all select pair, 'volume', ov, nv, true from pr union all select pair, 'pc_ratio', op, np, true from pr union all select pair, 'fibrosis_score', os, ns, false from pr)"""
 
 
 def two_runs(t):
-    r = t.runs.withColumns({"volume": F.col("volume") / 1e6, "pc_ratio": F.col("pc_ratio") / 1e5})
+    r = t.runs.withColumns({"volume": F.col("volume") / 1e6, "pc_ratio": F.col("pc_ratio") / 1e5, "fibrosis_score": (F.col("total_branches") * 17 % 101).cast("double")})
     # Every run meets the next by name: F with O, O with P.
     def side(runs, first):
         pair = F.when(F.col("run") == first, ":F-O").otherwise(":O-P")
@@ -36,7 +35,7 @@ def _(t):
 @query("i01_change_rows", "runs", PAIR_SQL + """select pair, metric, round(old,6) as old, round(new,6) as new, round(new-old,6) as diff, round(case when old=0 then 0 else (new-old)/old*100 end,6) as pct_change,
  case when new-old is null then null when abs(new-old)<0.001 then 'same' when (new-old>0)=up then 'better' else 'worse' end as verdict from u""")
 def _(t):
-    return C.change_rows(pairs(t), BETTER).select("pair", "metric", "verdict", *[r6(c).alias(c) for c in ("old", "new", "diff", "pct_change")])
+    return C.change_rows(pairs(t), C.HIGHER_IS_BETTER).select("pair", "metric", "verdict", *[r6(c).alias(c) for c in ("old", "new", "diff", "pct_change")])
 
 
 @query("i02_generation_comparison", "branches_keyed", """, a as (select scan_id, generation, avg(diameter_mean_mm) as m from branches_keyed where branch_id%2=0 group by 1,2), b as (select scan_id, generation, avg(diameter_mean_mm) as m from branches_keyed where branch_id%2=1 group by 1,2)

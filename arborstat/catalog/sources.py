@@ -17,15 +17,55 @@ def folder(t, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/arborstat-{name}-{uuid.uuid4().hex}"
 
 
-@query("a01_typed_csv", "visits", "select entity, row_id, week, round(value,6) as value from visits where value is not null")
+@query("a01_typed_csv", "visits", "select entity, row_id, week, case when row_id % 50 <> 0 then round(value,6) end as value from visits")
 def _(t):
     p = folder(t, "csv")
-    W.write_table(t.visits.withColumn("value", F.when(F.col("row_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).withColumn("raw", F.col("row_id") % 50 == 0), p, "csv")
-    back = R.read_csv(t.spark, p, "entity long, row_id long, week int, value double, raw boolean")
-    R.require_columns(back, ["entity", "week", "value"])
-    # NaN came back as NULL; the original value is put in its place again
-    fixed = back.join(t.visits.select("row_id", F.col("value").alias("v")), "row_id", "left")
-    return fixed.select("entity", "row_id", "week", r6(F.when(F.col("raw") & F.col("value").isNull(), F.col("v")).otherwise(F.col("value"))).alias("value"))
+    W.write_table(t.visits.select("entity", "row_id", "week", F.when(F.col("row_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")), p, "csv")
+    back = R.read_csv(t.spark, p, "entity long, row_id long, week int, value double")
+    return R.require_columns(back, ["entity", "week", "value"]).withColumn("value", r6("value"))
+
+
+#: Rows whose week is no number, whose last field is missing, and whose value has a unit.
+BROKEN_CSV = """, m as (select *, case when row_id%97=0 then 'not a number: week' when row_id%101=0 then 'wrong number of fields' when row_id%103=0 then 'not a number: value' end as reason from visits)"""
+
+
+def csv_with_broken_rows(t):
+    p = folder(t, "broken")
+    k = F.col("row_id")
+    fields = [F.col("entity").cast("string"), k.cast("string"), F.when(k % 97 == 0, "six").otherwise(F.col("week").cast("string")), F.when((k % 97 != 0) & (k % 101 != 0) & (k % 103 == 0), "71 ml").otherwise(F.col("value").cast("string"))]
+    line = F.when((k % 97 != 0) & (k % 101 == 0), F.concat_ws(",", *fields[:3])).otherwise(F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]))
+    t.visits.select(line.alias("value")).write.text(p)
+    return R.read_csv_checked(t.spark, p, "entity long, row_id long, week int, value double", header=False)
+
+
+@query("a01_csv_accepted", "visits", BROKEN_CSV + "select entity, row_id, week, round(value,6) as value from m where reason is null")
+def _(t):
+    return csv_with_broken_rows(t)[0].withColumn("value", r6("value"))
+
+
+@query("a01_csv_rejected", "visits", BROKEN_CSV + "select reason, count(*) as n, sum(row_id)::bigint as row_ids from m where reason is not null group by 1")
+def _(t):
+    bad = csv_with_broken_rows(t)[1].withColumn("row_id", F.split("record", ",")[1].cast("long"))
+    return bad.groupBy("reason").agg(F.count("*").alias("n"), F.sum("row_id").alias("row_ids"))
+
+
+@query("a03_documents_rejected", "", """select case when c_custkey%89=0 then 'unreadable' else 'not a number: total_volume_mm3' end as reason, cast(c_nationkey as varchar) as "case", count(*) as n from customer where c_custkey%89=0 or c_custkey%83=0 group by 1,2""")
+def _(t):
+    return broken_documents(t)[1].groupBy("reason", "case").agg(F.count("*").alias("n"))
+
+
+@query("a03_documents_accepted", "", "select c_custkey, round(c_acctbal,6) as total_volume_mm3 from customer where c_custkey%89<>0 and c_custkey%83<>0")
+def _(t):
+    return broken_documents(t)[0].select("c_custkey", r6("total_volume_mm3").alias("total_volume_mm3"))
+
+
+def broken_documents(t):
+    p = folder(t, "bags")
+    k = F.col("c_custkey")
+    whole = F.to_json(F.struct("c_custkey", F.when(k % 83 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("total_volume_mm3")))
+    line = F.when(k % 89 == 0, F.substring(whole, 1, 9)).otherwise(whole)
+    t.raw("customer").select("c_nationkey", line.alias("value")).write.partitionBy("c_nationkey").text(p)
+    return R.read_documents_checked(t.spark, p, {"c_custkey": "long", "total_volume_mm3": "double"}, r"c_nationkey=(\d+)/", multiline=False)
 
 
 @query("a02_optional_columns", "cases", "select case_id, round(m1,6) as m1, null::double as entropy from cases")

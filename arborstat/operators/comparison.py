@@ -30,7 +30,7 @@ STAGE_PATTERN = r"CLASSIFICATION:\s*([^\n]+)"
 HIGHER_IS_BETTER = {
     "total_branches": True, "total_volume_mm3": True, "max_generation": True, "pc_ratio": True,
     "peripheral_branches": True, "central_branches": True, "symmetry": True, "tortuosity": False,
-    "generation_coverage": True,
+    "generation_coverage": True, "fibrosis_score": False, "diameter_mean": True,
 }
 
 

@@ -6,7 +6,10 @@ hand where the key is part of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from arborstat.functions.numeric import clean
 from arborstat.plans.selection import join_groups, select_ranks
@@ -22,6 +25,55 @@ def read_csv(spark: SparkSession, path, schema: str) -> DataFrame:
     return nan_to_null(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
 
 
+_RECORD = "__record"
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "long", "float", "double"}
+
+
+def _unreadable(fields: list[tuple[str, str]], text: Callable[[str], Column], otherwise: str) -> Column:
+    """Why a record was not taken: its first field whose text is not of the type, else ``otherwise``."""
+    reason = F.lit(otherwise)
+    for name, kind in reversed(fields):
+        what = "number" if kind in _NUMBERS or kind.startswith("decimal") else kind
+        reason = F.when(text(name).isNotNull() & text(name).try_cast(kind).isNull(), F.lit(f"not a {what}: {name}")).otherwise(reason)
+    return reason
+
+
+def read_csv_checked(spark: SparkSession, path, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Typed CSV as two tables: the rows that fit the schema, and (record, reason) of those that do not.
+
+    A row is rejected if a field is not of its type or if there are too few or too many
+    fields; nothing of it is taken. Empty fields are NULL, NaN becomes NULL. Records are
+    lines; with ``header`` those that hold the column names are none.
+    """
+    kinds = [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema)]
+    as_text = ", ".join(f"`{n}` string" for n, _ in kinds)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RECORD}
+    line = F.col("value")
+    lines = spark.read.text(path).where(F.trim(line) != "")
+    if header:
+        lines = lines.where(~F.from_csv(line, as_text).eqNullSafe(F.struct(*[F.lit(n).alias(n) for n, _ in kinds])))
+    read = lines.select(line, F.from_csv(line, f"{schema}, `{_RECORD}` string", options).alias("r"))
+    fits = F.col(f"r.{_RECORD}").isNull()
+    texts = F.from_csv(line, as_text)
+    reason = _unreadable(kinds, lambda n: texts[n], "wrong number of fields")
+    return nan_to_null(read.where(fits).select("r.*").drop(_RECORD)), read.where(~fits).select(line.alias("record"), reason.alias("reason"))
+
+
+def read_documents_checked(spark: SparkSession, path, fields: dict[str, str], pattern: str, key: str = "case", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_documents` as two tables: documents whose fields are of their types, and (key, record, reason) of the others.
+
+    An absent field and a null are no error. ``record`` is the text of a document that is
+    no JSON, else its fields as they were read.
+    """
+    schema = ", ".join([*[f"`{f}` string" for f in fields], f"`{_RECORD}` string"])
+    raw = spark.read.schema(schema).options(multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=_RECORD).json(path)
+    text = F.coalesce(F.col(_RECORD), F.to_json(F.struct(*fields)))
+    reason = F.when(F.col(_RECORD).isNotNull(), "unreadable").otherwise(_unreadable(list(fields.items()), lambda n: F.col(f"`{n}`"), ""))
+    judged = raw.select(path_key(pattern).alias(key), *fields, text.alias("record"), reason.alias("reason"))
+    good = judged.where("reason = ''").select(key, *[F.col(f).try_cast(t).alias(f) for f, t in fields.items()])
+    return nan_to_null(good), judged.where("reason <> ''").select(key, "record", "reason")
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Plan-time guard: the frame itself, or an error naming what is missing."""
     missing = [c for c in columns if c not in df.columns]

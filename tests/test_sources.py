@@ -34,6 +34,25 @@ def test_csv_header_is_checked(spark, tmp_path):
         R.read_csv(spark, str(tmp_path / "v.csv"), schemas.VISITS.replace("Weeks", "Month")).collect()
 
 
+def test_broken_rows_are_set_aside_with_a_reason(spark, tmp_path):
+    (tmp_path / "v.csv").write_text('id,week,note,value\n1,2,"a,b",1.5\n2,two,x,1\n3,4,y\n4,4,y,1,9\n5,,,NaN\n6,1,z,1 kg\n')
+    good, bad = R.read_csv_checked(spark, str(tmp_path / "v.csv"), "id long, week int, note string, value double")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 2, "a,b", 1.5), (5, None, None, None)]
+    assert {r.record: r.reason for r in bad.collect()} == {
+        "2,two,x,1": "not a number: week", "3,4,y": "wrong number of fields", "4,4,y,1,9": "wrong number of fields", "6,1,z,1 kg": "not a number: value",
+    }
+
+
+def test_broken_documents_are_set_aside_with_a_reason(spark, tmp_path):
+    texts = {"a": '{"v": "1.5", "n": 3}', "b": '{"v": ', "c": '{"v": "x", "n": 1}', "d": '{"n": 2.5}', "e": "{}"}
+    for case, text in texts.items():
+        (tmp_path / case).mkdir()
+        (tmp_path / case / "m.json").write_text(text)
+    good, bad = R.read_documents_checked(spark, f"{tmp_path}/*/m.json", {"v": "double", "n": "long"}, r"/([^/]+)/m")
+    assert {r.case: (r.v, r.n) for r in good.collect()} == {"a": (1.5, 3), "e": (None, None)}
+    assert {r.case: r.reason for r in bad.collect()} == {"b": "unreadable", "c": "not a number: v", "d": "not a number: n"}
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="week"):
         R.require_columns(spark.range(1), ["id", "week"])
