@@ -7,18 +7,20 @@ group. Groups that share a prefix member and pass the length and position filter
 candidate group pairs; these are expanded into pairs of classes and verified on texts.
 
 Only components are wanted, so a list of groups that share a prefix member need not be
-compared pair by pair: its members meet one pivot first, and later only those still in
-different components are compared. No pair is left out that could join two components.
+compared pair by pair: its members meet one pivot first, then the members with most links,
+and later only those still in different components are compared. Sets also have 128 parity bits:
+pairs that differ in more bits than they may have members apart are dropped inside the joins, so of many copies
+that are nearly, but not quite, similar enough few pairs come out. No pair is left out that could join two components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborstat.llm.common import in_groups, whole_text
 from arborstat.plans.propagation import connected_components
@@ -30,6 +32,8 @@ BUCKETS = 1 << 20
 PACK = 1 << 12
 #: Lists up to this length are compared pair by pair; an entry makes half as many pairs at most.
 SHORT_LIST = 16
+#: Members of a longer list that meet all others in a round, and rounds at least.
+PIVOTS, ROUNDS = 4, 2
 #: Bits of the table that keeps the texts of documents without candidates out of a join; 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 
@@ -62,6 +66,18 @@ def need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100 + percent))
 
 
+def parities(grams: np.ndarray) -> tuple[int, int]:
+    """A bit for each of 128 hash buckets: whether it has an odd number of members. A member that only one of two sets has changes one bit."""
+    odd = np.bincount((grams >> np.uint64(7)).astype(np.int64) & 127, minlength=128) & 1
+    return tuple(np.packbits(odd.astype(np.uint8)).view(">i8").tolist())
+
+
+def may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether the parities of two sets (columns n, odd0, odd1) differ in no more bits than the sets may have members apart."""
+    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("odd0", "odd1")), F.lit(0))
+    return apart <= x("n") + y("n") - 2 * need(x("n"), y("n"), percent)
+
+
 def frequencies(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """In how many documents the n-grams of each bucket occur, over all documents."""
 
@@ -103,13 +119,13 @@ def row_key(columns: list[str]) -> tuple[Column, Column]:
 
 
 def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: int, percent: int, key: list[str]) -> DataFrame:
-    """(doc_id, a, b, n, same, head, prefix): digests of the row's ``key``, set size, digests of the set and of prefix with size, and the prefix in order."""
+    """(doc_id, a, b, n, odd0, odd1, same, head, prefix): digests of the row's ``key``, set size, parities, digests of the set and of prefix with size, and the prefix in order."""
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for b in in_groups(batches, "__text"):
-            sizes, same, head, prefixes, ends = [], [], [], [], [0]
+            sizes, odd, same, head, prefixes, ends = [], [], [], [], [], [0]
             for t in b.column("__text").to_pylist():
                 grams = gram_set(t, n)
                 size = len(grams)
@@ -117,6 +133,7 @@ def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: in
                 order = np.lexsort((grams, rank[(grams % np.uint64(BUCKETS)).astype(np.int64)]))[:keep]
                 prefix = grams[order].view(np.int64)
                 sizes.append(size)
+                odd.append(parities(grams))
                 same.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 head.append(xxhash.xxh3_128_digest(prefix.tobytes() + size.to_bytes(8, "little")))
                 prefixes.append(prefix)
@@ -124,12 +141,12 @@ def sketch_sets(docs: DataFrame, rank: np.ndarray, doc_id: str, text: str, n: in
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("a"), b.column("b"), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(head, pa.binary()), lists], names=["doc_id", "a", "b", "n", "same", "head", "prefix"]
+                [b.column("doc_id"), b.column("a"), b.column("b"), pa.array(sizes, pa.int64()), *(pa.array([o[k] for o in odd], pa.int64()) for k in (0, 1)), pa.array(same, pa.binary()), pa.array(head, pa.binary()), lists], names=["doc_id", "a", "b", "n", "odd0", "odd1", "same", "head", "prefix"]
             )
 
     a, b = row_key(key)
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), a.alias("a"), b.alias("b"), whole_text(text).alias("__text"))
-    return given.mapInArrow(run, "doc_id bigint, a bigint, b bigint, n bigint, same binary, head binary, prefix array<bigint>")
+    return given.mapInArrow(run, "doc_id bigint, a bigint, b bigint, n bigint, odd0 bigint, odd1 bigint, same binary, head binary, prefix array<bigint>")
 
 
 def _likely(given: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -218,10 +235,10 @@ def linked(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, key: l
     real = sets.where("n > 0" if without_id else "n > 0 and doc_id is not null")
     # Written once, so that the numbers of the classes stay.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
-    classes = real.groupBy("same").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.min("head").alias("head"))
+    classes = real.groupBy("same").agg(F.min(row).alias("row"), *[F.min(c).alias(c) for c in ("n", "odd0", "odd1", "head")])
     classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))
     groups = cut_lineage(classes.groupBy("head").agg(F.min(F.struct("id", "row.a", "row.b")).alias("first")).select("head", F.col("first.id").alias("gid"), F.col("first.a").alias("ga"), F.col("first.b").alias("gb")))
-    member = cut_lineage(classes.join(groups, "head").select("gid", "id", "n"))
+    member = cut_lineage(classes.join(groups, "head").select("gid", "id", "n", "odd0", "odd1"))
 
     entry = real.join(groups, "head").where("a = ga and b = gb").select("gid", "n", F.posexplode("prefix").alias("pos", "gram")).distinct()
     shared = entry.groupBy("gram").agg(F.count("*").alias("size"), F.min("gid").alias("pivot")).where("size > 1")
@@ -237,16 +254,34 @@ def linked(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, key: l
     met = [j.select(a.alias("g"), b.alias("h")) for j in (short, star)]
     # Inside a group everybody meets the first member.
     inside = member.where("gid <> id").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    pairs = _expand(met[0].unionByName(met[1]).distinct(), member).unionByName(inside).distinct()
+    pairs = _expand(met[0].unionByName(met[1]).distinct(), member, percent).unionByName(inside).distinct()
     links = _links(docs, pairs, classes, key, text, n, percent)
     found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
 
-    for last in (False, True):
-        more = _apart(lists, member, found, fits, last)
+    fits = fits & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)
+    used: DataFrame | None = None
+    every, done = False, 0
+    while True:
+        rows = _open(lists, member, found)
+        if every:
+            more = _rest(rows, used, fits)
+        else:
+            chosen = cut_lineage(_pivots(rows, links, used))
+            used = chosen if used is None else used.unionByName(chosen)
+            more = _meet(rows, chosen, fits)
         more, left = cut_and_count(more, F.lit(True))
+        gained = 0
         if left:
-            links = cut_lineage(links.unionByName(_links(docs, more, classes, key, text, n, percent)))
-            found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
+            new, gained = cut_and_count(_links(docs, more, classes, key, text, n, percent), F.lit(True))
+            if gained:
+                links = cut_lineage(links.unionByName(new))
+                found = connected_components(links, links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))), [])
+        release(rows, more)
+        if every:
+            break
+        # Pivots go on as long as many of their pairs link; what is left then is compared in full.
+        done += 1
+        every = not left or (done >= ROUNDS and 10 * gained < left)
     release(lists, groups, member)
     of = found.withColumnRenamed("node", "id").join(classes.select("id", "row"), "id")
     least = of.groupBy("component").agg(F.min("row").alias("root"))
@@ -254,11 +289,11 @@ def linked(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, key: l
     return sets, cut_lineage(classes.join(moved, "id", "left").select("same", F.coalesce("root", "row").alias("root")))
 
 
-def _expand(group_pairs: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of each pair (g, h) of groups."""
-    one = member.select(F.col("gid").alias("g"), F.col("id").alias("a"))
-    two = member.select(F.col("gid").alias("h"), F.col("id").alias("b"))
-    return group_pairs.join(one, "g").join(two, "h").select("a", "b")
+def _expand(group_pairs: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of each pair (g, h) of groups whose parities let them link."""
+    x, y = group_pairs.join(member.withColumnRenamed("gid", "g"), "g").alias("x"), member.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.gid")) & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: list[str], text: str, n: int, percent: int) -> DataFrame:
@@ -274,29 +309,38 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: list[str]
     return links
 
 
-def _apart(lists: DataFrame, member: DataFrame, found: DataFrame, fits: Column, every: bool) -> DataFrame:
-    """Pairs (a, b) that share a list or group, are still in different components and have not met.
-
-    Not ``every``: only pairs with the smallest member outside the first pivot's component.
-    """
-    of = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("comp"))
-    long = lists.where(F.col("size") > SHORT_LIST).select("gram", "gid", "n", "pos", "pivot")
+def _open(lists: DataFrame, member: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, n, odd0, odd1, pos, comp) of the long lists and groups whose members are in more than one component."""
+    of = member.join(found.withColumnRenamed("node", "id"), "id", "left").select("gid", "id", "n", "odd0", "odd1", F.coalesce("component", "id").alias("comp"))
+    long = lists.where(F.col("size") > SHORT_LIST).select("gram", "gid", "pos")
     inner = of.groupBy("gid").agg(F.countDistinct("comp").alias("k")).where("k > 1").select("gid")
     # A group that did not grow together is a list of its own.
-    own = of.join(inner, "gid").select(F.struct(F.lit(None).cast("bigint").alias("gram"), F.col("gid").alias("group")).alias("key"), "id", "n", F.lit(0).alias("pos"), "comp", F.col("gid").alias("pivot"))
-    wide = long.join(of.drop("n"), "gid").select(F.struct("gram", F.lit(None).cast("bigint").alias("group")).alias("key"), "id", "n", "pos", "comp", "pivot")
+    own = of.join(inner, "gid").select(F.struct(F.lit(None).cast("bigint").alias("gram"), F.col("gid").alias("group")).alias("key"), "id", "n", "odd0", "odd1", F.lit(0).alias("pos"), "comp")
+    wide = long.join(of, "gid").select(F.struct("gram", F.lit(None).cast("bigint").alias("group")).alias("key"), "id", "n", "odd0", "odd1", "pos", "comp")
     rows = wide.unionByName(own)
     split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = cut_lineage(rows.join(split, "key"))
-    home = rows.where("id = pivot").select("key", F.col("comp").alias("home"))
-    if not every:
-        # The component of the first pivot is done with it; the next pivot is the smallest of the others.
-        away = rows.join(home, "key", "left").where(F.col("home").isNull() | (F.col("comp") != F.col("home")))
-        nxt = away.groupBy("key").agg(F.min("id").alias("next"))
-        one = rows.join(nxt, "key").where("id = next").drop("next")
-        x, y = one.alias("x"), rows.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    else:
-        x, y = rows.alias("x"), rows.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & fits)
+    return cut_lineage(rows.join(split, "key"))
+
+
+def _pivots(rows: DataFrame, links: DataFrame, used: DataFrame | None) -> DataFrame:
+    """(key, id): in each list the PIVOTS members with the most links that were none there yet; a text that many copies come from has links to all pivots before it."""
+    degree = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("__links"))
+    free = rows if used is None else rows.join(used, ["key", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.coalesce("__links", F.lit(0))), "id"))
+    return free.join(degree, "id", "left").select("key", "id", place.alias("place")).where(F.col("place") <= PIVOTS).drop("place")
+
+
+def _pair(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), on)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _meet(rows: DataFrame, chosen: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (a, b) of the chosen members with those of their list that are in other components."""
+    return _pair(rows.join(chosen, ["key", "id"], "left_semi"), rows, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fits)
+
+
+def _rest(rows: DataFrame, used: DataFrame, fits: Column) -> DataFrame:
+    """All pairs (a, b) that share a list, are in different components and have not met."""
+    new = rows.join(used, ["key", "id"], "left_anti")
+    return _pair(new, new, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & fits)
