@@ -93,9 +93,10 @@ def _scored(pairs: DataFrame, k: int, refined: bool) -> DataFrame:
                     at = np.nonzero(np.logical_or.reduce(seen) & (bound >= LISTS * cutoff) & ~own)
                 else:
                     some = np.zeros(own.shape, bool)
-                    take = min(k + 1, len(ci))  # one more, as the query itself may be among them
+                    take = min(k, len(ci))
                     for p in parts:
-                        best = np.argpartition(-p, take - 1, axis=1)[:, :take] if take else np.zeros((len(qi), 0), np.int64)
+                        # Rows with the query's own id, however many, take no other's place.
+                        best = np.argpartition(-np.where(own, LOWEST, p), take - 1, axis=1)[:, :take] if take else np.zeros((len(qi), 0), np.int64)
                         np.put_along_axis(some, best, True, axis=1)
                     at = np.nonzero(some & ~own)
                 scores = sum(p[at] for p in parts)
