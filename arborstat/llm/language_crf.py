@@ -23,8 +23,8 @@ from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
 BITS = 17
 #: Labelled documents of each language that the model is fitted on, at most.
 PER_LANG = 300
-#: Longer texts are left out of that sample, so that its size has a bound.
-SAMPLE_CHARS = 200_000
+#: Of a longer text a stretch of so many characters is taken, from a place that its hash sets, so that the sample's size has a bound.
+SAMPLE_CHARS = 20_000
 #: Frequent words of each language in the lexicon, at most.
 LEXICON = 500
 #: Words of a stretch that training takes at once.
@@ -198,16 +198,14 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, learn: Column, per_lang: int, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """(text, lang) of up to ``per_lang`` rows of each language, in an order set by a hash of the id."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= SAMPLE_CHARS))
-    ids = rows.select(F.col(doc_id).alias("id"), F.col(lang).alias("l"), F.xxhash64(doc_id, F.lit(11)).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "id"))
-    cut = ids.withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
-    tops = cut.collect()  # a row per language
-    if not tops:
-        return []
-    top = F.create_map(*[F.lit(x) for r in tops for x in (r["l"], r["top"])])
-    kept = rows.where(F.xxhash64(doc_id, F.lit(11)) <= F.element_at(top, F.col(lang))).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    """(text, lang) of up to ``per_lang`` different texts of each language, in an order set by hashes of the texts; a stretch of each long text."""
+    t = F.col(text)
+    rows = docs.where(learn & F.col(lang).isNotNull() & t.isNotNull()).select(t.alias("t"), F.col(lang).alias("l"), F.struct(F.xxhash64(t, F.lit(11)).alias("a"), F.xxhash64(F.lit(12), t).alias("b")).alias("h"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    cut = rows.select("l", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("l").agg(F.max("h").alias("top"))
+    some = rows.join(cut, "l").where(F.col("h") <= F.col("top"))
+    begin = F.pmod(F.col("h.a"), F.greatest(F.char_length("t") - SAMPLE_CHARS, F.lit(0)) + 1)
+    kept = some.dropDuplicates(["l", "h"]).select(F.substring("t", begin.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("t"), "l")
     return sorted((r["t"], r["l"]) for r in kept.collect())
 
 

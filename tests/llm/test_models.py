@@ -136,6 +136,15 @@ def test_repeated_texts_and_ids_keep_their_rows(spark):
     assert sorted(r.predicted for r in rows if r.doc_id == 1) == [0, 0, 0, 1]
 
 
+def test_language_sample_has_a_bound(spark):
+    """Rows without an id or with one id, equal texts and long texts: never more than asked for, and no language is lost."""
+    long = "lang wort " * 30_000
+    rows = [(None, f"text {i}", "en") for i in range(400)] + [(1, f"mot {i}", "fr") for i in range(400)] + [(2, "same", "en")] * 400 + [(3, long, "de")]
+    got = C.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 50, "doc_id", "text", "lang")
+    sizes = {k: sum(la == k for _, la in got) for k in ("en", "fr", "de")}
+    assert sizes == {"en": 50, "fr": 50, "de": 1} and max(len(t) for t, _ in got) == C.SAMPLE_CHARS
+
+
 def brute_topk(rows, k, scale=1024):
     good = [(i, np.floor(scale * np.array(v, np.float64)).astype(int).tolist()) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -162,3 +171,11 @@ def test_topk_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
     assert {(r.query_id, r.rank, r.vec_id) for r in K.search(df, F.col("vec_id") == 0, 10).collect()} == {(0, 1, 1), (0, 2, 2)}
     assert K.search(df.where("false"), F.col("vec_id") == 0, 10).count() == 0
+
+
+def test_topk_with_many_rows_of_the_query_id(spark):
+    """Twelve rows share the query's id and are better than all others, which are still found."""
+    rows = [(0, [1.0, 1.0, 1.0, 1.0], 0)] * 12 + [(i, [0.5, 0.1, i / 100, 0.2], 0) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.rank, r.vec_id) for r in K.search(df, F.col("vec_id") == 0, 10).collect())
+    assert got == [(k, 30 - k) for k in range(1, 11)]
