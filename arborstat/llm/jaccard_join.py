@@ -32,7 +32,7 @@ BUCKETS = 1 << 20
 PACK = 1 << 12
 #: Lists up to this length are compared pair by pair; an entry makes half as many pairs at most.
 SHORT_LIST = 16
-#: Members of a longer list that meet all others in a round, and rounds at least.
+#: Members of a longer list that meet all others in a round, and rounds.
 PIVOTS, ROUNDS = 4, 2
 #: Bits of the table that keeps the texts of documents without candidates out of a join; 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
@@ -279,9 +279,9 @@ def linked(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, key: l
         release(rows, more)
         if every:
             break
-        # Pivots go on as long as many of their pairs link; what is left then is compared in full.
+        # What is in different components after the rounds of pivots is compared in full.
         done += 1
-        every = not left or (done >= ROUNDS and 10 * gained < left)
+        every = not left or done >= ROUNDS
     release(lists, groups, member)
     of = found.withColumnRenamed("node", "id").join(classes.select("id", "row"), "id")
     least = of.groupBy("component").agg(F.min("row").alias("root"))
