@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: A single space between two other characters always starts a word, whatever stands around it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces, words and pairs of tokens that a task remembers between slices, at most.
-KEPT_PIECES = 100_000
-KEPT_WORDS = 100_000
+KEPT_PIECES = 400_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 250_000
 #: Characters of the texts that are encoded together, about.
 GROUP = 1_000_000
@@ -44,6 +45,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def oldest(memo: dict) -> dict:
+    """The quarter of a full memo that was met first: frequent words are among it."""
+    return dict(islice(memo.items(), len(memo) // 4))
+
+
 def token_bytes(spec: dict) -> dict[int, bytes]:
     """The bytes that each id of a vocabulary file stands for."""
     letters = byte_letters()
@@ -81,6 +87,7 @@ class ByteBpe:
         self.apart_memo: dict[int, bool] = {}
         self.word = regex.compile(WORD)
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.table = by_id(self.bytes_of)
         self.four = [i.to_bytes(4, "little") for i in range(len(self.born))]
         self.inner: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
@@ -173,7 +180,7 @@ class ByteBpe:
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of texts without special tokens: their new distinct words in one walk."""
         if len(self.words) > KEPT_WORDS:
-            self.words = {}
+            self.words = oldest(self.words)
         cut = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.word.findall(p) for p in pieces}
         of = self.words
         words = sorted({w.encode(): w for ws in cut.values() for w in ws if w not in of}.items())
@@ -187,7 +194,7 @@ class ByteBpe:
         not start a word for certain. A text with an odd piece is cut more carefully.
         """
         if len(self.inner) > KEPT_PIECES:
-            self.inner = {}
+            self.inner = oldest(self.inner)
         inner, cut, distinct = self.inner, [t.split(" ") for t in texts], set()
         for c in cut:
             distinct.update(c[1:-1])
@@ -227,8 +234,14 @@ class ByteBpe:
         return self.encode_group(texts)
 
 
-def decode_ids(packed: bytes, of: dict[int, bytes]) -> str:
-    return b"".join([of.get(i, b"") for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+def by_id(of: dict[int, bytes]) -> list[bytes]:
+    """Bytes by id; ids without any have none, and so does the last entry, which stands for all beyond."""
+    return [of.get(i, b"") for i in range(max(of) + 2)]
+
+
+def decode_ids(packed: bytes, table: list[bytes]) -> str:
+    ids = np.minimum(np.frombuffer(packed, "<u4"), len(table) - 1).tolist()
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -237,9 +250,9 @@ def loaded(path: str) -> ByteBpe:
 
 
 @lru_cache(2)
-def loaded_bytes(path: str) -> dict[int, bytes]:
+def loaded_bytes(path: str) -> list[bytes]:
     with open(path, encoding="utf-8") as f:
-        return token_bytes(json.load(f))
+        return by_id(token_bytes(json.load(f)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
@@ -261,7 +274,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
             ids = bpe.encode(b.column("__text").to_pylist())
             new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
             if decoded:
-                new["decoded"] = pa.array([decode_ids(x, bpe.bytes_of) for x in ids], pa.string())
+                new["decoded"] = pa.array([decode_ids(x, bpe.table) for x in ids], pa.string())
             yield with_columns(b, keep, new)
         bpe.forget()
 
