@@ -1,7 +1,9 @@
 """Learnt operators: held-out accuracy, exact inference against enumeration, gradients against differences."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,6 +129,39 @@ def test_every_word_has_its_own_counts(spark):
     assert all((got[int(x)].n0, got[int(x)].n1) == (1 - i % 4 % 2, i % 4 % 2) for i, x in enumerate(numbers))
 
 
+def test_log_ratios_and_evidence_against_dictionaries(spark):
+    """The counts, the pruning and the sums of the word model, worked out with dictionaries."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    rows = [(" ".join(rng.choices(words, k=30) + ["vile"] * (i % 2 and rng.random() < 0.6) + ["kind"] * (i % 2 == 0 and rng.random() < 0.5)), i % 2) for i in range(200)]
+    more = [(" ".join(rng.choices(words, k=20)), None) for _ in range(100)]
+    n, n0, n1, left = Counter(), Counter(), Counter(), set()
+    for text, toxic in rows + more:
+        w = text.split()
+        n.update(set(w))
+        (n1 if toxic else n0 if toxic == 0 else Counter()).update(set(w))
+        left |= set(zip(w, ["", *w]))
+    contexts, total = Counter(w for w, _ in left), n.total()
+    freed = sum(min(x, T.SHARED_DISCOUNT) for x in n.values())
+    shared = {w: max(n[w] - T.SHARED_DISCOUNT, 0) / total + freed / total * (contexts[w] + 0.5) / (len(left) + 0.5 * len(n)) for w in n}
+    own = [{w: max(c[w] - shared[w] * c.total() - T.DISCOUNT * math.sqrt(shared[w] * c.total() + 1), 0) / c.total() for w in n} for c in (n0, n1)]
+    rest = [1 - sum(o.values()) for o in own]
+    expected = {w: math.log(own[1][w] / rest[1] + shared[w]) - math.log(own[0][w] / rest[0] + shared[w]) for w in n if own[0][w] or own[1][w]}
+    assert {"vile", "kind"} <= set(expected)
+
+    learnt = spark.createDataFrame(rows, "text string, toxic long").repartition(3)
+    every = spark.createDataFrame([(t,) for t, _ in rows + more], "text string").repartition(5)
+    ratios = T.log_ratios(T.document_counts(learnt, every), every)
+    got = {r.word: r.ratio / T.UNIT for r in ratios.collect()}
+    number = {w: int(T.word_numbers([w])[0][0]) for w in n}
+    assert set(got) == {number[w] for w in expected}
+    assert all(abs(got[number[w]] - x) < 0.01 for w, x in expected.items())
+    docs = spark.createDataFrame([(1, "vile vile words"), (2, "kind"), (3, None), (4, "nothing known")], "doc_id long, text string")
+    found = {r.doc_id: (r["mean"], r["root"]) for r in T.evidence(docs, ratios, "text", ["doc_id"]).collect()}
+    sums = {1: (2 * got[number["vile"]], 3), 2: (got[number["kind"]], 1), 3: (0, 1), 4: (0, 2)}
+    assert all(found[i] == pytest.approx((s / k, s / math.sqrt(k))) for i, (s, k) in sums.items())
+
+
 def test_repeated_texts_and_ids_keep_their_rows(spark):
     docs = spark.createDataFrame([(i, ("vile " if i % 2 else "fine ") + "plain words here") for i in range(300)] + [(1, "fine plain words here")] * 3 + [(None, "vile plain words here"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 300)], "doc_id long, toxic int")
