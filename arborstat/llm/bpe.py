@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
+from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
 
 #: Words as the byte-level pre-tokenizer cuts them (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -264,9 +264,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     ``path`` names a tokenizer file that every executor has. Special tokens written in a
     text become their ids; none are added. A null text counts as empty (no ids), repeated
     rows are encoded alike, an empty table gives an empty one. Columns named like the
-    outputs must not be kept. Rows stay where they are: nothing is shuffled.
+    outputs cannot be kept (ValueError). Rows stay where they are: nothing is shuffled.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    refuse_clash(keep, ["n_tokens", "ids", *["decoded"] * decoded])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)

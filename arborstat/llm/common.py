@@ -49,6 +49,14 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], new: dict[str, pa.Array
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new.values()], names=[*keep, *new])
 
 
+def refuse_clash(columns: list[str], outputs: Iterable[str]) -> None:
+    """A ValueError that names the columns which an operator would add a second time (Spark compares names without case)."""
+    there = {c.lower() for c in columns}
+    clash = [o for o in outputs if o.lower() in there]
+    if clash:
+        raise ValueError(f"columns {clash} are there already; rename them or the outputs")
+
+
 def schema_of(df: DataFrame, keep: list[str], new: str) -> str:
     """DDL of the columns ``keep`` of ``df`` followed by ``new``."""
     return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), new])

@@ -5,12 +5,13 @@ are its affixes and inner n-grams (hashed), and its entry in a lexicon of the fr
 words of each language. Transitions between labels are learnt with them. Word marginals
 come from forward-backward; a document's language has the largest mean marginal.
 
-The model is fitted on a bounded sample of labelled rows (``per_lang`` documents of each
-language, whole texts), every word taking its document's label.
+The lexicon is counted over all labelled rows. The weights are fitted on a bounded sample
+of them (``per_lang`` documents of each language), every word taking its document's label.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
+from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
 
 BITS = 17
 #: Labelled documents of each language that the model is fitted on, at most.
@@ -35,6 +36,7 @@ GROUP = 500_000
 UNKNOWN = "und"
 
 _LETTER = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
+_WHITE = re.compile(r"[\x20\x09-\x0D]")
 _MIX = [np.uint32(k) for k in (0, 0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -79,6 +81,18 @@ def words_of(texts: list[str], grams: bool = True) -> Words:
     return Words(found, starts, whole, counts)
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in parts of about GROUP characters, cut at white space (a longer run without any stays whole)."""
+    at = 0
+    while len(text) - at > GROUP:
+        cut = _WHITE.search(text, at + GROUP)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -102,55 +116,94 @@ class Model:
         total += self.weight[w.grams[2]]
         return np.add.reduceat(total, w.starts, axis=0) + self.lexical[self.entry(w.whole)]
 
+    def emitted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions and words per text; texts of over GROUP characters go piece by piece."""
+        if max(map(len, texts), default=0) <= GROUP:
+            w = words_of(texts)
+            return self.emissions(w), w.counts
+        parts, counts = [], []
+        for t in texts:
+            mine = [self.emissions(words_of([piece])) for piece in pieces(t)]
+            parts += mine
+            counts.append(sum(map(len, mine)))
+        return np.concatenate(parts), np.array(counts, np.int64)
+
     def marginals(self, emitted: np.ndarray, counts: np.ndarray, pairs: bool = False):
-        """Marginals of every word, sequences of ``counts`` words one after another; with ``pairs`` also expected transitions."""
+        """Marginals of every word, sequences of ``counts`` words one after another; with ``pairs`` also expected transitions.
+
+        Sequences are cut into blocks of about the root of their length. The transfer matrices of
+        all blocks are multiplied out side by side, messages run over the blocks, and all
+        blocks are then filled in side by side: the same sums as word by word.
+        """
         ends = np.cumsum(counts)
-        out = np.zeros_like(emitted)
         step = np.exp(self.step - self.step.max()).astype(np.float32)
         first = np.exp(self.first - self.first.max()).astype(np.float32)
-        scaled = np.exp(emitted - emitted.max(axis=1, keepdims=True)) if len(emitted) else emitted
-        expected = np.zeros_like(step)
+        scaled = np.exp(emitted - emitted.max(axis=1, keepdims=True)).astype(np.float32) if len(emitted) else emitted
+        ahead, back = np.ones_like(scaled), np.ones_like(scaled)
         length = np.frexp(np.maximum(counts, 1).astype(np.float64) - 0.5)[1]
         for size in np.unique(length[counts > 0]):  # sequences of similar length go together
             mine = np.flatnonzero((length == size) & (counts > 0))
             n = counts[mine]
-            steps = int(n.max())
-            at = (ends[mine] - n)[:, None] + np.arange(steps)[None, :]
-            there = np.arange(steps)[None, :] < n[:, None]
-            e = np.where(there[:, :, None], scaled[np.where(there, at, 0)], 1).astype(np.float32).transpose(1, 0, 2)
-            ahead, back = np.empty_like(e), np.ones_like(e)
-            cur = first * e[0]
-            ahead[0] = cur = cur / cur.sum(1, keepdims=True)
+            steps = int(np.ceil(np.sqrt(n.max())))
+            blocks = -(-n // steps)
+            top = np.cumsum(blocks) - blocks  # first block of each sequence
+            k = np.arange(blocks.sum()) - np.repeat(top, blocks)
+            at = (np.repeat(ends[mine] - n, blocks) + k * steps)[:, None] + np.arange(steps)[None, :]
+            there = at < np.repeat(ends[mine], blocks)[:, None]
+            e = np.where(there[:, :, None], scaled[np.where(there, at, 0)], 1).transpose(1, 0, 2)
+            live = there.T[:, :, None]
+            whole = np.broadcast_to(np.eye(len(step), dtype=np.float32), (len(k), *step.shape))
+            for t in range(1, steps if blocks.max() > 1 else 0):
+                more = (whole @ step) * e[t][:, None, :]
+                whole = np.where(live[t][:, :, None], more / more.sum((1, 2), keepdims=True), whole)
+            enter, leave = first * e[0], np.ones_like(e[0])
+            for j in range(1, int(blocks.max())):
+                b = top[blocks > j] + j
+                x = ((enter[b - 1][:, None, :] @ whole[b - 1])[:, 0] @ step) * e[0][b]
+                enter[b] = x / x.sum(1, keepdims=True)
+            for j in range(int(blocks.max()) - 1, 0, -1):
+                b = top[blocks > j] + j
+                y = (e[0][b] * (whole[b] @ leave[b][:, :, None])[:, :, 0]) @ step.T
+                leave[b - 1] = y / y.sum(1, keepdims=True)
+            forth = np.empty_like(e)
+            forth[0] = cur = enter / enter.sum(1, keepdims=True)
             for t in range(1, steps):
                 cur = (cur @ step) * e[t]
                 cur /= cur.sum(1, keepdims=True)
-                ahead[t] = cur
-            live = there.T
+                forth[t] = cur
+            ahead[at[there]] = forth.transpose(1, 0, 2)[there]
+            forth[steps - 1] = cur = leave
             for t in range(steps - 2, -1, -1):
-                cur = (e[t + 1] * back[t + 1]) @ step.T
-                cur /= cur.sum(1, keepdims=True)
-                back[t] = np.where(live[t + 1][:, None], cur, 1)
-            both = ahead * back
-            both /= both.sum(2, keepdims=True)
-            out[at[there]] = both.transpose(1, 0, 2)[there]
-            if pairs and steps > 1:
-                joint = ahead[:-1, :, :, None] * step * (e[1:] * back[1:])[:, :, None, :]
-                joint /= np.maximum(joint.sum((2, 3), keepdims=True), 1e-30)
-                expected += (joint * live[1:, :, None, None]).sum((0, 1))
-        return (out, expected) if pairs else out
-
-
-def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fit on (text, lang) rows: gradient steps (one rate per weight) on stretches of words."""
+                new = (e[t + 1] * cur) @ step.T
+                forth[t] = cur = np.where(live[t + 1], new / new.sum(1, keepdims=True), cur)
+            back[at[there]] = forth.transpose(1, 0, 2)[there]
+        out = ahead * back
+        out /= out.sum(1, keepdims=True)
+        if not pairs:
+            return out
+        inner = np.ones(len(out), bool)
+        inner[ends[counts > 0] - 1] = False
+        i = np.flatnonzero(inner)
+        joint = ahead[i][:, :, None] * step * (scaled[i + 1] * back[i + 1])[:, None, :]
+        joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-30)
+        return out, joint.sum(0)
+
+
+def fit(rows: list[tuple[str, str]], seed: int = 7, lexicon: np.ndarray | None = None) -> Model:
+    """Fit on (text, lang) rows: gradient steps (one rate per weight) on stretches of words.
+
+    ``lexicon``: sorted digests of frequent words; without it they are counted in the rows.
+    """
     langs = sorted({lang for _, lang in rows})
     labels = np.array([langs.index(lang) for _, lang in rows])
     w = words_of([t for t, _ in rows])
     owner = np.repeat(labels, w.counts)
-    keys = []
-    for k in range(len(langs)):
-        found, n = np.unique(w.whole[owner == k], return_counts=True)
-        keys.append(found[np.argsort(-n, kind="stable")[:LEXICON]])
-    lexicon = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    if lexicon is None:
+        keys = [np.zeros(0, np.uint64)]
+        for k in range(len(langs)):
+            found, n = np.unique(w.whole[owner == k], return_counts=True)
+            keys.append(found[np.argsort(-n, kind="stable")[:LEXICON]])
+        lexicon = np.unique(np.concatenate(keys))
     L = len(langs)
     m = Model(langs, np.zeros((1 << BITS, L), np.float32), lexicon, np.zeros((len(lexicon) + 1, L), np.float32), np.zeros((L, L), np.float32), np.zeros(L, np.float32))
     if not len(owner):
@@ -209,36 +262,56 @@ def sample(docs: DataFrame, learn: Column, per_lang: int, doc_id: str, text: str
     return sorted((r["t"], r["l"]) for r in kept.collect())
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with lang_pred and score (mean marginal of that language over the words).
+def frequent_words(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> np.ndarray:
+    """Digests of the LEXICON most frequent words of each language, counted over all learnable rows; ties by digest."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_groups(batches, "t", GROUP):
+            langs = b.column("l").to_pylist()
+            owners = np.array(langs, object)
+            whole = [np.concatenate([words_of([p], grams=False).whole for p in pieces(t)]) for t in b.column("t").to_pylist()]
+            for name in sorted(set(langs)):
+                found, n = np.unique(np.concatenate([whole[i] for i in np.flatnonzero(owners == name)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["l", "w", "n"])
+
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
+    sums = rows.mapInArrow(count, "l string, w long, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))  # a limit of LEXICON goes below the shuffle
+    top = sums.withColumn("r", rank).where(F.col("r") <= LEXICON).select("w").distinct()
+    return np.unique(np.array([r["w"] for r in top.collect()], np.int64).view(np.uint64))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with lang_pred and score (mean marginal of that language over the words), named as ``outputs`` says.
 
     lang_pred is ``und`` with score 0 where the text is null or has no letter, and
     everywhere if the model has learnt no language. Equal means go to the first language
     in alphabetical order. Equal texts get equal results, an empty table an empty one;
-    columns named like the outputs must not be kept.
+    columns named like the outputs cannot be kept (ValueError).
     """
     keep = docs.columns if keep is None else keep
+    refuse_clash(keep, outputs)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # size: 2^17 features by languages
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in in_groups(batches, "__text", GROUP):
-            w = words_of(b.column("__text").to_pylist())
-            has = np.array(b.column("__letter").to_pylist(), bool) & (w.counts > 0) & bool(m.langs)
+            emitted, counts = m.emitted(b.column("__text").to_pylist())
+            has = np.array(b.column("__letter").to_pylist(), bool) & (counts > 0) & bool(m.langs)
             best, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             if has.any():
-                p = m.marginals(m.emissions(w), w.counts).astype(np.float64)
-                some = np.flatnonzero(w.counts > 0)
+                p = m.marginals(emitted, counts).astype(np.float64)
+                some = np.flatnonzero(counts > 0)
                 mean = np.zeros((b.num_rows, len(m.langs)))
-                mean[some] = np.add.reduceat(p, (np.cumsum(w.counts) - w.counts)[some]) / w.counts[some, None]
+                mean[some] = np.add.reduceat(p, (np.cumsum(counts) - counts)[some]) / counts[some, None]
                 best, score = mean.argmax(1), np.clip(mean.max(1), 0, 1)
             names = [m.langs[k] if h else UNKNOWN for k, h in zip(best, has)]
-            yield with_columns(b, keep, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(has, score, 0.0), pa.float64())})
+            yield with_columns(b, keep, {outputs[0]: pa.array(names, pa.string()), outputs[1]: pa.array(np.where(has, score, 0.0), pa.float64())})
 
     given = docs.select(*keep, whole_text(text).alias("__text"), whole_text(text).rlike(r"\p{L}").alias("__letter"))
-    return given.mapInArrow(run, schema_of(docs, keep, "lang_pred string, score double"))
+    return given.mapInArrow(run, schema_of(docs, keep, f"`{outputs[0]}` string, `{outputs[1]}` double"))
 
 
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from the rows where ``learn`` holds and neither text nor language is null."""
-    return fit(sample(docs, learn, per_lang, doc_id, text, lang))
+    return fit(sample(docs, learn, per_lang, doc_id, text, lang), lexicon=frequent_words(docs, learn, text, lang))

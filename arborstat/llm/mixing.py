@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.llm.common import whole_text
+from arborstat.llm.common import refuse_clash, whole_text
 from arborstat.session import cut_lineage, release
 
 BLOCK_TOKENS = 65_536
@@ -93,20 +93,25 @@ def exponent(sources: DataFrame, budget: float | None, entropy: float | None, ma
 
 def mix(
     docs: DataFrame, entropy: float | None = None, max_repeats: float | None = None, budget: float | str = "all", block_tokens: int = BLOCK_TOKENS, seed: int = 1,
-    source: str = "source", doc_id: str = "doc_id", text: str = "text",
+    source: str = "source", doc_id: str = "doc_id", text: str = "text", outputs: tuple[str, str] = ("epoch", "mix_order"),
 ) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, plus epoch (int, from 0) and mix_order (double).
+    """``docs`` with each row as often as the mix takes it, plus epoch (int, from 0) and mix_order (double), named as ``outputs`` says.
 
     Tokens are words. ``budget``: tokens to take; "all": as many as there are; "cover": as
     many as take every source once at least, so that no document is left out. Sorting by
     mix_order deals all sources out evenly, block by block. Each source's tokens stay
-    within its budget, short of it by less than one document.
+    within its budget, short of it by less than the documents of one place (one, or all that share a doc_id).
 
     A null source is a source of its own; null texts have no tokens. A source without any
     tokens has no weight and is taken once. Rows that repeat a doc_id share a place in the
     permutation and are taken or left together. An empty table gives an empty one. Columns
-    named epoch or mix_order must not be there before.
+    named like the outputs end in a ValueError, all others are carried along whatever their names.
     """
+    columns = docs.columns
+    refuse_clash(columns, outputs)
+    # Inside, given columns go by number, so that none of them meets one of the mix.
+    docs = docs.toDF(*[f"__given{i}" for i in range(len(columns))])
+    source, doc_id, text = (f"__given{columns.index(c)}" for c in (source, doc_id, text))
     at = digest(F.col(doc_id), seed)
     rows = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "__tokens": words(text), "__at": at, "__in": digest(F.col(doc_id), seed, "in")})
     slim = cut_lineage(rows.select("__source", "__tokens", "__at", "__in"))
@@ -146,10 +151,11 @@ def mix(
     copies = (F.col("epochs") + more).cast("int")
     order = (F.col("epoch") + digest(F.col("__source"), F.col("block"), F.col("epoch"), seed) / F.lit(2.0**60)) / F.col("times")
     each = taken.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return each.select(*docs.columns, "epoch", order.alias("mix_order"))
+    given = [F.col(d).alias(c) for d, c in zip(docs.columns, columns)]
+    return each.select(*given, F.col("epoch").alias(outputs[0]), order.alias(outputs[1]))
 
 
-def in_order(mixed: DataFrame, seed: int = 1, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of :func:`mix` in its order: by mix_order, inside a block by the documents' own places; mix_order goes."""
-    columns = [c for c in mixed.columns if c != "mix_order"]
-    return mixed.orderBy("mix_order", digest(F.col(doc_id), seed, "in"), doc_id, F.xxhash64(*columns)).select(*columns)
+def in_order(mixed: DataFrame, seed: int = 1, doc_id: str = "doc_id", order: str = "mix_order") -> DataFrame:
+    """The rows of :func:`mix` in its order: by mix_order, inside a block by the documents' own places."""
+    rest = [c for c in mixed.columns if c != order]
+    return mixed.orderBy(order, digest(F.col(doc_id), seed, "in"), doc_id, F.xxhash64(*rest))

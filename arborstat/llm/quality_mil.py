@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
+from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
 from arborstat.llm.jaccard_join import texts_of
 from arborstat.session import cut_lineage, release
 
@@ -138,9 +138,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     A null text counts as empty, one passage without features. Without labels of both
     kinds every score is the smoothed base rate. Equal texts get equal scores; an empty
-    table gives an empty one; columns named like the outputs must not be kept.
+    table gives an empty one; columns named like the outputs cannot be kept (ValueError).
     """
     keep = docs.columns if keep is None else keep
+    refuse_clash(keep, ["score", "predicted"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.llm.common import bind, whole_text
+from arborstat.llm.common import bind, refuse_clash, whole_text
 from arborstat.session import cut_lineage, release
 
 #: Rows on which costs and selectivities are estimated, about.
@@ -162,8 +162,9 @@ def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated`` percent of
     them in repeated windows. kept: not base_failed and no rule rejects. A null text has no
     words (base_failed). Equal texts get equal results, an empty table gives an empty one;
-    columns named like the outputs must not be there before. Rows stay where they are.
+    columns named like the outputs end in a ValueError. Rows stay where they are.
     """
+    refuse_clash(docs.columns, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
     order = [rule for rule, _, _ in estimate(docs, rules, text)]
     t = whole_text(text)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines")

@@ -87,8 +87,11 @@ g as (select s, block, sum(tokens) tokens, any_value(epochs) epochs, any_value(r
     ('0x' || substr(md5(s || ':' || block || ':' || any_value(epochs) || ':1'), 1, 15))::bigint turn from e group by s, block),
 u as (select *, sum(tokens) over (partition by s order by turn, block rows unbounded preceding) upto from g),
 k as (select e.*, upto <= u.rest whole, u.rest - upto + u.tokens room, sum(e.tokens) over (partition by e.s, e.block order by inner_place) so_far from e join u on e.s = u.s and e.block = u.block),
-c as (select *, epochs + case when whole or (room > 0 and so_far <= room) then 1 else 0 end copies from k)
-select doc_id, source, tokens n_tokens, unnest(range(copies))::int epoch from c where copies > 0
+c as (select *, epochs + case when whole or (room > 0 and so_far <= room) then 1 else 0 end copies from k),
+z as (select doc_id, source, s, tokens, block, times, unnest(range(copies)) epoch from c where copies > 0)
+select doc_id, source, tokens n_tokens, epoch::int epoch,
+  round((epoch + ('0x' || substr(md5(s || ':' || block || ':' || epoch || ':1'), 1, 15))::bigint / 1152921504606846976.0::double) / times, 9) mix_order
+from z
 """
 
 
@@ -96,7 +99,8 @@ select doc_id, source, tokens n_tokens, unnest(range(copies))::int epoch from c
 def temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as there are, sources as even as a repetition limit of 1.25 allows; a row per copy taken, in the order of the mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", mixing.words().alias("n_tokens"))
-    return mixing.in_order(mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch", "mix_order"))
+    mixed = mixing.in_order(mixing.mix(docs, max_repeats=1.25).select("doc_id", "source", "n_tokens", "epoch", "mix_order"))
+    return mixed.withColumn("mix_order", F.round("mix_order", 9))
 
 
 RULES_SQL = r"""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.llm.common import bind, whole_text
+from arborstat.llm.common import bind, refuse_clash, whole_text
 from arborstat.session import cut_lineage, release
 
 #: Alternatives of one rule that are told apart; beyond that the rule reads every document.
@@ -144,9 +144,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", s
     """``docs`` with ``spans``: array of (start, order, stop, kind), by start and then as the rules are listed.
 
     start and stop count code points. A null text counts as empty. Rows with equal texts
-    get equal spans; rows stay as they are otherwise, other columns included (``spans``
-    must not be one of them). An empty table gives an empty one.
+    get equal spans; rows stay as they are otherwise, other columns included (one named ``spans``
+    ends in a ValueError). An empty table gives an empty one.
     """
+    refuse_clash(docs.columns, [spans])
     index = cut_lineage(postings(docs, rules, text))
     found = cut_lineage(candidates(index, rules).select(F.col("doc.a").alias("__a"), F.col("doc.b").alias("__b"), F.col("kinds").alias("__kinds")))
     release(index)

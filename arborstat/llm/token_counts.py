@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from arborstat.llm.bpe import WORD, ByteBpe
-from arborstat.llm.common import in_groups, schema_of, whole_text, with_columns
+from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -158,11 +158,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: list[str]
     """``keep`` columns with n_bytes (UTF-8), n_tokens (long) and over_limit (n_tokens > ``limit``) of each row's whole text.
 
     Null texts count as empty: no bytes, no tokens. Repeated rows count alike; an empty
-    table gives an empty one. Columns named like the outputs must not be kept. Memory
+    table gives an empty one. Columns named like the outputs cannot be kept (ValueError). Memory
     for a text's tokens is bounded by the chunk, unless one word is longer. Rows stay
     where they are.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
+    refuse_clash(keep, ["n_bytes", "n_tokens", "over_limit"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path, chunk, overlap)

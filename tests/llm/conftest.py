@@ -22,3 +22,13 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def clash_docs(spark):
+    """Documents with columns of the very names that operators use or add, each with a value of its own."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"the quick brown fox number {i} runs over the lazy dog and on", "en" if i % 2 else "de", "ab"[i % 3 == 0], 60) for i in range(30)]
+    names = ("times", "block", "blocks", "epoch", "epochs", "mix_order", "turn", "room", "cut", "score", "lang_pred", "spans", "ids", "n_tokens", "decoded", "kept", "n_words", "t", "l", "h", "word", "root", "same", "a", "b")
+    return spark.createDataFrame(rows, DOCS).withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id")) for n in names})

@@ -214,3 +214,50 @@ def test_topk_with_many_rows_of_the_query_id(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = sorted((r.rank, r.vec_id) for r in K.search(df, F.col("vec_id") == 0, 10).collect())
     assert got == [(k, 30 - k) for k in range(1, 11)]
+
+
+def test_blocks_give_the_messages_of_single_words():
+    """Marginals and transitions of block-wise messages against the plain recursion in doubles, long sequences included."""
+    rng = np.random.default_rng(5)
+    for sizes in ([1, 2, 3, 0, 4, 5], [700, 33, 1, 650], [0], [4097]):
+        counts, langs = np.array(sizes), 3
+        step, first = rng.normal(0, 2, (langs, langs)), rng.normal(0, 1, langs)
+        emitted = rng.normal(0, 3, (counts.sum(), langs))
+        m = C.Model(list("abc"), np.zeros((2, langs), np.float32), np.zeros(0, np.uint64), np.zeros((1, langs), np.float32), step.astype(np.float32), first.astype(np.float32))
+        got, moves = m.marginals(emitted.astype(np.float32), counts, pairs=True)
+        want, sums, at = [], np.zeros((langs, langs)), 0
+        for n in counts:
+            e, at = np.exp(emitted[at : at + n]), at + n
+            forth, back = np.zeros((n, langs)), np.ones((n, langs))
+            for t in range(n):
+                x = np.exp(first) if t == 0 else forth[t - 1] @ np.exp(step)
+                forth[t] = x * e[t] / (x * e[t]).sum()
+            for t in range(n - 2, -1, -1):
+                y = np.exp(step) @ (e[t + 1] * back[t + 1])
+                back[t] = y / y.sum()
+            for t in range(n - 1):
+                joint = forth[t][:, None] * np.exp(step) * e[t + 1] * back[t + 1]
+                sums += joint / joint.sum()
+            want.append(forth * back / (forth * back).sum(1, keepdims=True))
+        assert np.allclose(got, np.concatenate(want), atol=1e-4) and np.allclose(moves, sums, rtol=1e-3, atol=1e-3)
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    m = C.fit([("the quick fox jumps over it", "en"), ("der schnelle fuchs springt darüber", "de")])
+    texts = ["the fox " * 300 + "der fuchs ist schnell\n" * 50, "", "kurz", "x" * 500]
+    whole, n = m.emitted(texts)
+    monkeypatch.setattr(C, "GROUP", 64)
+    parts, k = m.emitted(texts)
+    assert list(n) == list(k) and np.allclose(whole, parts, atol=1e-5)
+    assert "".join(C.pieces(texts[0])) == texts[0] and max(map(len, C.pieces(texts[0]))) < 90
+
+
+def test_lexicon_counts_all_learnable_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(C, "LEXICON", 2)
+    rows = [("aa aa aa bb bb cc", "en"), ("bb bb dd", "en"), ("zz", "de"), (None, "de"), ("", "de"), ("qq qq", None)]
+    got = C.frequent_words(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    want = C.words_of(["aa bb zz"], grams=False).whole
+    assert sorted(got.tolist()) == sorted(want.tolist())
+    assert len(C.frequent_words(spark.createDataFrame([], "text string, lang string"), F.lit(True))) == 0
