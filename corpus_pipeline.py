@@ -14,8 +14,8 @@ from arborstat.llm.common import held_out, table, whole_text
 from arborstat.llm.queries import tokenizer_path
 from arborstat.session import cut_lineage
 
-#: Mean marginal of the best language below which a text counts as being in none.
-LEAST_LANGUAGE = 0.3
+#: The best of L mean marginals is 1/L at least; a text whose best one covers less of the rest up to 1 counts as being in no language.
+LEAST_LANGUAGE = 0.05
 #: No source is read more than so many times as often as another.
 MOST_REPEATS = 1.25
 
@@ -23,8 +23,10 @@ MOST_REPEATS = 1.25
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; texts without letters and texts of no language go."""
     model = language_crf.train(docs, ~held_out())
-    marked = language_crf.predict(docs.withColumn("__kept", F.col("text")), model, text="__kept", keep=docs.columns)
-    return marked.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    marked = language_crf.predict(docs.withColumn("__kept", F.col("text")), model, text="__kept", keep=docs.columns, outputs=("__lang", "__score"))
+    least = 1 / max(len(model.langs), 1)
+    known = (F.col("__lang") != language_crf.UNKNOWN) & (F.col("__score") >= least + LEAST_LANGUAGE * (1 - least))
+    return marked.where(known).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The table is written in the order of the mix.
     """
-    return mixing.in_order(mixing.mix(docs, max_repeats=MOST_REPEATS, budget="cover").select(*docs.columns, "mix_order"))
+    mixed = mixing.mix(docs, max_repeats=MOST_REPEATS, budget="cover", outputs=("__epoch", "__order"))
+    return mixing.in_order(mixed.select(*docs.columns, "__order"), order="__order").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
