@@ -229,6 +229,18 @@ def _(t):
     return C.reconnect(c, s, 2.2, 2, SP)
 
 
+@query("g13_growing_reconnection", "voxels", VC + """, pd as (select a.scan_id, ca.rk as r, cb.rk as s, min(sqrt(pow((a.z-b.z)*1.25,2)+pow((a.y-b.y)*0.7,2)+pow((a.x-b.x)*0.7,2))) as d
+  from cs ca join cs cb on ca.scan_id=cb.scan_id and cb.rk<ca.rk and ca.rk<=11 and ca.n>=2 and (cb.n>=2 or cb.rk=1) join vc a on a.scan_id=ca.scan_id and a.component=ca.component join vc b on b.scan_id=cb.scan_id and b.component=cb.component group by 1,2,3),
+pl as (select scan_id, r, list({'s': s, 'd': d}) as near from pd group by 1,2),
+g as (select scan_id, 1::bigint as k, [1::bigint] as joined, null::double as d from cs where rk=1
+  union all select scan_id, k, case when d<=2.2 then list_append(joined,k) else joined end, d from (select g.scan_id, g.k+1 as k, g.joined, list_min(list_transform(list_filter(pl.near, lambda p: list_contains(g.joined, p.s)), lambda p: p.d)) as d
+   from g left join pl on pl.scan_id=g.scan_id and pl.r=g.k+1 where g.k<11))
+select cs.scan_id, cs.component, rk::int as rank, n as voxel_count, round(d,6) as distance, d<=2.2 as reconnected from g join cs on cs.scan_id=g.scan_id and cs.rk=g.k where k>1 and d is not null""")
+def _(t):
+    c, s = comp(t)
+    return C.grow_main(c, s, 2.2, 2, 10, SP).withColumn("distance", r6("distance"))
+
+
 CAND = """, cd as (select l_suppkey as scan_id, l_orderkey*8+l_linenumber as seq, max(l_returnflag) as method, max(l_quantity)::int as z, (max(l_partkey)%400)::int as y, (max(l_orderkey)%400)::int as x, 1+max(l_discount)*10 as weight from lineitem group by 1,2),
 sc as (select a.scan_id, a.seq, a.method, a.z, a.y, a.x, a.weight+coalesce(sum(b.weight*(1-sqrt((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))/25.0::double)),0) as score from cd a left join cd b on a.scan_id=b.scan_id and a.seq<>b.seq
   and (a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)<625 group by a.scan_id,a.seq,a.method,a.z,a.y,a.x,a.weight),

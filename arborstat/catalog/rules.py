@@ -12,6 +12,7 @@ from arborstat.operators import branches, longitudinal, rules
 from arborstat.operators.comparison import extract_report_metrics, extract_section
 from arborstat.sources.readers import read_documents
 from arborstat.sources.writers import write_table
+from arborstat.streaming.qc_stream import first_sent, start_qc, stream_cases
 
 METRICS = {m: m for m in ("airway_volume_ml", "max_generation", "pc_ratio", "branch_count", "tapering_ratio", "tortuosity")}
 
@@ -268,17 +269,26 @@ def _(t):
     return case_status(t).groupBy("status").agg(r6(F.avg("n_failed")).alias("mean_failed"))
 
 
-@query("i06_qc_batch", "cases", Q_SQL + """, l as (
+def batch_sql(absent: str, failed: str) -> str:
+    """The QC batch over cases, of which some have no inputs (``absent``) and some ``failed`` to load."""
+    return Q_SQL + f""", l as (
   select case_id, 'airway_volume_ml' as metric, coalesce(airway_volume_ml,0) as value, 5.0::double as lo, 600.0::double as hi from q union all
   select case_id, 'max_generation', max_generation, 5, 35 from q union all select case_id, 'pc_ratio', pc_ratio, 0, 5 from q union all
   select case_id, 'branch_count', branch_count, 50, 5000 from q union all select case_id, 'tapering_ratio', tapering_ratio, 0.5, 1 from q union all
   select case_id, 'tortuosity', tortuosity, 1, 3 from q),
-k as (select case_id, metric, value, case when value between lo and hi then 'PASS' else 'FAIL' end as st from l where value is not null and case_id%23<>0),
+k as (select case_id, metric, value, case when value between lo and hi then 'PASS' else 'FAIL' end as st from l where value is not null and not ({absent})),
 w as (select case_id, count(*) as c, count(*) filter (where st='PASS') as p, """ + ", ".join(
-    f"max(value) filter (where metric='{m}') as {m}_value, max(st) filter (where metric='{m}') as {m}_status" for m in METRICS) + """ from k group by 1)
-select q.case_id, case when q.case_id%23=0 then 'SKIPPED' when q.case_id%29=0 then 'ERROR' when c=p then 'RELIABLE' else 'UNRELIABLE' end as status,
+        f"max(value) filter (where metric='{m}') as {m}_value, max(st) filter (where metric='{m}') as {m}_status" for m in METRICS) + f""" from k group by 1)
+select q.case_id, case when {absent} then 'SKIPPED' when {failed} then 'ERROR' when c=p then 'RELIABLE' else 'UNRELIABLE' end as status,
  coalesce(c,0)::int as tech_checks, coalesce(p,0)::int as tech_passed, coalesce(c-p,0)::int as tech_failed, """ + ", ".join(
-    f"round({m}_value,6) as {m}_value, {m}_status" for m in METRICS) + " from q left join w using (case_id)")
+        f"round({m}_value,6) as {m}_value, {m}_status" for m in METRICS) + " from q left join w using (case_id)"
+
+
+def summary_columns(df):
+    return df.select("case_id", "status", "tech_checks", "tech_passed", "tech_failed", *[c for m in METRICS for c in (r6(f"{m}_value").alias(f"{m}_value"), f"{m}_status")])
+
+
+@query("i06_qc_batch", "cases", batch_sql("case_id%23=0", "case_id%29=0"))
 def _(t):
     """Cases meet the documents that were written for them: some have none, and some cannot be read."""
     p = folder(t, "cases")
@@ -291,4 +301,19 @@ def _(t):
         qc_inputs(t).join(found, "case_id", "left"), "case_id", METRICS, present=F.col("found").isNotNull(), failed=F.coalesce("broken", F.lit(False)),
         zero_if_missing=("airway_volume_ml",),
     )
-    return out.select("case_id", "status", "tech_checks", "tech_passed", "tech_failed", *[c for m in METRICS for c in (r6(f"{m}_value").alias(f"{m}_value"), f"{m}_status")])
+    return summary_columns(out)
+
+
+@query("i06_qc_stream", "cases", batch_sql("false", "false"))
+def _(t):
+    """Documents come in two deliveries, some of the first again in the second; the stream is stopped between them."""
+    p = folder(t, "stream")
+    docs = qc_inputs(t).withColumn("sent", F.timestamp_seconds(1_700_000_000 + F.pmod("case_id", F.lit(1200))))
+    again = F.col("case_id") % 6 == 0
+    for part, mine in enumerate((F.col("case_id") % 2 == 0, (F.col("case_id") % 2 == 1) | again)):
+        late = F.expr(f"sent + interval {30 * part} minutes")
+        write_table(docs.where(mine).withColumn("sent", late), f"{p}/in", "parquet", mode="append")
+        arriving = first_sent(stream_cases(t.spark, f"{p}/in", docs.schema, "parquet"), "case_id", "sent", "2 hours")
+        start_qc(arriving, "case_id", METRICS, F.lit(True), f"{p}/out", f"{p}/state", ("airway_volume_ml",)).awaitTermination()
+    return summary_columns(t.spark.read.parquet(f"{p}/out"))
+

@@ -161,6 +161,36 @@ def reconnect(comp: DataFrame, stats: DataFrame, max_mm: float, min_voxels: int
     )
 
 
+def grow_main(comp: DataFrame, stats: DataFrame, max_mm: float, min_voxels: int = 1, limit: int = 10, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """The next ``limit`` components by size meet a main set that grows: (scan_id, component, rank, voxel_count, distance, reconnected).
+
+    Largest first, each joins if its closest point lies within ``max_mm`` of the main
+    component or of one that joined before it; distance is to the set as it is then.
+    One that is met too early stays out though a later one would have linked it, which
+    is where this differs from :func:`reconnect`. Components of fewer than
+    ``min_voxels`` are passed over and use up their place. Bridges carry no voxels.
+    """
+    top = largest(stats, limit + 1).where((F.col("rank") == 1) | (F.col("voxel_count") >= min_voxels)).select("scan_id", "component", "voxel_count", "rank")
+    top = cut_lineage(top)
+    points = cut_lineage(comp.join(top, ["scan_id", "component"]).select(*POSITION, "component", "rank"))
+    # Every component is measured from the larger ones, so its voxels are copied ``limit`` times at most.
+    larger = top.select("scan_id", F.col("rank").alias("to"))
+    a = points.join(larger, "scan_id").where(F.col("to") < F.col("rank"))
+    b = points.select("scan_id", F.col("rank").alias("to"), "z", "y", "x")
+    near = closest_pairs(a, b, ["scan_id", "to"], "component", spacing).groupBy("scan_id", "component").agg(F.collect_list(F.struct("to", "distance")).alias("near"))
+    steps = top.where("rank > 1").join(near, ["scan_id", "component"]).groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("rank", "component", "voxel_count", "near"))).alias("steps"))
+
+    def step(acc: Column, s: Column) -> Column:
+        d = F.array_min(F.transform(F.filter(s["near"], lambda n: F.array_contains(acc["joined"], n["to"])), lambda n: n["distance"]))
+        joins = d <= max_mm
+        row = F.struct(s["component"].alias("component"), s["rank"].alias("rank"), s["voxel_count"].alias("voxel_count"), d.alias("distance"), joins.alias("reconnected"))
+        return F.struct(F.when(joins, F.array_append(acc["joined"], s["rank"])).otherwise(acc["joined"]).alias("joined"), F.array_append(acc["out"], row).alias("out"))
+
+    kind = "struct<joined:array<int>,out:array<struct<component:bigint,rank:int,voxel_count:bigint,distance:double,reconnected:boolean>>>"
+    grown = F.aggregate("steps", F.struct(F.array(F.lit(1)).alias("joined"), F.array().alias("out")).cast(kind), lambda acc, s: step(acc, s).cast(kind), lambda acc: acc["out"])
+    return steps.select("scan_id", F.inline(grown))
+
+
 def consensus(candidates: DataFrame, radius: int = 25) -> DataFrame:
     """Best candidate per scan by its weight plus distance-discounted support of the others.
 

@@ -1,5 +1,6 @@
 """Scale plans against brute force, on data where one key holds a third of the rows."""
 
+import math
 import random
 from collections import defaultdict, deque
 from itertools import product
@@ -354,3 +355,33 @@ def test_alternating_lines_make_pairs_linear_in_their_runs(spark):
 def test_voxel_ids_refuse_positions_out_of_range(spark):
     with pytest.raises(Exception, match="2097151"):
         spark.range(1).select(C.voxel_id(F.lit(0), F.lit(1 << 21), F.lit(0))).collect()
+
+
+def greedy(parts, max_mm, min_voxels, limit):
+    """Largest first against a growing set, by plain loops: {rank: (distance, joined)}."""
+    order = sorted(parts, key=lambda c: (-len(parts[c]), c))
+    main, out = list(parts[order[0]]), {}
+    for c in order[1 : limit + 1]:
+        if len(parts[c]) >= min_voxels:
+            d = min(math.dist(p, q) for p in parts[c] for q in main)
+            out[c] = (round(d, 9), d <= max_mm)
+            if d <= max_mm:
+                main += parts[c]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_growing_reconnection_is_the_greedy_run(spark, seed):
+    rng = random.Random(seed)
+    scans = {0: {1: [(0, 0, x) for x in range(9)], 2: [(0, 0, x) for x in range(14, 17)], 3: [(0, 0, 11), (0, 0, 12)]}}  # 2 is met before 3, which would have linked it
+    scans[1] = {1: [(0, 0, x) for x in range(9)], 2: [(0, 0, x) for x in range(11, 14)], 3: [(0, 0, 16), (0, 0, 17)]}  # 3 joins through 2
+    for s in (2, 3, 4):
+        scans[s] = {c: rng.sample([(z, y, x) for z in range(2) for y in range(3) for x in range(5 * c, 5 * c + 4)], rng.randint(1, 9)) for c in range(14)}
+    rows = [(s, c, *p) for s, parts in scans.items() for c, ps in parts.items() for p in ps]
+    comp = spark.createDataFrame(rows, "scan_id long, component long, z int, y int, x int").withColumn("hu", F.lit(0.0))
+    got = C.grow_main(comp, C.component_stats(comp), 3.0, 2, 10).collect()
+    want = {(s, c): v for s, parts in scans.items() for c, v in greedy(parts, 3.0, 2, 10).items()}
+    assert {(r.scan_id, r.component): (round(r.distance, 9), r.reconnected) for r in got} == want
+    assert not want[0, 2][1] and want[0, 3][1] and want[1, 3][1]
+    alone = comp.where("component = 1")
+    assert C.grow_main(alone, C.component_stats(alone), 3.0).count() == 0

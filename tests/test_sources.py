@@ -1,12 +1,13 @@
 """Readers and writers on small files, and the stream."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from arborstat.sources import readers as R, schemas, writers as W
-from arborstat.streaming.qc_stream import start_qc, stream_cases
+from arborstat.streaming.qc_stream import first_sent, start_qc, stream_cases
 
 
 def test_documents_keyed_by_directory(spark, tmp_path):
@@ -93,3 +94,15 @@ def test_checks_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = {r["status"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("status").count().collect()}
     assert out == {"UNRELIABLE": 5, "RELIABLE": 35}
+
+
+def test_stream_drops_what_is_sent_again_and_goes_on_after_a_stop(spark, tmp_path):
+    schema = "id long, airway_volume_ml double, sent timestamp"
+    row = lambda i, volume, minute: (i, float(volume), datetime(2024, 1, 1, minute // 60, minute % 60))
+    deliveries = [[row(1, 100, 0), row(2, 1, 1), row(2, 1, 1)], [row(1, 100, 30), row(3, 200, 31), row(2, 1, 2)]]
+    for rows in deliveries:
+        W.write_table(spark.createDataFrame(rows, schema), str(tmp_path / "in"), mode="append")
+        cases = first_sent(stream_cases(spark, str(tmp_path / "in"), schema, "parquet"), "id", "sent", "2 hours")
+        start_qc(cases, "id", {"airway_volume_ml": "airway_volume_ml"}, F.lit(True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = sorted((r["id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "RELIABLE"), (2, "UNRELIABLE"), (3, "RELIABLE")]
