@@ -28,6 +28,8 @@ PER_LANG = 300
 SAMPLE_CHARS = 20_000
 #: Frequent words of each language in the lexicon, at most.
 LEXICON = 500
+#: Shares of the words whose most frequent ones are found apart.
+SHARES = 16
 #: Words of a stretch that training takes at once.
 STRETCH = 64
 EPOCHS = 6
@@ -276,8 +278,12 @@ def frequent_words(docs: DataFrame, learn: Column, text: str = "text", lang: str
 
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     sums = rows.mapInArrow(count, "l string, w long, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))  # a limit of LEXICON goes below the shuffle
-    top = sums.withColumn("r", rank).where(F.col("r") <= LEXICON).select("w").distinct()
+    # First the best of each share of the words, so that a language's last ranking reads SHARES * LEXICON rows at most.
+    top = sums.withColumn("share", F.pmod(F.xxhash64("w"), F.lit(SHARES)))
+    for keys in (["l", "share"], ["l"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "w"))
+        top = top.withColumn("r", rank).where(F.col("r") <= LEXICON).drop("r")
+    top = top.select("w").distinct()
     return np.unique(np.array([r["w"] for r in top.collect()], np.int64).view(np.uint64))
 
 
