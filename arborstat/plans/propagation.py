@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.session import cut_and_count, cut_lineage, release
+from arborstat.session import cut_and_count, cut_lineage, release, spread
 
 
 def both_ways(edges: DataFrame, keys: list[str], *extra: str) -> DataFrame:
@@ -35,8 +35,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
     some = F.lit(True)
     arcs, left = cut_and_count(edges.where("src <> dst").select(*keys, big.alias("src"), small.alias("dst")).distinct(), some)
     rounds: list[DataFrame] = []
+    tables: list[DataFrame] = []
+    hooked = 0
     while left:
-        hook = _follow(arcs.groupBy(*keys, "src").agg(F.min("dst").alias("to")), keys)
+        followed = _follow(arcs.groupBy(*keys, "src").agg(F.min("dst").alias("to")), keys, left)
+        tables.append(followed)
+        hook = spread(followed, left)
+        hooked += left
         rounds.append(hook)
         down = hook.select(*keys, F.col("src").alias("dst"), F.col("to").alias("to2"))
         moved = arcs.join(hook, [*keys, "src"]).join(down, [*keys, "dst"], "left").select(
@@ -51,24 +56,24 @@ def connected_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) ->
         if ends is None:
             ends = hook
         else:
-            later = ends.select(*keys, F.col("src").alias("to"), F.col("to").alias("end"))
+            later = spread(ends.select(*keys, F.col("src").alias("to"), F.col("to").alias("end")), hooked)
             ends = hook.join(later, [*keys, "to"], "left").select(*keys, "src", F.coalesce("end", "to").alias("to")).unionByName(ends)
     every = nodes.select(*keys, "node").distinct()
     if ends is None:
         return every.withColumn("component", F.col("node"))
-    root = ends.select(*keys, F.col("src").alias("node"), "to")
+    root = spread(ends.select(*keys, F.col("src").alias("node"), "to"), hooked)
     out = cut_lineage(every.join(root, [*keys, "node"], "left").select(*keys, "node", F.coalesce("to", "node").alias("component")))
-    release(arcs, *rounds)
+    release(arcs, *tables)
     return out
 
 
-def _follow(hook: DataFrame, keys: list[str]) -> DataFrame:
-    """Let every pointer ``src -> to`` lead to the end of its chain; pointers only ever decrease."""
+def _follow(hook: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Let every pointer ``src -> to`` (``rows`` at most) lead to the end of its chain; pointers only ever decrease."""
     last, moved = cut_lineage(hook), 1
     while moved:
         out = last
         for _ in range(2):  # each time, chains get half as long
-            nxt = out.select(*keys, F.col("src").alias("to"), F.col("to").alias("next"))
+            nxt = spread(out.select(*keys, F.col("src").alias("to"), F.col("to").alias("next")), rows)
             out = out.select(*keys, "src", "to").join(nxt, [*keys, "to"], "left").select(*keys, "src", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
         out, moved = cut_and_count(out, F.col("moved"))
         release(last)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborstat.session import cut_lineage, release
+from arborstat.session import cut_lineage, release, spread
 
 AXES = ("z", "y", "x")
 
@@ -43,18 +43,19 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
 
     both = a.select(*keys, *[F.col(f"a{c}").alias(c) for c in AXES]).unionByName(b.select(*keys, *[F.col(f"b{c}").alias(c) for c in AXES]))
     widest = F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("w")
-    level = (both.groupBy(*keys).agg(widest).agg(F.max("w")).first()[0] or 0).bit_length()
+    width, rows = both.groupBy(*keys).agg(widest, F.count("*").alias("n")).agg(F.max("w"), F.sum("n")).first()
+    level, rows = (width or 0).bit_length(), rows or 0
     pairs, table = None, []
     while True:
         ca, cb = boxes(a, "a", level, [group]), boxes(b, "b", level, [])
         if pairs is None:
-            joined = ca.join(cb, keys)  # eight boxes at most of a volume and of a group in it
+            joined = ca.join(spread(cb, rows), keys)  # eight boxes at most of a volume and of a group in it
         else:
             up = prev - level
             pa = ca.select("*", *[F.shiftright(f"a{c}", up).alias(f"pa{c}") for c in AXES])
             pb = cb.select("*", *[F.shiftright(f"b{c}", up).alias(f"pb{c}") for c in AXES])
             parent = pairs.select(*keys, group, *[F.col(f"{s}{c}").alias(f"p{s}{c}") for s in "ab" for c in AXES])
-            joined = parent.join(pa, [*keys, group, *[f"pa{c}" for c in AXES]]).join(pb, [*keys, *[f"pb{c}" for c in AXES]])
+            joined = parent.join(spread(pa, rows), [*keys, group, *[f"pa{c}" for c in AXES]]).join(spread(pb, rows), [*keys, *[f"pb{c}" for c in AXES]])
         lo, hi = bounds(level)
         joined = joined.select(*keys, group, *[f"{s}{c}" for s in "ab" for c in AXES], lo.alias("lo"), hi.alias("hi"))
         if level == 0:
@@ -64,7 +65,7 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
         before, table = table, cut_lineage(joined)
         release(*before)
         limit = table.groupBy(*keys, group).agg(F.min("hi").alias("limit"))
-        pairs = table.join(limit, [*keys, group]).where(F.col("lo") <= F.col("limit")).drop("lo", "hi", "limit")
+        pairs = table.join(spread(limit, rows), [*keys, group]).where(F.col("lo") <= F.col("limit")).drop("lo", "hi", "limit")
         prev, level, table = level, level - 1, [table]
 
 
@@ -113,11 +114,11 @@ def linked_groups(points: DataFrame, keys: list[str], group: str, radius: float,
                 b = b.withColumn("__s", F.explode(steps)).withColumn(f"pb{c}", F.col(f"b{c}") + F.col("__s")).drop("__s")
             a = side("a", level)
             on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col(f"l.a{c}") == F.col(f"r.pb{c}") for c in AXES] + [F.col("src") < F.col("dst")]
-            pairs = a.alias("l").join(b.alias("r"), on).select(*[F.col(f"l.{k}") for k in keys], "src", "dst", *[f"{s}{c}" for s in "ab" for c in AXES])
+            pairs = a.alias("l").join(spread(b.alias("r")), on).select(*[F.col(f"l.{k}") for k in keys], "src", "dst", *[f"{s}{c}" for s in "ab" for c in AXES])
         else:
             up = prev - level
             parent = near.select(*keys, "src", "dst", *[F.col(f"{s}{c}").alias(f"p{s}{c}") for s in "ab" for c in AXES])
-            pairs = parent.join(side("a", level, up), [*keys, "src", *[f"pa{c}" for c in AXES]]).join(side("b", level, up), [*keys, "dst", *[f"pb{c}" for c in AXES]])
+            pairs = parent.join(spread(side("a", level, up)), [*keys, "src", *[f"pa{c}" for c in AXES]]).join(spread(side("b", level, up)), [*keys, "dst", *[f"pb{c}" for c in AXES]])
         width = (1 << level) - 1
         lo, hi = F.lit(0.0), F.lit(0.0)
         for c in AXES:
@@ -130,7 +131,7 @@ def linked_groups(points: DataFrame, keys: list[str], group: str, radius: float,
         found.append(done)
         if level == 0:
             break
-        near = pairs.join(done, [*keys, "src", "dst"], "left_anti")
+        near = pairs.join(spread(done), [*keys, "src", "dst"], "left_anti")
         prev, level = level, max(0, level - 2)
     out = found[0]
     for f in found[1:]:

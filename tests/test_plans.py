@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from arborstat import session
 from arborstat.operators import components as C, graphs as G, longitudinal as L, voxels as V
 from arborstat.plans import ordered, proximity, selection
 from arborstat.plans.propagation import both_ways, connected_components, propagate
@@ -385,3 +386,15 @@ def test_growing_reconnection_is_the_greedy_run(spark, seed):
     assert not want[0, 2][1] and want[0, 3][1] and want[1, 3][1]
     alone = comp.where("component = 1")
     assert C.grow_main(alone, C.component_stats(alone), 3.0).count() == 0
+
+
+def test_component_steps_broadcast_no_large_table(spark, monkeypatch):
+    """Files of runs and links are small as their keys repeat; what decides is the number of rows."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    rows = [(s, z, y, x, 0, 1) for s in range(3) for z in range(4) for y in range(4) for x in range(4) if (x + y + z + s) % 3]
+    voxels = spark.createDataFrame(rows, "scan_id long, z int, y int, x int, hu int, label int")
+    comp = session.cut_lineage(C.voxel_components(voxels))
+    stats = session.cut_lineage(C.component_stats(comp))
+    plans = [C.voxel_components(voxels), C.keep_largest(comp, stats), C.remove_small(comp, stats, 2), C.fragmentation(stats), C.triage(comp, stats, 1.5, 2, 6), C.reconnect(comp, stats, 2.2, 2)]
+    for df in plans:
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
