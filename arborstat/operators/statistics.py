@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from arborstat.functions.numeric import count_if, dbl, intercept, pearson, ratio, slope
 from arborstat.operators.comparison import unpivot_metrics
 from arborstat.plans.selection import running_totals
+from arborstat.session import cut_lineage, spread
 
 
 def long_pairs(df: DataFrame, key: str, features: list[str], targets: list[str]) -> DataFrame:
@@ -48,8 +49,11 @@ def with_average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str])
     Rows are folded to distinct values with counts first, all columns together; the ranks
     are running totals of those, and rows meet them by value. A key with most of the rows
     is spread over all tasks. Rows with a null key or value are left out.
+
+    ``df`` is written once: a mean computed twice may differ in its last bit, and its row
+    would then meet no rank.
     """
-    names = list(columns)
+    names, df = list(columns), cut_lineage(df)
     long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__c"), dbl(c).alias("__v")) for i, c in enumerate(names)]))).where("__v is not null")
     folded = long.groupBy(*keys, "__c", "__v").agg(F.count("*").alias("__n"))
     before = running_totals(folded, [*keys, "__c", "__v"], "__n", "__before")
@@ -58,7 +62,7 @@ def with_average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str])
     out = df
     for i, (c, name) in enumerate(columns.items()):
         of = ranks.where(F.col("__c") == i).select(*keys, F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(name))
-        out = out.withColumn(f"__v{i}", dbl(c)).join(of, [*keys, f"__v{i}"]).drop(f"__v{i}")
+        out = out.withColumn(f"__v{i}", dbl(c)).join(spread(of), [*keys, f"__v{i}"]).drop(f"__v{i}")
     return out
 
 
