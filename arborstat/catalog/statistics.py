@@ -52,14 +52,22 @@ def p_sql(r: str, n: str) -> str:
     return f"({tail}*(1-abs({r}))/{whole})"
 
 
-# Simpson's rule over the null density of r, (1-u^2)^((n-4)/2).
-P_SQL = LONG + f""", c as (select feature, target, count(*) as n, abs({r_sql('y', 'x')}) as a, {r_sql('y', 'x')} as r from l group by 1,2),
+def p_near_sql(r: str, n: str) -> str:
+    """:func:`p_sql` for any n: the density is narrow for many rows, so the rule's steps cover 40 of its standard deviations, 1/sqrt(n), and not all up to 1."""
+    density = f"case when i in (0,20000) then 1 when i%2=1 then 4 else 2 end*pow(1-pow({{u}},2),({n}-4)/2.0::double)"
+    wide, end = f"least(1::double,40/sqrt({n}))", f"least(1::double,abs({r})+40/sqrt({n}))"
+    tail, whole = (f"list_sum(list_transform(range(0,20001), lambda i: {density.format(u=u)}))" for u in (f"least(1,abs({r})+({end}-abs({r}))*i/20000.0::double)", f"{wide}*i/20000.0::double"))
+    return f"({tail}*({end}-abs({r}))/({whole}*{wide}))"
+
+
+# Simpson's rule over the null density of r, (1-u^2)^((n-4)/2), as far as 40 of its standard deviations.
+P_SQL = LONG + f""", c as (select *, least(1::double,40/sqrt(n)) as b, least(1::double,a+40/sqrt(n)) as e from (select feature, target, count(*) as n, abs({r_sql('y', 'x')}) as a, {r_sql('y', 'x')} as r from l group by 1,2)),
  g as (select i, case when i in (0,20000) then 1 when i%2=1 then 4 else 2 end as w from range(0,20001) t(i)),
- q as (select feature, target, any_value(n) as n, any_value(r) as r, sum(w*pow(1-pow(least(1,a+(1-a)*i/20000.0::double),2),(n-4)/2.0::double))*any_value(1-a) as tail, sum(w*pow(1-pow(i/20000.0::double,2),(n-4)/2.0::double)) as whole from c, g group by 1,2)"""
+ q as (select feature, target, any_value(n) as n, any_value(r) as r, sum(w*pow(1-pow(least(1,a+(e-a)*i/20000.0::double),2),(n-4)/2.0::double))*any_value(e-a) as tail, sum(w*pow(1-pow(b*i/20000.0::double,2),(n-4)/2.0::double))*any_value(b) as whole from c, g group by 1,2)"""
 
 
 @query("h03_p_values", "cases", P_SQL + RANKS.removeprefix(LONG) + f""", rho as (select feature, target, count(*) as nn, {r_sql('ry', 'rx')} as rho from k group by 1,2)
-select feature, target, n, round(r,6) as pearson_r, round(tail/whole,6) as p_value, round(rho,6) as spearman_rho, round({p_sql('rho', 'nn')},6) as spearman_p from q join rho using (feature,target)""")
+select feature, target, n, round(r,6) as pearson_r, round(tail/whole,6) as p_value, round(rho,6) as spearman_rho, round({p_near_sql('rho', 'nn')},6) as spearman_p from q join rho using (feature,target)""")
 def _(t):
     c = S.with_p_values(S.pair_correlations(cases(t), FEATURES, TARGETS), "pearson_r", "n")
     s = S.with_p_values(S.spearman(cases(t), "case_id", FEATURES, TARGETS), "spearman_rho", "n", "spearman_p").drop("n")

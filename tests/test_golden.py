@@ -172,3 +172,15 @@ def test_ranks_of_values_that_change_when_computed_again(spark):
     df = spark.range(200).select(F.lit(1).alias("k"), again("id").alias("x"), F.col("id").cast("double").alias("y"))
     rows = statistics.with_average_ranks(df, ["k"], {"x": "rx", "y": "ry"}).collect()
     assert len(rows) == 200 and all(r["rx"] == r["ry"] for r in rows)
+
+
+def test_p_value_sql_of_many_rows():
+    """Compared without rounding: 20,000 steps up to 1 were too wide for 899,940 rows."""
+    import duckdb
+    import pandas as pd
+    from arborstat.catalog.statistics import p_near_sql
+    from arborstat.operators.statistics import correlation_p
+
+    for r, n in ((0.0006192810809921857, 899_940), (0.0006, 50_000_000), (0.3, 20)):
+        got = duckdb.sql(f"select {p_near_sql('r', 'n')} as p from (select {r!r}::double as r, {n}::bigint as n)").fetchall()[0][0]
+        assert got == pytest.approx(correlation_p(pd.Series([r]), pd.Series([n]))[0], abs=5e-9)
