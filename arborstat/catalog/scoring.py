@@ -100,7 +100,7 @@ GEN_SQL = """, g as (select scan_id, generation, sum(pi()*diameter_mean_mm*diame
 
 
 @query("c06_volume_distribution_score", "branches", GEN_SQL + """, n as (select *, lead(v) over w as nv, row_number() over w as i from g window w as (partition by scan_id order by generation)),
-a as (select scan_id, count(*) as k, count(*) filter (where v>nv) as dn, count(*) filter (where v>0 and (v-nv)/v>0.8) as ab, avg(v) filter (where i<=5) as m, stddev_pop(v) filter (where i<=5) as s from n group by 1),
+a as (select scan_id, count(*) as k, count(*) filter (where v-nv>abs(v)*1e-9) as dn, count(*) filter (where v>0 and (v-nv)/v>0.8+1e-9) as ab, avg(v) filter (where i<=5) as m, stddev_pop(v) filter (where i<=5) as s from n group by 1),
 b as (select scan_id, k, coalesce(dn/nullif(k-1,0)::double,0) as dr, ab, case when k>=5 and m>0 then s/m else 0 end as cv from a)
 select scan_id, round(dr,6) as decreasing_ratio, ab as abrupt_drops, round(cv,6) as early_cv, case when k<3 then 5 else least(10,
  (case when dr<0.6 then 3 when dr<0.8 then 1.5 else 0 end)+(case when ab>2 then 4 when ab>0 then 2 else 0 end)+(case when cv>1.5 then 3 when cv>1 then 1.5 else 0 end)) end::double as raw_score from b""")

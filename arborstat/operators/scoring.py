@@ -20,6 +20,10 @@ INPUTS = {
 }
 
 
+#: Relative difference up to which sums count as equal.
+SAME = 1e-9
+
+
 def component(name: str, profile: str = "scorer") -> tuple[Column, Column, Column]:
     """(raw score, wording, valid) of a component over the standard input columns."""
     if name == "peripheral_volume":
@@ -145,6 +149,7 @@ def volume_distribution(volumes: DataFrame) -> DataFrame:
     """Score the volume profile over generations of (scan_id, generation, volume_mm3).
 
     One row per generation, so the window holds a bounded number of rows per scan.
+    Volumes and drops that agree to a billionth are equal, whatever the order of the sums.
     """
     w = Window.partitionBy("scan_id").orderBy("generation")
     v, nxt = F.col("volume_mm3"), F.lead("volume_mm3").over(w)
@@ -152,8 +157,8 @@ def volume_distribution(volumes: DataFrame) -> DataFrame:
     early = F.when(F.col("__i") <= 5, v)
     a = s.groupBy("scan_id").agg(
         F.count("*").alias("n_generations"),
-        count_if(v > F.col("__next")).alias("__down"),
-        count_if((v > 0) & (F.try_divide(v - F.col("__next"), v) > 0.80)).alias("abrupt_drops"),
+        count_if(v - F.col("__next") > F.abs(v) * SAME).alias("__down"),
+        count_if((v > 0) & (F.try_divide(v - F.col("__next"), v) > 0.80 + SAME)).alias("abrupt_drops"),
         F.avg(early).alias("__m"), F.stddev_pop(early).alias("__s"),
     )
     a = a.withColumns({

@@ -184,3 +184,14 @@ def test_p_value_sql_of_many_rows():
     for r, n in ((0.0006192810809921857, 899_940), (0.0006, 50_000_000), (0.3, 20)):
         got = duckdb.sql(f"select {p_near_sql('r', 'n')} as p from (select {r!r}::double as r, {n}::bigint as n)").fetchall()[0][0]
         assert got == pytest.approx(correlation_p(pd.Series([r]), pd.Series([n]))[0], abs=5e-9)
+
+
+def test_equal_volumes_are_no_decrease(spark):
+    """Sums of the same branches in another order differ in the last bit only."""
+    from arborstat.operators import scoring
+
+    v = [0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1, 0.5]
+    assert v[0] > v[1]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)] + [(2, 0, 5.0 * v[0]), (2, 1, v[1]), (2, 2, 0.0)], "scan_id int, generation int, volume_mm3 double")
+    got = {r["scan_id"]: (r["decreasing_ratio"], r["abrupt_drops"]) for r in scoring.volume_distribution(df).collect()}
+    assert got == {1: (0.5, 0), 2: (1.0, 1)}
