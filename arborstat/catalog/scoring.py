@@ -167,9 +167,10 @@ def _(t):
 
 
 @query("c15_findings", "scored", total_sql("scorer") + f""", c9 as (select case_id, comp, raw from c union all select case_id, 'airway_volume', {SCORE['airway_volume']} from scored union all select case_id, 'generation_coverage', {SCORE['generation_coverage']} from scored),
-f as (select o.case_id, comp as f from o join c9 using (case_id) where (ov>=35 and ov<50 and raw>6) or (ov>=70 and raw>=8) union all
- select o.case_id, 'severe peripheral loss' from o join scored using (case_id) where ov>=50 and ov<70 and pc_ratio<0.25 union all
- select o.case_id, 'generation loss' from o join scored using (case_id) where ov>=50 and ov<70 and generation_coverage<0.70)
+r9 as (select case_id, round(ov::double,9) as ov from o),
+f as (select r9.case_id, comp as f from r9 join c9 using (case_id) where (ov>=35 and ov<50 and round(raw::double,9)>6) or (ov>=70 and round(raw::double,9)>=8) union all
+ select r9.case_id, 'severe peripheral loss' from r9 join scored using (case_id) where ov>=50 and ov<70 and pc_ratio<0.25 union all
+ select r9.case_id, 'generation loss' from r9 join scored using (case_id) where ov>=50 and ov<70 and generation_coverage<0.70)
 select case_id, count(f) as n_findings, coalesce(string_agg(f, ',' order by f),'') as findings from scored left join f using (case_id) group by 1""")
 def _(t):
     names = ["peripheral_density", "peripheral_volume", "pc_ratio", "tortuosity", "symmetry", "airway_volume", "generation_coverage", "parenchymal_entropy", "parenchymal_density"]

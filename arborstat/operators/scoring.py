@@ -126,9 +126,12 @@ def rescore_counters(df: DataFrame) -> DataFrame:
 
 
 def findings(df: DataFrame, names: list[str], profile: str = "scorer") -> DataFrame:
-    """Adds ``findings``: prominent components by stage of the overall score, and alerts."""
+    """Adds ``findings``: prominent components by stage of the overall score, and alerts.
+
+    Scores are compared at nine decimals, so that one that lies on a limit does so however its terms were rounded.
+    """
     scored = with_scores(df, names, profile)
-    comps, score = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"raw_{n}").alias("s")) for n in names]), F.col("overall_score")
+    comps, score = F.array(*[F.struct(F.lit(n).alias("n"), F.round(f"raw_{n}", 9).alias("s")) for n in names]), F.round("overall_score", 9)
 
     def above(keep) -> Column:
         return F.transform(F.filter(comps, keep), lambda c: c["n"])

@@ -195,3 +195,13 @@ def test_equal_volumes_are_no_decrease(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)] + [(2, 0, 5.0 * v[0]), (2, 1, v[1]), (2, 2, 0.0)], "scan_id int, generation int, volume_mm3 double")
     got = {r["scan_id"]: (r["decreasing_ratio"], r["abrupt_drops"]) for r in scoring.volume_distribution(df).collect()}
     assert got == {1: (0.5, 0), 2: (1.0, 1)}
+
+
+def test_a_score_on_a_limit_has_its_findings(spark):
+    """The weighted mean is 35 exactly, in doubles 34.99999999999999: findings of the stage from 35 on."""
+    from arborstat.operators import scoring
+
+    cols = "pc_ratio tortuosity symmetry peripheral_density peripheral_diameter peripheral_branch_volume peripheral_pct entropy lung_density volume_mm3 generation_coverage".split()
+    df = spark.createDataFrame([(1, 0.18, 3.0999999999999996, 0.68, 0.05, 1.8, 48.0, 25.0, 5.3, -852.0, 26000.0, 14 / 60.0)], "case_id int, " + ", ".join(f"{c} double" for c in cols))
+    row = scoring.findings(scoring.assess(df, "case_id"), ["peripheral_density", "pc_ratio", "tortuosity", "symmetry", "generation_coverage"]).first()
+    assert row["overall_score"] == pytest.approx(35) and sorted(row["findings"]) == ["generation_coverage", "pc_ratio", "peripheral_density", "symmetry", "tortuosity"]
