@@ -17,12 +17,13 @@ def folder(t, name: str) -> str:
     return f"{checkpoint_root(t.spark)}/arborstat-{name}-{uuid.uuid4().hex}"
 
 
-@query("a01_typed_csv", "visits", "select entity, row_id, week, case when row_id % 50 <> 0 then round(value,6) end as value from visits")
+@query("a01_typed_csv", "visits", "select entity, row_id, week, round(value,6) as value, case when row_id % 50 <> 0 then round(value,6) end as with_gaps from visits")
 def _(t):
     p = folder(t, "csv")
-    W.write_table(t.visits.select("entity", "row_id", "week", F.when(F.col("row_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")), p, "csv")
-    back = R.read_csv(t.spark, p, "entity long, row_id long, week int, value double")
-    return R.require_columns(back, ["entity", "week", "value"]).withColumn("value", r6("value"))
+    gaps = F.when(F.col("row_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    W.write_table(t.visits.select("entity", "row_id", "week", "value", gaps.alias("with_gaps")), p, "csv")
+    back = R.read_csv(t.spark, p, "entity long, row_id long, week int, value double, with_gaps double")
+    return R.require_columns(back, ["entity", "week", "value"]).withColumns({"value": r6("value"), "with_gaps": r6("with_gaps")})
 
 
 #: Rows whose week is no number, whose last field is missing, and whose value has a unit.

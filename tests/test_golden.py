@@ -205,3 +205,10 @@ def test_a_score_on_a_limit_has_its_findings(spark):
     df = spark.createDataFrame([(1, 0.18, 3.0999999999999996, 0.68, 0.05, 1.8, 48.0, 25.0, 5.3, -852.0, 26000.0, 14 / 60.0)], "case_id int, " + ", ".join(f"{c} double" for c in cols))
     row = scoring.findings(scoring.assess(df, "case_id"), ["peripheral_density", "pc_ratio", "tortuosity", "symmetry", "generation_coverage"]).first()
     assert row["overall_score"] == pytest.approx(35) and sorted(row["findings"]) == ["generation_coverage", "pc_ratio", "peripheral_density", "symmetry", "tortuosity"]
+
+
+def test_typed_csv_brings_every_value_back(spark):
+    from arborstat import catalog
+
+    rows = catalog.callables()["a01_typed_csv"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 150 * 10 and all(r["value"] is not None for r in rows) and sum(r["with_gaps"] is None for r in rows) == len(rows) // 50
