@@ -200,12 +200,12 @@ def consensus(candidates: DataFrame, radius: int = 25) -> DataFrame:
     the volume around it. The earliest candidate wins ties; confidence is the score
     per candidate, at most 5.
     """
-    spots = candidates.groupBy(*POSITION).agg(F.sum("weight").alias("w"))
-    near = within_radius(spots.select(*POSITION), spots, ["scan_id"], radius)
-    heard = near.groupBy(*POSITION).agg(F.sum(F.col("o_w") * (1 - F.col("distance") / radius)).alias("score"))
-    # A position hears itself at distance 0, which adds its own weight once.
-    scored = candidates.join(heard, POSITION)
-    best = scored.groupBy("scan_id").agg(
-        F.min_by(F.struct("method", "z", "y", "x", "score"), F.struct(-F.round("score", 9), "seq")).alias("b"), F.count("*").alias("n")
+    # What is at one position has one score, so its earliest candidate stands for it.
+    spots = candidates.groupBy(*POSITION).agg(F.sum("weight").alias("w"), F.count("*").alias("votes"), F.min("seq").alias("seq"), F.min_by("method", "seq").alias("method"))
+    near = within_radius(spots.drop("w"), spots.select(*POSITION, "w"), ["scan_id"], radius)
+    # A position hears itself at distance 0, which adds its own weight once. Its cell is a key so that no pair is moved again.
+    heard = near.groupBy("scan_id", "__cz", "__cy", "__cx", "z", "y", "x", "votes", "seq", "method").agg(F.sum(F.col("o_w") * (1 - F.col("distance") / radius)).alias("score"))
+    best = heard.groupBy("scan_id").agg(
+        F.min_by(F.struct("method", "z", "y", "x", "score"), F.struct(-F.round("score", 9), "seq")).alias("b"), F.sum("votes").alias("n")
     )
     return best.select("scan_id", "b.method", "b.z", "b.y", "b.x", F.least(F.lit(5.0), ratio("b.score", "n")).alias("confidence"))

@@ -72,18 +72,20 @@ def closest_pairs(a: DataFrame, b: DataFrame, keys: list[str], group: str, spaci
 def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: int) -> DataFrame:
     """Pairs (a.*, b columns prefixed o_) closer than ``radius``, by a grid of that size.
 
-    ``b`` announces itself in its own cell and the 26 around it; positions should be
-    distinct in ``b`` so that what meets in a cell is bounded by the cell's volume.
+    Cells are four times as wide, and ``b`` announces itself in those it can reach: 3.4
+    on average, 27 with cells of the radius. Positions should be distinct in ``b`` so that what meets in a
+    cell is bounded by the cell's volume. With the pairs come the cells of ``a`` (__cz,
+    __cy, __cx): pairs of one row of ``a`` are together in one task.
     """
-    cell = {c: F.floor(F.col(c) / radius).cast("int") for c in AXES}
-    left = a.withColumns({f"__c{c}": cell[c] for c in AXES})
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    wide = 4 * radius
+    left = a.withColumns({f"__c{c}": F.floor(F.col(c) / wide).cast("int") for c in AXES})
     right = b.select(*keys, *[F.col(c).alias(f"o_{c}") for c in b.columns if c not in keys])
     for c in AXES:
-        right = right.withColumn("__s", F.explode(steps)).withColumn(f"__c{c}", F.floor(F.col(f"o_{c}") / radius).cast("int") + F.col("__s")).drop("__s")
-    near = left.join(right, [*keys, *[f"__c{c}" for c in AXES]])
+        first, last = (F.floor((F.col(f"o_{c}") + d) / wide).cast("int") for d in (-radius, radius))
+        right = right.withColumn(f"__c{c}", F.explode(F.sequence(first, last)))
+    near = left.join(spread(right), [*keys, *[f"__c{c}" for c in AXES]])
     sq = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in AXES[1:]), (F.col("z") - F.col("o_z")) * (F.col("z") - F.col("o_z")))
-    return near.withColumn("distance", F.sqrt(sq.cast("double"))).where(F.col("distance") < radius).drop(*[f"__c{c}" for c in AXES])
+    return near.withColumn("distance", F.sqrt(sq.cast("double"))).where(F.col("distance") < radius)
 
 
 def linked_groups(points: DataFrame, keys: list[str], group: str, radius: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:

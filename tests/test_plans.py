@@ -398,3 +398,19 @@ def test_component_steps_broadcast_no_large_table(spark, monkeypatch):
     plans = [C.voxel_components(voxels), C.keep_largest(comp, stats), C.remove_small(comp, stats, 2), C.fragmentation(stats), C.triage(comp, stats, 1.5, 2, 6), C.reconnect(comp, stats, 2.2, 2)]
     for df in plans:
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_are_sent_to_few_cells(spark):
+    """Every vote is written for the cells it reaches, and pairs are summed where they meet."""
+    p = np.unique(cloud(5, 300, 90), axis=0)
+    rows = [(1, i, "m", 1.0 + i % 3, *map(int, x)) for i, x in enumerate(p)]
+    rows += [(1, 1000 + i, "n", 2.0, *map(int, x)) for i, x in enumerate(p[:20])]
+    df = spark.createDataFrame(rows, "scan_id int, seq int, method string, weight double, z int, y int, x int")
+    plan = C.consensus(df, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5 and "array(-1, 0, 1)" not in plan and "[-1,0,1]" not in plan
+    best = C.consensus(df, 7).first()
+    pos, w, seq = np.array([r[4:] for r in rows]), np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    score = (w * np.clip(1 - np.linalg.norm(pos[:, None] - pos[None], axis=2) / 7, 0, None)).sum(1)
+    i = min(range(len(rows)), key=lambda k: (-round(score[k], 9), seq[k]))
+    assert (best["method"], best["z"], best["y"], best["x"]) == (rows[i][2], *rows[i][4:])
+    assert best["confidence"] == pytest.approx(min(5.0, score[i] / len(rows)))
