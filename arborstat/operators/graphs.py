@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from arborstat.functions.numeric import dbl, ratio
 from arborstat.plans.propagation import both_ways, connected_components, nearest_first, propagate
 from arborstat.plans.trees import climb, parents, walks
-from arborstat.session import cut_and_count, cut_lineage
+from arborstat.session import cut_and_count, cut_lineage, spread
 
 
 def simple_graph(edges: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def degrees(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, degree); a self-loop counts twice, isolated nodes have degree 0."""
     ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node"))
     d = ends.groupBy(*keys, "node").agg(F.count("*").alias("degree"))
-    return nodes.select(*keys, "node").join(d, [*keys, "node"], "left").select(*keys, "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return nodes.select(*keys, "node").join(spread(d), [*keys, "node"], "left").select(*keys, "node", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def select_root(nodes: DataFrame, degree: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,7 +30,7 @@ def select_root(nodes: DataFrame, degree: DataFrame, keys: list[str]) -> DataFra
     Without such a node the one of the highest degree. Remaining ties go to the
     smaller node id. ``nodes`` has keys, node, diameter and z.
     """
-    n = nodes.join(degree, [*keys, "node"])
+    n = nodes.join(spread(degree), [*keys, "node"])
     branching = F.col("degree") >= 2
     order = F.struct(
         branching.alias("b"), F.when(branching, F.col("diameter")).alias("d"), F.when(branching, F.col("z")).alias("z"),
@@ -48,7 +48,7 @@ def nearest_node(nodes: DataFrame, targets: DataFrame, keys: list[str]) -> DataF
 
 def component_roots(components: DataFrame, degree: DataFrame, main: DataFrame, keys: list[str]) -> DataFrame:
     """Root of every component: the main root in its own, else the highest degree (smaller id on ties)."""
-    c = components.join(degree, [*keys, "node"])
+    c = components.join(spread(degree), [*keys, "node"])
     best = c.groupBy(*keys, "component").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("root"))
     main_of = components.join(main.withColumnRenamed("root", "node"), [*keys, "node"]).select(*keys, "component", F.col("node").alias("main_root"))
     return best.join(main_of, [*keys, "component"], "left").select(*keys, "component", F.coalesce("main_root", "root").alias("root"))
@@ -168,7 +168,7 @@ def endpoint_summary(distances: DataFrame, degree: DataFrame, keys: list[str]) -
 
 
 def bifurcations(nodes: DataFrame, degree: DataFrame, generations: DataFrame, keys: list[str]) -> DataFrame:
-    return degree.where("degree >= 3").join(nodes, [*keys, "node"]).join(generations, [*keys, "node"], "left")
+    return degree.where("degree >= 3").join(spread(nodes), [*keys, "node"]).join(spread(generations), [*keys, "node"], "left")
 
 
 def symmetry(edges: DataFrame, nodes: DataFrame, root: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,18 +181,22 @@ def symmetry(edges: DataFrame, nodes: DataFrame, root: DataFrame, keys: list[str
     from pyspark.sql import Window
 
     r = root.select(*keys, "root")
-    nb = both_ways(edges, keys).join(r, keys).where("src = root and dst <> root").select(*keys, F.col("dst").alias("node")).distinct()
-    nb = nb.join(nodes.select(*keys, "node", "z"), [*keys, "node"])
+
+    def root_as(name: str) -> DataFrame:
+        return r.select(*keys, F.col("root").alias(name))
+
+    nb = both_ways(edges, keys).join(spread(root_as("src")), [*keys, "src"]).where("src <> dst").select(*keys, F.col("dst").alias("node")).distinct()
+    nb = nb.join(spread(nodes.select(*keys, "node", "z")), [*keys, "node"])
     w = Window.partitionBy(*keys)  # the neighbours of one node per graph
     nb = nb.select(
         *keys, "node", F.row_number().over(w.orderBy("z", "node")).alias("i"), F.count("*").over(w).alias("n"),
         F.min("z").over(w).alias("lo"), F.max("z").over(w).alias("hi"),
     ).where("n >= 2 and lo < hi").withColumn("side", F.when(F.col("i") <= F.floor(F.col("n") / 2), "left").otherwise("right"))
-    rest_edges = edges.join(r, keys).where("src <> root and dst <> root").drop("root")
-    rest_nodes = nodes.select(*keys, "node").join(r, keys).where("node <> root").drop("root")
+    rest_edges = edges.join(root_as("src"), [*keys, "src"], "left_anti").join(root_as("dst"), [*keys, "dst"], "left_anti")
+    rest_nodes = nodes.select(*keys, "node").join(root_as("node"), [*keys, "node"], "left_anti")
     comp = connected_components(rest_edges, rest_nodes, keys)
     sizes = comp.groupBy(*keys, "component").agg(F.count("*").alias("size"))
-    reached = nb.join(comp, [*keys, "node"]).select(*keys, "side", "component").distinct().join(sizes, [*keys, "component"])
+    reached = nb.join(spread(comp), [*keys, "node"]).select(*keys, "side", "component").distinct().join(spread(sizes), [*keys, "component"])
     s = reached.groupBy(*keys).agg(
         F.sum(F.when(F.col("side") == "left", F.col("size"))).alias("left_side_branch_count"),
         F.sum(F.when(F.col("side") == "right", F.col("size"))).alias("right_side_branch_count"),

@@ -414,3 +414,16 @@ def test_votes_are_sent_to_few_cells(spark):
     i = min(range(len(rows)), key=lambda k: (-round(score[k], 9), seq[k]))
     assert (best["method"], best["z"], best["y"], best["x"]) == (rows[i][2], *rows[i][4:])
     assert best["confidence"] == pytest.approx(min(5.0, score[i] / len(rows)))
+
+
+def test_graph_steps_broadcast_no_nodes(spark):
+    """Degrees, roots and generations meet nodes by shuffles: their files are small, their rows are not."""
+    nodes = spark.range(200).selectExpr("1 as scan_id", "id as node", "cast(id % 50 as int) as z", "cast(id % 7 as double) as diameter")
+    edges = spark.range(1, 200).selectExpr("1 as scan_id", "id as branch_id", "cast(floor(id / 2) as long) as src", "id as dst")
+    degree = G.degrees(edges, nodes, ["scan_id"])
+    root = G.select_root(nodes, degree, ["scan_id"])
+    for df in (degree, root, G.bifurcations(nodes, degree, degree.select("scan_id", "node"), ["scan_id"])):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    r = G.symmetry(edges, nodes, spark.createDataFrame([(1, 1)], "scan_id int, root long"), ["scan_id"]).first()
+    # Node 1 has the neighbours 0, 2 and 3: 0 is alone on the left, the subtrees of 2 and 3 are on the right.
+    assert (r["left_side_branch_count"], r["right_side_branch_count"]) == (1, 198)
