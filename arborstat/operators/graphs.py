@@ -58,7 +58,7 @@ def _split_trees(g: DataFrame, nodes: DataFrame, keys: list[str]) -> tuple[DataF
     """The walks around the components that are trees (arcs), (keys, node) of the components with cycles, and (keys, node) of nodes without edges."""
     arcs = walks(g.where("src <> dst"), keys)
     ends = arcs.groupBy(*keys, F.col("src").alias("node")).agg(F.min("tree").alias("tree"))
-    alone = nodes.select(*keys, "node").distinct().join(ends, [*keys, "node"], "left_anti")
+    alone = nodes.select(*keys, "node").distinct().join(spread(ends), [*keys, "node"], "left_anti")
     return arcs, ends.where("not tree").select(*keys, "node"), alone
 
 
@@ -81,17 +81,17 @@ def assign_generations(edges: DataFrame, nodes: DataFrame, keys: list[str], root
     arcs, cyclic, alone = _split_trees(g, nodes, keys)
     whole = arcs.where("tree")
     roots = cut_lineage(component_roots(whole.select(*keys, F.col("src").alias("node"), F.col("walk").alias("component")).distinct(), degree, root, keys))
-    links = cut_lineage(parents(whole, roots, keys).join(splits, [*keys, "parent"]))
+    links = cut_lineage(parents(whole, roots, keys).join(spread(splits), [*keys, "parent"]))
     climbed = climb(links, keys, ["split"])
     lone = alone.unionByName(roots.select(*keys, F.col("root").alias("node"))).withColumn("generation", F.lit(-1))
     found = climbed.select(*keys, "node", (F.col("split") - 1).cast("int").alias("generation"))
-    link = links.select(*keys, "node", "parent").join(found, [*keys, "node"])
+    link = links.select(*keys, "node", "parent").join(spread(found), [*keys, "node"])
     cyclic, many = cut_and_count(cyclic, F.lit(True))
     if many:
         more, more_links = _searched_generations(g, cyclic, degree, root, splits, keys)
         found, link = found.unionByName(more), link.unionByName(more_links)
     ends = [F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst")]
-    return found.unionByName(lone), g.join(link.select(*keys, *ends, "generation"), [*keys, "src", "dst"], "left")
+    return found.unionByName(lone), g.join(spread(link.select(*keys, *ends, "generation")), [*keys, "src", "dst"], "left")
 
 
 def _searched_generations(g: DataFrame, part: DataFrame, degree: DataFrame, root: DataFrame, splits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +127,7 @@ def path_distances(edges: DataFrame, root: DataFrame, keys: list[str]) -> DataFr
     arcs, cyclic, _ = _split_trees(g, root.select(*keys, F.col("root").alias("node")), keys)
     links = parents(arcs.where("tree"), root, keys)
     both = [F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst")]
-    sums = climb(links.select("*", *both).join(g, [*keys, "src", "dst"]).select(*keys, "node", "parent", "length"), keys, ["length"])
+    sums = climb(links.select("*", *both).join(spread(g), [*keys, "src", "dst"]).select(*keys, "node", "parent", "length"), keys, ["length"])
     found = sums.select(*keys, "node", F.col("length").alias("distance")).unionByName(root.select(*keys, F.col("root").alias("node"), F.lit(0.0).alias("distance")))
     cyclic, many = cut_and_count(cyclic, F.lit(True))
     if not many:

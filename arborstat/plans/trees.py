@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from arborstat.plans.selection import positions
-from arborstat.session import cut_and_count, cut_lineage, release
+from arborstat.session import cut_and_count, cut_lineage, release, spread
 
 
 def walks(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,9 +39,9 @@ def walks(edges: DataFrame, keys: list[str]) -> DataFrame:
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("arc1").alias("arc"), F.col("turn0").alias("to")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("arc0").alias("arc"), F.col("turn1").alias("to")),
     )))
-    arcs = cut_lineage(linked)
-    named = _around(arcs.select("arc", "to"))
-    full = arcs.drop("to").join(named, "arc")
+    arcs, n = cut_and_count(linked, F.lit(True))
+    named = _around(arcs.select("arc", "to"), n)
+    full = arcs.drop("to").join(spread(named, n), "arc")
     per_node = full.groupBy("walk", *keys, "src").agg(F.count("*").alias("n"))
     sizes = per_node.groupBy("walk").agg(F.sum("n").alias("length"), F.count("*").alias("nodes"))
     # A walk is closed if it has each of its edges both ways.
@@ -54,14 +54,14 @@ def walks(edges: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def _around(arcs: DataFrame) -> DataFrame:
-    """(arc, walk, steps) from (arc, to), a permutation: the smallest arc on the way around and the steps to it."""
+def _around(arcs: DataFrame, rows: int) -> DataFrame:
+    """(arc, walk, steps) from (arc, to), a permutation of ``rows`` arcs: the smallest arc on the way around and the steps to it."""
     # The reach is a column and no constant, so that every round runs the same compiled code.
     state, moved = arcs.select("arc", "to", F.col("arc").alias("walk"), F.lit(0).cast("bigint").alias("steps"), F.lit(1).cast("bigint").alias("reach")), 1
     while moved:
         out = state
         for _ in range(3):
-            ahead = out.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("walk").alias("walk2"), F.col("steps").alias("steps2"))
+            ahead = spread(out.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("walk").alias("walk2"), F.col("steps").alias("steps2")), rows)
             nearer = F.col("walk2") < F.col("walk")
             out = out.select("arc", "to", "walk", "steps", "reach").join(ahead, "to").select(
                 "arc", F.col("to2").alias("to"), F.least("walk", "walk2").alias("walk"), F.when(nearer, F.col("steps2") + F.col("reach")).otherwise(F.col("steps")).alias("steps"),
@@ -81,9 +81,9 @@ def parents(arcs: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
 
     Nodes of trees without a root are absent.
     """
-    out_of_root = arcs.join(roots.select(*keys, F.col("root").alias("src")), [*keys, "src"])
+    out_of_root = arcs.join(spread(roots.select(*keys, F.col("root").alias("src"))), [*keys, "src"])
     begins = out_of_root.groupBy("walk").agg(F.min("place").alias("begin"))  # any arc out of the root will do as the first
-    ordered = arcs.join(begins, "walk").withColumn("at", F.pmod(F.col("place") - F.col("begin"), F.col("length")))
+    ordered = arcs.join(spread(begins), "walk").withColumn("at", F.pmod(F.col("place") - F.col("begin"), F.col("length")))
     first = ordered.groupBy(*keys, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.struct("at", "src", "dst")).alias("first"))
     return first.select(*keys, F.col("first.dst").alias("node"), F.col("first.src").alias("parent"))
 
@@ -102,7 +102,7 @@ def climb(links: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
             raise ValueError("links have a cycle")
         out = state
         for _ in range(3):
-            above = out.select(*keys, F.col("node").alias("root"), F.col("root").alias("higher"), *[F.col(c).alias(f"up_{c}") for c in names])
+            above = spread(out.select(*keys, F.col("node").alias("root"), F.col("root").alias("higher"), *[F.col(c).alias(f"up_{c}") for c in names]), limit)
             met = F.col("higher").isNotNull()
             out = out.select(*keys, "node", "root", *names).join(above, [*keys, "root"], "left").select(
                 *keys, "node", F.coalesce("higher", "root").alias("root"), *[F.when(met, F.col(c) + F.col(f"up_{c}")).otherwise(F.col(c)).alias(c) for c in names], met.alias("moved"),

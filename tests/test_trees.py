@@ -7,9 +7,11 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from arborstat import session
 from arborstat.operators import graphs as G
 from arborstat.plans.propagation import nearest_first
-from arborstat.plans.trees import climb, walks
+from arborstat.plans import trees
+from arborstat.plans.trees import climb, parents, walks
 
 K = ["scan_id"]
 
@@ -146,3 +148,23 @@ def test_climbing_refuses_cycles(spark):
     links = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "scan_id int, node long, parent long")
     with pytest.raises(ValueError):
         climb(links, K, [])
+
+
+def test_tree_steps_broadcast_no_large_table(graph, monkeypatch):
+    """Tables of arcs and links have files of a few bits a row; what decides is the number of rows."""
+    _, df, _ = graph
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    plans, write = [], trees.cut_and_count
+
+    def noted(df, cond):
+        plans.append(df)
+        return write(df, cond)
+
+    monkeypatch.setattr(trees, "cut_and_count", noted)
+    arcs = walks(G.simple_graph(df.where("src < 300"), K, []).where("src <> dst"), K)
+    roots = arcs.groupBy(*K, "walk").agg(F.min("src").alias("root")).drop("walk")
+    links = session.cut_lineage(parents(arcs, roots, K))
+    climb(links, K, [])
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in [*plans, parents(arcs, session.cut_lineage(roots), K)]]
+    plans = [p for p in plans if "__offset" not in p]  # a row per shuffle partition is broadcast on request
+    assert len(plans) > 3 and not any("BroadcastExchange" in p for p in plans)
