@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from arborstat.llm import jaccard_join as J
+from arborstat.llm.common import BATCH_ROWS
 
 
 def brute(rows, n=3, percent=90):
@@ -69,3 +71,35 @@ def test_one_id_on_two_texts(spark):
     for some in (rows, rows[::-1]):
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.components(spark.createDataFrame(some, "doc_id long, text string")).collect())
         assert got == [(2, 59, 2), (5, 1, 5), (5, 58, 2), (5, 58, 2), (5, 58, 5), (9, 59, 5)]
+
+
+def test_likely_keeps_texts_out_of_python(spark, monkeypatch):
+    """No row whose key is asked for is lost, few others stay, and no text goes to Python and back for it."""
+    given = spark.range(-3000, 3000).select(F.col("id").alias("a"), F.repeat(F.lit("x"), 50).alias("text")).unionByName(spark.sql("select cast(null as bigint) a, 'y' text"))
+    ids = spark.range(-3000, 3000, 7).select(F.col("id").alias("a"))
+    kept = J._likely(given, ids, "a")
+    assert "InArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    got = [r["a"] for r in kept.select("a").collect()]
+    assert {r["a"] for r in ids.collect()} <= set(got) and len(got) < 870
+    assert J._likely(given, ids.limit(0), "a").count() == 0
+    monkeypatch.setattr(J, "FILTER_BITS", 1 << 16)  # two words of bits: first and last places are taken
+    assert J._likely(given, ids, "a").join(ids, "a", "left_semi").count() == ids.count()
+
+
+def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
+    """Every step that reads texts holds few of them at a time; the session's own setting is back afterwards."""
+    rows = [(i, " ".join(f"w{i % 900}x{k}" for k in range(12))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+    plain = J.in_groups
+
+    def counted(batches, column, *args):
+        for b in plain(batches, column, *args):
+            seen.add(b.num_rows > 1000)
+            yield b
+
+    monkeypatch.setattr(J, "in_groups", counted)
+    before = spark.conf.get(BATCH_ROWS)
+    got = {r["doc_id"]: r["component_id"] for r in J.components(docs).collect()}
+    assert got == {i: i % 900 for i in range(2500)}
+    assert seen.value == 0 and spark.conf.get(BATCH_ROWS) == before
