@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborstat import session
-from arborstat.operators import components as C, graphs as G, longitudinal as L, voxels as V
+from arborstat.operators import components as C, graphs as G, longitudinal as L, profiling as P, voxels as V
 from arborstat.plans import ordered, proximity, selection
 from arborstat.plans.propagation import both_ways, connected_components, propagate
 
@@ -427,3 +427,21 @@ def test_graph_steps_broadcast_no_nodes(spark):
     r = G.symmetry(edges, nodes, spark.createDataFrame([(1, 1)], "scan_id int, root long"), ["scan_id"]).first()
     # Node 1 has the neighbours 0, 2 and 3: 0 is alone on the left, the subtrees of 2 and 3 are on the right.
     assert (r["left_side_branch_count"], r["right_side_branch_count"]) == (1, 198)
+
+
+def test_slice_uniformity(spark):
+    """Against brute force: repeated positions, words of 64 that are skipped, negative positions, a scan with most rows; rows are neither dealt by range nor sorted before they are folded."""
+    rng = random.Random(3)
+    rows = [(0, z) for z in range(-700, 3000)] + [(k, rng.choice([-130, -64, -1, 0, 63, 64, 65, 127, 128, 4000, -(2**31), 2**31 - 1][: 11 + (k % 5 == 0)][k % 2 :])) for k in range(1, 40) for _ in range(rng.randint(1, 6))]
+    rows = [(k, z) for k, z in rows if abs(z) < 2**31 - 1] + [(50, None), (51, None), (51, 4), (51, 9), (None, 3), (None, 5)]
+    df = spark.createDataFrame(rows + rows[::3], "scan_id int, z int")
+    want = {}
+    for k in {k for k, _ in rows}:
+        zs = sorted({z for key, z in rows if key == k and z is not None})
+        gaps = [b - a for a, b in zip(zs, zs[1:])]
+        m, s, x = (np.mean(gaps), np.std(gaps), max(gaps)) if gaps else (None, 0.0, 0)
+        want[k] = (not (m is not None and (s / m > 0.10 or x > 2 * m or s > 1)), round(float(s), 6), x)
+    out = P.slice_uniformity(df)
+    assert out.schema["max_gap"].dataType.simpleString() == "int"
+    assert {r["scan_id"]: (r["is_uniform"], round(r["spacing_std"], 6), r["max_gap"]) for r in out.collect()} == want
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
