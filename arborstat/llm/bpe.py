@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
+from arborstat.llm.common import gives_back, in_groups, refuse_clash, schema_of, whole_text, with_columns
 
 #: Words as the byte-level pre-tokenizer cuts them (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,6 +91,7 @@ class ByteBpe:
         self.four = [i.to_bytes(4, "little") for i in range(len(self.born))]
         self.inner: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
+        self.kept_pieces, self.kept_words = KEPT_PIECES, KEPT_WORDS
 
     def _add(self, token: bytes, i: int) -> None:
         """Put a token into the automaton of vocabulary prefixes; ``step[state << 8 | byte]`` is the next state."""
@@ -179,7 +180,7 @@ class ByteBpe:
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of texts without special tokens: their new distinct words in one walk."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept_words:
             self.words = oldest(self.words)
         cut = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.word.findall(p) for p in pieces}
         of = self.words
@@ -193,7 +194,7 @@ class ByteBpe:
         A piece that has white space at an end is odd: the space before or after it does
         not start a word for certain. A text with an odd piece is cut more carefully.
         """
-        if len(self.inner) > KEPT_PIECES:
+        if len(self.inner) > self.kept_pieces:
             self.inner = oldest(self.inner)
         inner, cut, distinct = self.inner, [t.split(" ") for t in texts], set()
         for c in cut:
@@ -255,12 +256,15 @@ def loaded_bytes(path: str) -> list[bytes]:
         return by_id(token_bytes(json.load(f)))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = False, remembered: int | None = None) -> DataFrame:
     """``keep`` columns with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text.
 
     With ``decoded`` also a column of that name: the text that the ids stand for, as
     :func:`decode` gives it, in the same pass.
 
+    ``remembered``: pieces, and words, whose ids a task keeps, about (KEPT_PIECES and
+    KEPT_WORDS if not given); fewer take less memory and more time, the ids are the same.
+
     ``path`` names a tokenizer file that every executor has. Special tokens written in a
     text become their ids; none are added. A null text counts as empty (no ids), repeated
     rows are encoded alike, an empty table gives an empty one. Columns named like the
@@ -271,6 +275,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
+        bpe.kept_pieces, bpe.kept_words = (KEPT_PIECES, KEPT_WORDS) if remembered is None else (remembered, remembered)
         for b in in_groups(batches, "__text", GROUP):
             ids = bpe.encode(b.column("__text").to_pylist())
             new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
@@ -280,7 +285,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
         bpe.forget()
 
     given = docs.select(*keep, whole_text(text).alias("__text"))
-    return given.mapInArrow(run, schema_of(docs, keep, "n_tokens bigint, ids binary" + ", decoded string" * decoded))
+    return given.mapInArrow(gives_back(run), schema_of(docs, keep, "n_tokens bigint, ids binary" + ", decoded string" * decoded))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

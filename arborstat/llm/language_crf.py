@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from arborstat.llm.common import in_groups, refuse_clash, schema_of, whole_text, with_columns
+from arborstat.llm.common import gives_back, in_groups, refuse_clash, schema_of, whole_text, with_columns
 
 BITS = 17
 #: Labelled documents of each language that the model is fitted on, at most.
@@ -277,7 +277,7 @@ def frequent_words(docs: DataFrame, learn: Column, text: str = "text", lang: str
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["l", "w", "n"])
 
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
-    sums = rows.mapInArrow(count, "l string, w long, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(gives_back(count), "l string, w long, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     # First the best of each share of the words, so that a language's last ranking reads SHARES * LEXICON rows at most.
     top = sums.withColumn("share", F.pmod(F.xxhash64("w"), F.lit(SHARES)))
     for keys in (["l", "share"], ["l"]):
@@ -315,7 +315,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             yield with_columns(b, keep, {outputs[0]: pa.array(names, pa.string()), outputs[1]: pa.array(np.where(has, score, 0.0), pa.float64())})
 
     given = docs.select(*keep, whole_text(text).alias("__text"), whole_text(text).rlike(r"\p{L}").alias("__letter"))
-    return given.mapInArrow(run, schema_of(docs, keep, f"`{outputs[0]}` string, `{outputs[1]}` double"))
+    return given.mapInArrow(gives_back(run), schema_of(docs, keep, f"`{outputs[0]}` string, `{outputs[1]}` double"))
 
 
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

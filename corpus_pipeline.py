@@ -10,18 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborstat.llm import bpe, jaccard_join, language_crf, mixing, secrets
-from arborstat.llm.common import held_out, table, whole_text
+from arborstat.llm.common import held_out, short_batches, table, whole_text
 from arborstat.llm.queries import tokenizer_path
-from arborstat.session import cut_lineage
+from arborstat.session import cut_lineage, release
 
 #: The best of L mean marginals is 1/L at least; a text whose best one covers less of the rest up to 1 counts as being in no language.
 LEAST_LANGUAGE = 0.05
 #: No source is read more than so many times as often as another.
 MOST_REPEATS = 1.25
+#: Pieces and words whose ids an encoding task remembers: an executor's workers hold them beside a heap that the stages before have filled.
+REMEMBERED = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; texts without letters and texts of no language go."""
+    """Documents in a known language; texts without letters and texts of no language go.
+
+    Written here, as texts go to Python in short batches only while that is set.
+    """
+    with short_batches(spark):
+        return cut_lineage(_known(docs))
+
+
+def _known(docs: DataFrame) -> DataFrame:
     model = language_crf.train(docs, ~held_out())
     marked = language_crf.predict(docs.withColumn("__kept", F.col("text")), model, text="__kept", keep=docs.columns, outputs=("__lang", "__score"))
     least = 1 / max(len(model.langs), 1)
@@ -67,7 +77,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.orderBy(F.input_file_name(), F.monotonically_increasing_id())
     summed = docs.withColumn("__sum", F.md5(F.col("text").cast("binary")))
-    both = bpe.encode(summed, tokenizer_path(), keep=["doc_id", "lang", "source", "__sum"], decoded=True)
+    both = bpe.encode(summed, tokenizer_path(), keep=["doc_id", "lang", "source", "__sum"], decoded=True, remembered=REMEMBERED)
     return both.select("doc_id", "lang", "source", "n_tokens", "ids", (F.md5(F.col("decoded").cast("binary")) == F.col("__sum")).alias("round_trip"))
 
 
@@ -87,5 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written as a table before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        made = stage(spark, docs, sf_dir)
+        docs = cut_lineage(made)
+        release(made)
     return STAGES[-1][1](spark, docs, sf_dir)
