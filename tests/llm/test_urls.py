@@ -106,6 +106,21 @@ def test_one_kind_and_none(spark):
     assert U.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Windows are planned by the files of the URLs they are made of, which are small."""
+    plans, write = [], U.cut_lineage
+
+    def noted(df):
+        plans.append(df)
+        return write(df)
+
+    monkeypatch.setattr(U, "cut_lineage", noted)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example."), F.element_at(F.array(*map(F.lit, ("com/fr/", "com/de/", "net/fr/"))), (F.col("id") % 3 + 1).cast("int")), "id").alias("url"))
+    plans.append(U.judge(pages, URL_RULES))
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert sum("Join" in p for p in plans) == 3 and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_clashing_columns_are_refused(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "host long, url string")
     with pytest.raises(ValueError):
