@@ -162,6 +162,36 @@ def test_log_ratios_and_evidence_against_dictionaries(spark):
     assert all(found[i] == pytest.approx((s / k, s / math.sqrt(k))) for i, (s, k) in sums.items())
 
 
+def test_the_divisor_of_left_neighbours_is_the_number_of_pairs(spark, monkeypatch):
+    """Not an estimate of it: ratios as dictionaries give them, to the last digits but for the order of sums."""
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000)]
+    rows = [(" ".join(x for _ in range(60) for x in (rng.choice(words), *["vile"] * (i % 2 and rng.random() < 0.05))), i % 2) for i in range(400)] + [("", 0), (None, None), ("alone", None)]
+    n, n0, n1, left = Counter(), Counter(), Counter(), set()
+    for text, toxic in rows:
+        w = (text or "").split()
+        n.update(set(w))
+        (n1 if toxic else n0 if toxic == 0 else Counter()).update(set(w))
+        left |= set(zip(w, ["", *w]))
+    total, contexts = n.total(), Counter(w for w, _ in left)
+    freed = sum(min(x, T.SHARED_DISCOUNT) for x in n.values())
+    shared = {w: max(n[w] - T.SHARED_DISCOUNT, 0) / total + freed / total * (contexts[w] + 0.5) / (len(left) + 0.5 * len(n)) for w in n}
+    own = [{w: max(c[w] - shared[w] * c.total() - T.DISCOUNT * math.sqrt(shared[w] * c.total() + 1), 0) / c.total() for w in n} for c in (n0, n1)]
+    rest = [1 - sum(o.values()) for o in own]
+    expected = {w: math.log(own[1][w] / rest[1] + shared[w]) - math.log(own[0][w] / rest[0] + shared[w]) for w in n if own[0][w] or own[1][w]}
+    assert "vile" in expected
+
+    every = spark.createDataFrame(rows, "text string, toxic long").repartition(3).withColumn("text", F.coalesce("text", F.lit("")))
+    ratios = {r.word: r.ratio for r in T.log_ratios(T.document_counts(every.where("toxic is not null"), every), every).collect()}
+    assert set(ratios) == {int(T.word_numbers([w])[0][0]) for w in expected}
+    assert all(abs(ratios[int(T.word_numbers([w])[0][0])] - x * T.UNIT) < 2 for w, x in expected.items())
+    for held, bits in ((1 << 22, 6), (100, 1), (1, 16)):
+        monkeypatch.setattr(T, "HELD", held)
+        monkeypatch.setattr(T, "GROUP", 5000)
+        assert T.pair_count(every, bits) == len(left)
+    assert T.pair_count(every.where("false")) == 0
+
+
 def test_repeated_texts_and_ids_keep_their_rows(spark):
     docs = spark.createDataFrame([(i, ("vile " if i % 2 else "fine ") + "plain words here") for i in range(300)] + [(1, "fine plain words here")] * 3 + [(None, "vile plain words here"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 300)], "doc_id long, toxic int")

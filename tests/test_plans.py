@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict, deque
 from itertools import product
 
@@ -445,3 +446,19 @@ def test_slice_uniformity(spark):
     assert out.schema["max_gap"].dataType.simpleString() == "int"
     assert {r["scan_id"]: (r["is_uniform"], round(r["spacing_std"], 6), r["max_gap"]) for r in out.collect()} == want
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_rounds_leave_no_shuffle_files(spark):
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in store.getAllFiles().mkString(" ").split() if "shuffle_" in f}
+
+    before, given = files(), spark.conf.get(session.SHUFFLE_CLEANUP)
+    made = session.cut_lineage(spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and made.count() == 100
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == given
