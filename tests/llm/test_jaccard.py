@@ -103,3 +103,22 @@ def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in J.components(docs).collect()}
     assert got == {i: i % 900 for i in range(2500)}
     assert seen.value == 0 and spark.conf.get(BATCH_ROWS) == before
+
+
+def test_lists_deal_prefix_members_once(spark, odd_docs, monkeypatch):
+    """What one write holds on disk: members go to their lists and to the lists' sizes; prefixes of all rows are gone by then."""
+    plans, write = [], J.cut_lineage
+
+    def noted(df):
+        if "pivot" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            kept.extend("prefix" in t.columns for t in made if "_cut_path" in t.__dict__)
+        made.append(write(df))
+        return made[-1]
+
+    made, kept = [], []
+    monkeypatch.setattr(J, "cut_lineage", noted)
+    got = {(r.doc_id, r.n_shingles) for r in J.components(odd_docs).collect()}
+    assert {(5, 977), (2, 4), (0, 0)} <= got
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") <= 2
+    assert sum(kept) == 1  # those of the groups
